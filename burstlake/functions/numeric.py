@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ EDGE_SKIP = 4
 AUDIO_HZ = 1500.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def c_square(re: Column, im: Column) -> Column:
     return F.struct((re * re - im * im).alias("re"), (F.lit(2.0) * re * im).alias("im"))
 

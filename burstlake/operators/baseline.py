@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
 from ..scale import drop_halo, quantiles, with_halo
 
 #: Frames per window segment; a multiple of every default refresh and stride.
@@ -128,10 +129,8 @@ def health(df: DataFrame, keys: Sequence[str], part: Column, whole: Column,
 
 def array_median(a: Column) -> Column:
     """Median of an array held in one row."""
-    s = F.sort_array(a)
-    n = F.size(s)
-    return (F.element_at(s, F.floor((n - 1) / 2).cast("int") + 1)
-            + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / F.lit(2.0)
+    at = lambda s, n: F.element_at(s, F.floor(n / 2).cast("int") + 1)
+    return let(F.sort_array(a), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / F.lit(2.0))
 
 
 def frame_score(df: DataFrame, keys: Sequence[str] = ("recording",), power: str = "power_db",

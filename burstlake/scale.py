@@ -306,3 +306,44 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
         exits = cut_lineage(exits.join(redone.select(*by), by, "left_anti").unionByName(redone))
     out = df.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(emit, schema)
     return (out, exits) if return_states else out
+
+
+# --------------------------------------------------------------------------
+# neighbours in order, islands
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence, previous: dict[str, str],
+           bound: int | None = None, task_rows: int = TASK_ROWS, segment: int = 65_536) -> DataFrame:
+    """Add columns holding the previous row's values: ``{new column: source column}``.
+
+    ``order`` must be unique within a key. Keys too big for one task are numbered
+    first and then cut into segments that overlap by one row.
+    """
+    keys = list(keys)
+    biggest = bound if bound is not None else largest_group(df, keys)
+    if biggest <= task_rows:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({new: F.lag(src).over(w) for new, src in previous.items()})
+    numbered = number_rows(df, keys, order, "_n", biggest, task_rows)
+    w = Window.partitionBy(*keys, "_seg").orderBy("_n")
+    halo = with_halo(numbered, "_n", segment, before=1, out="_seg")
+    return drop_halo(halo.withColumns({new: F.lag(src).over(w) for new, src in previous.items()}),
+                     "_seg").drop("_n")
+
+
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence, previous: dict[str, str],
+            is_new: Column, out: str = "island", bound: int | None = None,
+            task_rows: int = TASK_ROWS) -> DataFrame:
+    """Number the groups of consecutive rows that ``is_new`` (over lagged columns) starts."""
+    biggest = bound if bound is not None else largest_group(df, list(keys))
+    prev = lagged(df, keys, order, previous, biggest, task_rows)
+    flagged = prev.withColumn("_new", F.when(F.coalesce(is_new, F.lit(True)), 1).otherwise(0))
+    before = running_total(flagged, keys, order, F.col("_new"), out, biggest, task_rows)
+    return before.withColumn(out, F.col(out) + F.col("_new")).drop("_new", *previous)
+
+
+def top_k(df: DataFrame, k: int, order: Sequence, keys: Sequence[str] = ()) -> DataFrame:
+    """First ``k`` rows in ``order``, overall or per key (partial limits come before the shuffle)."""
+    if not keys:
+        return df.orderBy(*order).limit(k)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
