@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 DOUBLES = "array<double>"
@@ -41,7 +42,8 @@ def row_function(fn: Callable[..., np.ndarray | tuple[np.ndarray, ...]],
     """
     single = isinstance(returns, str)
     spec = [("value", returns)] if single else list(returns)
-    ddl = returns if single else "struct<" + ",".join(f"{n}:{t}" for n, t in spec) + ">"
+    types = {DOUBLES: T.ArrayType(T.DoubleType()), "double": T.DoubleType()}
+    result = types[returns] if single else T.StructType([T.StructField(n, types[t]) for n, t in spec])
 
     def apply(*cols: pa.Array) -> pa.Array:
         out = [[None] * len(cols[0]) for _ in spec]
@@ -52,8 +54,7 @@ def row_function(fn: Callable[..., np.ndarray | tuple[np.ndarray, ...]],
                 for r, v in zip(rows, values):
                     slot[r] = v
         made = [lists(s) if t.startswith("array") else pa.array(
-                    [None if v is None or v != v else v for v in s],
-                    type=pa.float64() if t == "double" else pa.int64())
+                    [None if v is None or v != v else v for v in s], type=pa.float64())
                 for s, (_, t) in zip(out, spec)]
         return made[0] if single else pa.StructArray.from_arrays(made, [n for n, _ in spec])
 
@@ -67,4 +68,4 @@ def row_function(fn: Callable[..., np.ndarray | tuple[np.ndarray, ...]],
     else:
         def call(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
             return apply(a, b, c)
-    return arrow_udf(call, ddl)
+    return arrow_udf(call, result)

@@ -32,24 +32,32 @@ def decode_params(msg: Column) -> Column:
                     (sgn(8) * num(9, 2)).alias("snr_db"), num(11, 3).alias("width_ms"))
 
 
+def strip(col: Column) -> Column:
+    """Remove white space of any kind at both ends."""
+    return F.btrim(col, F.lit(" \t\r\n\x0b\f"))
+
+
 def parse_message(col: Column, rr73_is_grid: bool = False) -> Column:
-    """Struct (de, to, grid) of a message; ('', '', null) when it has neither shape."""
-    m = F.upper(F.trim(col))
-    grp = lambda p, g: F.nullif(F.regexp_extract(m, p, g), F.lit(""))
-    cq, reply = m.rlike(CQ_PATTERN), m.rlike(REPLY_PATTERN)
+    """Struct (de, to, grid) of a message; ('', '', null) when it has neither shape.
+
+    ``CQ`` is not a callsign, so at most one of the two patterns matches and a
+    group of the other one is empty.
+    """
+    m = F.upper(strip(col))
+    grp = lambda p, g: F.regexp_extract(m, p, g)
     tail = grp(REPLY_PATTERN, 3)
     looks = tail.rlike(f"^(?:{GRID})")
     if not rr73_is_grid:
         looks = looks & (tail != "RR73")
     return F.struct(
-        F.when(cq, grp(CQ_PATTERN, 1)).when(reply, grp(REPLY_PATTERN, 2)).otherwise("").alias("de"),
-        F.when(cq, F.lit("CQ")).when(reply, grp(REPLY_PATTERN, 1)).otherwise("").alias("to"),
-        F.when(cq, grp(CQ_PATTERN, 2)).when(reply & looks, tail).alias("grid"))
+        F.concat(grp(CQ_PATTERN, 1), grp(REPLY_PATTERN, 2)).alias("de"),
+        F.when(grp(CQ_PATTERN, 1) != "", "CQ").otherwise(grp(REPLY_PATTERN, 1)).alias("to"),
+        F.coalesce(F.nullif(grp(CQ_PATTERN, 2), F.lit("")), F.when(looks, tail)).alias("grid"))
 
 
 def parse_decoder_output(col: Column) -> Column:
     """Struct (line, snr_db, message) of the first real line of a decoder's output."""
-    lines = F.filter(F.transform(F.split(col, "\r\n|\n|\r"), F.trim),
+    lines = F.filter(F.transform(F.split(col, "\r\n|\n|\r"), lambda s: strip(s)),
                      lambda s: (s != "") & ~s.startswith("<") & ~s.startswith("EOF"))
     line = F.get(lines, F.lit(0))
     tokens = F.split(line, r"\s+")
@@ -73,7 +81,7 @@ def safe_name(ts: Column, khz: Column, message: Column) -> Column:
 
 def kv_pairs(col: Column) -> Column:
     """Array of (k, v) of the key=value tokens, split at the first ``=``, in order."""
-    tokens = F.filter(F.split(F.trim(col), r"\s+"), lambda t: F.contains(t, F.lit("=")))
+    tokens = F.filter(F.split(strip(col), r"\s+"), lambda t: F.contains(t, F.lit("=")))
     return F.transform(tokens, lambda t: F.struct(
         F.substring_index(t, "=", 1).alias("k"),
         F.substr(t, F.instr(t, "=") + 1).alias("v")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.messages import strip
 from ..scale import cut_lineage
 
 RUN = ("run_id",)
@@ -14,7 +15,7 @@ RUN = ("run_id",)
 
 def message_tokens(message: Column) -> Column:
     """The whole message and each of its words, once."""
-    m = F.trim(message)
+    m = strip(message)
     return F.array_distinct(F.array_append(F.split(m, r"\s+"), m))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.messages import strip
 from ..scale import number_rows
 from ..schemas import DECODE_LOG, LAUNCH_LOG, MANIFEST
 
@@ -15,6 +18,7 @@ CORRUPT = "_corrupt_record"
 def log_time(col: Column) -> Column:
     """Timestamp of a log entry; without a zone it is UTC; null if it does not parse."""
     iso = F.regexp_replace(col, r"^(\d{4}-\d{2}-\d{2})[_ T]", "$1T")
+    iso = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     zoned = iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     return F.when(zoned, iso).otherwise(F.concat(iso, F.lit("Z"))).try_cast("timestamp")
 
@@ -27,7 +31,7 @@ def parse_log(lines: DataFrame, schema: T.StructType = DECODE_LOG, since: str |
     whose time does not parse. Other columns of ``lines`` are carried along.
     """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = (lines.where(F.trim(col) != "")
+    parsed = (lines.where(strip(F.col(col)) != "")
               .withColumn("_j", F.from_json(col, wide, {"columnNameOfCorruptRecord": CORRUPT}))
               .where(F.col("_j").isNotNull() & F.col(f"_j.{CORRUPT}").isNull()))
     out = parsed.select(*[c for c in lines.columns if c != col],
@@ -35,7 +39,9 @@ def parse_log(lines: DataFrame, schema: T.StructType = DECODE_LOG, since: str |
                         log_time(F.col("_j.timestamp")).alias("logged_at"))
     if since is None:
         return out
-    bound = log_time(F.lit(since))
+    at = datetime.fromisoformat(since)
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    bound = F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
     return out.where(F.col("logged_at").isNull() | (F.col("logged_at") >= bound))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 #: Seconds below this are a clock that was never set (2001-09-09).
@@ -17,7 +18,7 @@ def _uint(data: Column, at: Column, n: int, to: str = "bigint") -> Column:
     return F.conv(F.hex(F.substring(data, at + 1, F.lit(n))), 16, 10).cast(to)
 
 
-@arrow_udf("array<float>")
+@arrow_udf(T.ArrayType(T.FloatType()))
 def _floats(payload: pa.Array) -> pa.Array:
     """Little-endian float32 values of each payload."""
     return pa.array([None if not p.is_valid else np.frombuffer(
