@@ -16,22 +16,28 @@ from pyspark.sql.functions import arrow_udf
 DOUBLES = "array<double>"
 
 
+#: Values per matrix handed to a function at once (16 MB of doubles).
+CHUNK = 2_000_000
+
+
 def matrices(*cols: pa.Array):
-    """Yield (row numbers, one matrix per column) for each set of rows with equal lengths."""
+    """Yield (row numbers, one matrix per column) for sets of rows with equal lengths."""
     cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
     sizes = np.stack([np.diff(c.offsets.to_numpy()) for c in cols], axis=1)
     for shape in np.unique(sizes, axis=0):
-        rows = np.flatnonzero((sizes == shape).all(axis=1))
-        take = pa.array(rows)
-        yield rows, [np.asarray(c.take(take).flatten().to_numpy(zero_copy_only=False),
-                                dtype=np.float64).reshape(len(rows), -1) for c in cols]
+        same = np.flatnonzero((sizes == shape).all(axis=1))
+        step = max(1, CHUNK // max(1, int(shape.max())))
+        for rows in (same[i:i + step] for i in range(0, len(same), step)):
+            take = pa.array(rows)
+            yield rows, [np.asarray(c.take(take).flatten().to_numpy(zero_copy_only=False),
+                                    dtype=np.float64).reshape(len(rows), -1) for c in cols]
 
 
 def lists(rows: Sequence[np.ndarray]) -> pa.Array:
-    sizes = np.array([len(r) for r in rows], dtype=np.int32)
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
     flat = np.concatenate(rows) if len(rows) else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                                    pa.array(flat))
+                                    pa.array(flat, type=pa.float64()))
 
 
 def row_function(fn: Callable[..., np.ndarray | tuple[np.ndarray, ...]],
@@ -49,12 +55,11 @@ def row_function(fn: Callable[..., np.ndarray | tuple[np.ndarray, ...]],
         out = [[None] * len(cols[0]) for _ in spec]
         for rows, mats in matrices(*cols):
             res = fn(*mats)
-            res = (res,) if single else res
-            for slot, values in zip(out, res):
+            for slot, values in zip(out, (res,) if single else res):
                 for r, v in zip(rows, values):
                     slot[r] = v
-        made = [lists(s) if t.startswith("array") else pa.array(
-                    [None if v is None or v != v else v for v in s], type=pa.float64())
+        made = [lists(s) if t == DOUBLES else
+                pa.array(np.array(s, dtype=np.float64), type=pa.float64(), from_pandas=True)
                 for s, (_, t) in zip(out, spec)]
         return made[0] if single else pa.StructArray.from_arrays(made, [n for n, _ in spec])
 

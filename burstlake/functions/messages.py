@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 # The grammar of a callsign, a locator grid and a signal report.
 CALL = r"[A-Z0-9]{1,3}[0-9][A-Z0-9]{0,3}[A-Z](?:/[A-Z0-9]+)?"
 GRID = r"[A-R]{2}[0-9]{2}(?:[A-X]{2})?"
@@ -89,16 +91,18 @@ def kv_pairs(col: Column) -> Column:
 
 def parse_kv(col: Column, keep: str = "last") -> Column:
     """Map of a key=value line; ``keep`` says which of repeated keys wins."""
-    pairs = kv_pairs(col)
-    if keep == "last":
-        pairs = F.reverse(pairs)
-    elif keep != "first":
+    if keep not in ("first", "last"):
         raise ValueError(keep)
-    once = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"),
-                                                            i.alias("i"))),
-                    lambda p: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"])
-                    == p["i"] + 1)
-    return F.map_from_entries(F.transform(once, lambda p: F.struct(p["k"], p["v"])))
+    pairs = F.reverse(kv_pairs(col)) if keep == "last" else kv_pairs(col)
+    first = lambda all_pairs: F.filter(
+        all_pairs, lambda p, i: F.array_position(F.transform(all_pairs, lambda q: q["k"]), p["k"]) == i + 1)
+    return let(pairs, lambda all_pairs: F.map_from_entries(first(all_pairs)))
+
+
+def kv_value(col: Column, key: str, keep: str = "last") -> Column:
+    """Value of one key of a key=value line, '' if absent; no map is built."""
+    lead = r"^(?:.*\s)?" if keep == "last" else r"^(?:.*?\s)??"
+    return F.regexp_extract(col, lead + key.replace(".", r"\.") + r"=(\S*)", 1)
 
 
 def list_value(kv: Column, key: str) -> Column:

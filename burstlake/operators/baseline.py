@@ -25,33 +25,41 @@ def rolling_quantile(df: DataFrame, keys: Sequence[str] = ("stream_id", "channel
     dense integers, so only renewal frames look at their history, and a segment
     needs ``depth - 1`` frames of its predecessor.
     """
-    n = F.col(frame)
-    seg = max(SEGMENT_FRAMES, 4 * depth)
-    seg -= seg % refresh
-    halo = with_halo(df, frame, seg, before=depth - 1)
-    history = (Window.partitionBy(*keys, "segment").orderBy(frame)
-               .rangeBetween(-(depth - 1), 0))
-    kept = F.when(F.pmod(n, F.lit(stride)) == 0, F.col(x))
-    due = F.pmod(n, F.lit(refresh)) == 0
+    n, keys = F.col(frame), list(keys)
+    rank = lambda size: F.floor(size * F.lit(q)).cast("int") + 1
     if refresh == 1:
-        ranked = F.sort_array(F.collect_list(kept).over(history))
-        value = F.element_at(ranked, F.floor(F.size(ranked) * F.lit(q)).cast("int") + 1)
-        return drop_halo(halo.withColumn(out, F.greatest(value, F.lit(floor))))
-
-    # Only history and renewal rows enter the moving window; the rest are
-    # served by the renewal of their own block of `refresh` frames.
-    block = F.floor(n / F.lit(refresh)).cast("long")
-    probe = halo.where(due | (F.pmod(n, F.lit(stride)) == 0)).select(
-        *keys, "segment", "owned", frame, F.col(x).alias("_x"))
-    ranked = F.sort_array(F.collect_list(F.when(F.pmod(n, F.lit(stride)) == 0, F.col("_x")))
-                          .over(history))
-    renewed = (probe.withColumn("_ranked", ranked).where(due & F.col("owned"))
-               .select(*keys, block.alias("_block"),
-                       F.greatest(F.element_at("_ranked",
-                                               F.floor(F.size("_ranked") * F.lit(q)).cast("int") + 1),
-                                  F.lit(floor)).alias(out)))
-    return (df.withColumn("_block", block)
-              .join(renewed, [*keys, "_block"], "left").drop("_block"))
+        history = (Window.partitionBy(*keys, "segment").orderBy(frame)
+                   .rangeBetween(-(depth - 1), 0))
+        kept = F.when(F.pmod(n, F.lit(stride)) == 0, F.col(x))
+        halo = with_halo(df, frame, max(SEGMENT_FRAMES, 4 * depth), before=depth - 1)
+        ranked = halo.withColumn("_r", F.sort_array(F.collect_list(kept).over(history)))
+        value = F.element_at("_r", rank(F.size("_r")))
+        return drop_halo(ranked.withColumn(out, F.greatest(value, F.lit(floor)))).drop("_r")
+
+    # One row per block of `refresh` frames: the window moves over blocks, each
+    # bringing only its few history values, and the frames ride along packed.
+    rest = [c for c in df.columns if c not in (*keys, frame, x)]
+    back = -(-(depth - 1) // refresh)
+    packs = (df.groupBy(*keys, F.floor(n / F.lit(refresh)).cast("long").alias("_b"))
+               .agg(F.sort_array(F.collect_list(F.struct(
+                   n.cast("long").alias("_f"), F.col(x).alias("_x"), *rest))).alias("_rows"))
+               .withColumn("_h", F.transform(
+                   F.filter("_rows", lambda i: F.pmod(i["_f"], F.lit(stride)) == 0),
+                   lambda i: F.struct(i["_f"].alias("f"), i["_x"].alias("x")))))
+    halo = with_halo(packs, "_b", max(SEGMENT_FRAMES // refresh, 4 * back), before=back)
+    earlier = Window.partitionBy(*keys, "segment").orderBy("_b").rangeBetween(-back, -1)
+    due = F.col("_b") * F.lit(refresh)
+    seen = (halo.withColumn("_rows", F.when(F.col("owned"), F.col("_rows")))
+                .withColumn("_past", F.flatten(F.collect_list("_h").over(earlier))))
+    inside = F.concat(F.filter("_past", lambda p: p["f"] > due - F.lit(depth)),
+                      F.filter("_h", lambda p: p["f"] <= due))
+    value = let(F.sort_array(F.transform(inside, lambda p: p["x"])),
+                lambda s: F.get(s, rank(F.size(s)) - 1))
+    return (drop_halo(seen).withColumn(out, F.greatest(value, F.lit(floor)))
+            .select(*keys, out, F.explode("_rows").alias("_i"))
+            .select(*[F.col("_i._f").alias(c) if c == frame else F.col("_i._x").alias(c) if c == x
+                      else F.col(f"_i.{c}").alias(c) if c in rest else F.col(c)
+                      for c in df.columns], out))
 
 
 def metric_db(x: Column, base: Column) -> Column:
@@ -70,9 +78,7 @@ def quantile_baseline(df: DataFrame, keys: Sequence[str] = ("stream_id", "channe
 
 def floor_ratio(df: DataFrame, keys: Sequence[str], x: str, bound: int | None = None) -> DataFrame:
     """Detection metric over max(25th percentile, 0.1 % of the mean, 1e-20)."""
-    ref = quantiles(df, keys, x, {"p25": 0.25}, bound=bound)
-    mean = df.groupBy(*keys).agg(F.avg(x).alias("mean"))
-    ref = ref.join(mean, list(keys)).select(
+    ref = quantiles(df, keys, x, {"p25": 0.25}, bound=bound, extra={"mean": F.avg(x)}).select(
         *keys, F.greatest(F.col("p25"), F.lit(0.001) * F.col("mean"), F.lit(1e-20)).alias("reference"))
     return df.join(ref, list(keys)).withColumn("det_norm", F.col(x) / F.col("reference"))
 

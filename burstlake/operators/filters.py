@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import DOUBLES, row_function
 from ..functions.numeric import N_CHANNELS, OFFSET_HZ, SPACING_HZ
-from ..scale import drop_halo, with_halo
+from ..scale import drop_halo, limit_arrow_rows, with_halo
 from .framing import KEYS, with_edges
 
 #: Samples per window segment of the long-row filters.
 SEGMENT = 65_536
 #: Longest recording the whole-recording spectral filters accept.
-MAX_RECORDING = 50_000_000
+MAX_RECORDING = 20_000_000
 
 
 def fir_taps(n: int, cutoff: float, rate: float, pass_zero: bool = True) -> list[float]:
@@ -68,6 +68,7 @@ def fir(blocks: DataFrame, taps: Sequence[float], cols: Sequence[str] = ("x",),
         keys: Sequence[str] = KEYS) -> DataFrame:
     """Causal FIR with zero initial state on blocks."""
     conv = _convolver(taps)
+    limit_arrow_rows(blocks.sparkSession)
     edged = with_edges(blocks, cols, before=len(taps) - 1, keys=keys)
     return edged.select(*[conv(F.col(f"{c}_head"), F.col(c).cast(DOUBLES)).alias(c) if c in cols
                           else F.col(c) for c in blocks.columns])
@@ -77,6 +78,7 @@ def decimate(blocks: DataFrame, m: int, taps: Sequence[float], cols: Sequence[st
              keys: Sequence[str] = KEYS) -> DataFrame:
     """Filter and keep every ``m``-th sample; block lengths must be multiples of ``m``."""
     conv = _convolver(taps, m)
+    limit_arrow_rows(blocks.sparkSession)
     edged = with_edges(blocks, cols, before=len(taps) - 1, keys=keys)
     out = {c: conv(F.col(f"{c}_head"), F.col(c).cast(DOUBLES)).alias(c) for c in cols}
     out["first_sample"] = F.floor(F.col("first_sample") / F.lit(m)).cast("long").alias("first_sample")
@@ -101,6 +103,7 @@ def soft_blank(blocks: DataFrame, half: int = 24, x: str = "x", mask: str = "mas
         full = np.concatenate([head, body, tail], axis=1)
         return np.stack([1.0 - np.minimum(np.convolve(row, bump, mode="valid"), 1.0) for row in full])
     gain = row_function(run, DOUBLES)
+    limit_arrow_rows(blocks.sparkSession)
     edged = with_edges(blocks, [mask], before=half, after=half, keys=keys)
     return (edged.withColumn("_g", gain(F.col(f"{mask}_head"), F.col(mask).cast(DOUBLES),
                                         F.col(f"{mask}_tail")))
@@ -222,6 +225,7 @@ def channelise(blocks: DataFrame, rate: float = 48_000.0, n: int = N_CHANNELS,
     memory = (len(lp) - 1) + (len(hp) - 1) * m
     memory += -memory % m
     hz = np.arange(n) * spacing + offset
+    limit_arrow_rows(blocks.sparkSession)
     edged = with_edges(blocks, [re, im], before=memory, keys=keys)
 
     def run(first, x_re, x_im):

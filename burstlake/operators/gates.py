@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import N_CHANNELS
-from ..scale import chain_states, cut_lineage, scan_segments
+from ..scale import chain_states, cut_lineage, largest_group, scan_segments
 
 #: Frames per segment of a cooldown fold.
 SEGMENT_FRAMES = 16_384
@@ -58,20 +58,25 @@ def cooldown(df: DataFrame, frames: int = 46, keys: Sequence[str] = ("stream_id"
     flag = F.lit(False) if restart is None else restart
     item = F.struct(F.col(frame).cast("long").alias("at"), flag.alias("restart"),
                     *[F.col(p) for p in payload])
-    packed = (df.withColumn("segment", F.floor(F.col(frame) / seg_len).cast("long"))
-                .groupBy(*keys, "segment")
-                .agg(F.sort_array(F.collect_list(item)).alias("_items")))
+    # triggers are few next to the metrics they come from: keep them, compute those once
+    packed = cut_lineage(df.withColumn("segment", F.floor(F.col(frame) / seg_len).cast("long"))
+                         .groupBy(*keys, "segment")
+                         .agg(F.sort_array(F.collect_list(item)).alias("_items")))
     begin = F.col("segment") * seg_len
 
     def pause(until, x):
         return F.when(x["restart"] | (x["at"] >= until), x["at"] + gap).otherwise(until)
 
-    tables = packed.withColumn("_table", F.transform(
-        F.sequence(F.lit(0), F.lit(max(frames - 1, 0))),
-        lambda e: F.aggregate("_items", begin + e, pause,
-                              lambda until: F.greatest(until - begin - seg_len, F.lit(0))
-                              .cast("int"))))
-    entry = chain_states(tables, keys, "segment", "_table")
+    if largest_group(packed, keys) <= 1:
+        # one segment per key: nothing is handed on
+        entered = packed.withColumn("entry", F.lit(0))
+    else:
+        tables = packed.withColumn("_table", F.transform(
+            F.sequence(F.lit(0), F.lit(max(frames - 1, 0))),
+            lambda e: F.aggregate("_items", begin + e, pause,
+                                  lambda until: F.greatest(until - begin - seg_len, F.lit(0))
+                                  .cast("int"))))
+        entered = packed.join(chain_states(tables, keys, "segment", "_table"), [*keys, "segment"])
 
     none = F.array().cast(packed.schema["_items"].dataType)
 
@@ -82,9 +87,8 @@ def cooldown(df: DataFrame, frames: int = 46, keys: Sequence[str] = ("stream_id"
 
     kept = F.aggregate("_items", F.struct((begin + F.col("entry")).alias("until"), none.alias("kept")),
                        take, lambda a: a["kept"])
-    return (packed.join(entry, [*keys, "segment"])
-            .select(*keys, F.explode(kept).alias("_x"))
-            .select(*keys, F.col("_x.at").alias(frame), *[F.col(f"_x.{p}") for p in payload]))
+    return (entered.select(*keys, F.explode(kept).alias("_x"))
+                   .select(*keys, F.col("_x.at").alias(frame), *[F.col(f"_x.{p}") for p in payload]))
 
 
 def suppress_neighbours(df: DataFrame, span: float = 2.0, horizon: int = 46,

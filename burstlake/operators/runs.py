@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import TASK_ROWS, cut_lineage, islands, lagged, number_rows, scan_segments
+from ..scale import TASK_ROWS, cut_lineage, islands, lagged, largest_group, number_rows, scan_segments
+
+#: Largest key that is folded as one array instead of segment by segment.
+FOLD_ROWS = 20_000
 
 
 def seq_gaps(df: DataFrame, mod: int = 16, keys: Sequence[str] = ("stream_id",),
@@ -70,7 +73,10 @@ def on_change(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("client
                       bound, task_rows)
         return prev.where(~F.col("_seen").eqNullSafe(F.col("_prev"))).drop("_seen", "_prev")
 
-    numbered = number_rows(df.withColumn("_sig", sig), keys, order, "_n", bound, task_rows)
+    biggest = bound if bound is not None else largest_group(df, keys)
+    if biggest <= min(task_rows, FOLD_ROWS):
+        return _spaced_changes(df, cols, keys, order, time, min_gap)
+    numbered = number_rows(df.withColumn("_sig", sig), keys, order, "_n", biggest, task_rows)
     rows = cut_lineage(numbered.withColumn("_seg", F.floor(F.col("_n") / F.lit(segment)).cast("long")))
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_n", "_seg", "_sig")])
 
@@ -91,6 +97,28 @@ def on_change(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("client
     return scan_segments(rows, keys, "_seg", step, schema)
 
 
+def _spaced_changes(df: DataFrame, cols: Sequence[str], keys: list[str], order: Sequence[str],
+                    time: str, min_gap: float) -> DataFrame:
+    """``on_change`` with an interval for keys small enough to be folded as one array."""
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    row = F.struct(*order, *rest)
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    item = packed.schema["_rows"].dataType.elementType
+    none = F.array().cast(T.ArrayType(item))
+    start = F.struct(F.lit(None).cast(item).alias("last"), none.alias("kept"))
+
+    def take(acc, r):
+        same = F.lit(True)
+        for c in cols:
+            same = same & r[c].eqNullSafe(acc["last"][c])
+        ok = acc["last"].isNull() | (~same & (r[time] - acc["last"][time] >= F.lit(float(min_gap))))
+        return F.when(ok, F.struct(r.alias("last"), F.array_append(acc["kept"], r).alias("kept"))).otherwise(acc)
+
+    kept = F.aggregate("_rows", start, take, lambda a: a["kept"])
+    return packed.select(*keys, F.explode(kept).alias("_r")).select(
+        *[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    values: Sequence[str]) -> DataFrame:
     """Last record of each key (partial aggregation, no sort)."""

@@ -12,7 +12,7 @@ from ..functions import numeric as num
 from ..operators.baseline import percent
 from ..operators.matching import RUN, match_exact
 from ..operators.runs import newest_per_key, on_change, seq_gaps
-from ..scale import quantiles
+from ..scale import column_quantiles, cut_lineage
 
 
 def spots(log: DataFrame, my_call: str, need_grid: bool = True, message: str = "message",
@@ -56,12 +56,10 @@ def recovered(log: DataFrame, truth: DataFrame, keys: Sequence[str] = RUN) -> Da
 def recovery_error(log: DataFrame, truth: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Mean and median absolute errors per run."""
     rows = recovered(log, truth, keys)
-    absolute = rows.select(*keys, *[F.abs(f"{c}_error").alias(c) for c in ("freq", "time", "snr")])
-    out = absolute.groupBy(*keys).agg(F.count("*").alias("matched"), *[
-        F.avg(c).alias(f"mean_{c}") for c in ("freq", "time", "snr")])
-    for c in ("freq", "time", "snr"):
-        out = out.join(quantiles(absolute, keys, c, {f"median_{c}": 0.5}), list(keys))
-    return out
+    absolute = cut_lineage(rows.select(*keys, *[F.abs(f"{c}_error").alias(c) for c in ("freq", "time", "snr")]))
+    return column_quantiles(
+        absolute, keys, {f"median_{c}": (c, 0.5) for c in ("freq", "time", "snr")},
+        extra={"matched": F.count("*"), **{f"mean_{c}": F.avg(c) for c in ("freq", "time", "snr")}})
 
 
 def client_status(lines: DataFrame, line: str = "line", order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -70,9 +68,8 @@ def client_status(lines: DataFrame, line: str = "line", order: Sequence[str] = (
     has = text.rlike(r"(^|\s)client\s")
     body = F.trim(F.regexp_replace(text, r"^(?:.*?\s)?client\s+", ""))
     handle = F.get(F.split(body, r"\s+"), F.lit(0))
-    rows = (lines.where(has).withColumn("handle", handle)
-            .withColumn("_kv", msg.parse_kv(F.regexp_replace(body, r"^\S+\s*", ""))))
-    field = lambda k: F.coalesce(F.col("_kv")[k], F.lit(""))
+    rows = lines.where(has).withColumn("handle", handle).withColumn("_body", body)
+    field = lambda k: msg.kv_value(F.col("_body"), k)
     gui = (field("gui") == "1") | field("program").startswith("SmartSDR")
     rows = rows.where(gui & (field("client_id") != "")).select(
         *order, "handle", *[field(k).alias(k) for k in ("client_id", "station", "program", "host", "ip")])
@@ -84,11 +81,11 @@ def tuning_history(lines: DataFrame, keys: Sequence[str], line: str = "line",
                    order: Sequence[str] = ("seq",), time: str | None = None,
                    min_gap: float = 0.0) -> DataFrame:
     """Changes of centre frequency (MHz) and bandwidth (Hz) told by status lines."""
-    kv = msg.parse_kv(F.col(line))
-    rows = lines.withColumn("_kv", kv).select(
+    field = lambda k: F.nullif(msg.kv_value(F.col(line), k), F.lit(""))
+    rows = lines.select(
         *keys, *order, *([time] if time and time not in order else []),
-        num.freq_mhz(F.col("_kv")["center"]).alias("centre_mhz"),
-        num.bandwidth_hz(F.col("_kv")["bandwidth"]).alias("bandwidth_hz"))
+        num.freq_mhz(field("center")).alias("centre_mhz"),
+        num.bandwidth_hz(field("bandwidth")).alias("bandwidth_hz"))
     rows = rows.where(F.col("centre_mhz").isNotNull() | F.col("bandwidth_hz").isNotNull())
     return on_change(rows, ["centre_mhz", "bandwidth_hz"], keys, order, time, min_gap)
 

@@ -57,9 +57,25 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs do not recompute, and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Computed once (a checkpoint runs its last stage twice), columnar, with known
+    size, and safe from lost executors.
+    """
+    path = fresh_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def limit_arrow_rows(spark: SparkSession, rows: int = 128) -> None:
+    """Lower the rows per Arrow batch for rows that hold whole blocks of samples.
+
+    Spark limits batches by rows only; 10,000 blocks of 8,192 samples would be
+    over a gigabyte.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -140,35 +156,51 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, qs: dict[str, float],
-              bound: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+              bound: int | None = None, task_rows: int = TASK_ROWS,
+              extra: dict[str, Column] | None = None) -> DataFrame:
     """Exact interpolated quantiles per key, one row per key.
 
     ``bound`` states a group size known by construction; without it the group
     sizes are counted. Big groups are reduced to distinct values with counts
     (ties, however many, become one row), ranked by ``running_total``, and only
-    the rows that hold a wanted rank survive.
+    the rows that hold a wanted rank survive. ``extra`` are plain aggregates to
+    add.
     """
+    return column_quantiles(df, keys, {n: (x, q) for n, q in qs.items()}, bound, task_rows, extra)
+
+
+def column_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]],
+                     bound: int | None = None, task_rows: int = TASK_ROWS,
+                     extra: dict[str, Column] | None = None) -> DataFrame:
+    """``quantiles`` of several columns at once: {output: (column, q)}."""
     keys = list(keys)
+    plain = [c.alias(n) for n, c in (extra or {}).items()]
     biggest = bound if bound is not None else largest_group(df, keys)
     if biggest <= task_rows:
         return df.groupBy(*keys).agg(*[F.percentile(x, F.lit(q)).alias(name)
-                                       for name, q in qs.items()])
+                                       for name, (x, q) in wanted.items()], *plain)
+    out = df.groupBy(*keys).agg(*plain) if plain else None
+    for x in dict.fromkeys(x for x, _ in wanted.values()):
+        part = _ranked_quantiles(df, keys, x, {n: q for n, (c, q) in wanted.items() if c == x}, task_rows)
+        out = part if out is None else out.join(part, keys, "left")
+    return out
+
 
+def _ranked_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float],
+                      task_rows: int) -> DataFrame:
     values = (df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_v"))
                 .agg(F.count("*").alias("_c")))
     totals = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = (running_total(cut_lineage(values), keys, ["_v"], F.col("_c"), "_lo", None, task_rows)
               .join(totals, keys))
+    inside = lambda r: (r >= F.col("_lo")) & (r < F.col("_lo") + F.col("_c"))
     picks = []
     for name, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(q)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        inside = lambda r: (r >= F.col("_lo")) & (r < F.col("_lo") + F.col("_c"))
-        picks += [F.max(F.when(inside(lo), F.col("_v"))).alias(f"_{name}_lo"),
-                  F.max(F.when(inside(hi), F.col("_v"))).alias(f"_{name}_hi"),
-                  F.max(pos - lo).alias(f"_{name}_f")]
-    out = ranked.groupBy(*keys).agg(*picks)
-    return out.select(*keys, *[
+        picks += [F.max(F.when(inside(F.floor(pos)), F.col("_v"))).alias(f"_{name}_lo"),
+                  F.max(F.when(inside(F.ceil(pos)), F.col("_v"))).alias(f"_{name}_hi"),
+                  F.max(pos - F.floor(pos)).alias(f"_{name}_f")]
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *[
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
         for n in qs])
 
@@ -286,6 +318,11 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
                            .applyInPandas(exit_only, state_schema))
 
     present = cut_lineage(df.select(*by).distinct())
+    if first_state is None and not return_states and largest_group(present, keys) <= 1:
+        # every key fits one segment: nothing is handed on
+        def alone(key, rows):
+            return step(rows, None)[0]
+        return df.groupBy(*by).applyInPandas(alone, schema)
     none = present.withColumn("state", F.lit(None).cast("array<double>"))
     entries = none if first_state is None else cut_lineage(first_state.select(*by, "state"))
     exits = run(df, entries)

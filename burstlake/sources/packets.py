@@ -20,10 +20,13 @@ def _uint(data: Column, at: Column, n: int, to: str = "bigint") -> Column:
 
 @arrow_udf(T.ArrayType(T.FloatType()))
 def _floats(payload: pa.Array) -> pa.Array:
-    """Little-endian float32 values of each payload."""
-    return pa.array([None if not p.is_valid else np.frombuffer(
-        p.as_buffer(), "<f4", count=len(p.as_buffer()) // 4) for p in payload],
-        type=pa.list_(pa.float32()))
+    """Little-endian float32 values of payloads of whole words, without touching single rows."""
+    payload = pa.concat_arrays([payload.cast(pa.binary())])
+    _, offsets, data = payload.buffers()
+    at = np.frombuffer(offsets, "<i4", count=len(payload) + 1 + payload.offset)[payload.offset:]
+    values = np.frombuffer(data, "<f4", offset=int(at[0]), count=int(at[-1] - at[0]) // 4) if data else []
+    return pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, type=pa.int32()),
+                                    pa.array(values, type=pa.float32()), mask=payload.is_null())
 
 
 def read_packets(df: DataFrame, col: str = "payload") -> DataFrame:

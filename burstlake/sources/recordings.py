@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import analytic
+from ..operators.filters import MAX_RECORDING, analytic
 
 LAYOUT = ("stream_id string, length bigint, rate int, channels int, width int, "
           "data_at bigint, n_frames bigint")
@@ -135,8 +135,14 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
 
 
 def analytic_blocks(blocks: DataFrame, block: int = 8192) -> DataFrame:
-    """Real recordings to analytic ones. The transform needs a recording whole (its length is checked)."""
-    whole = (blocks.groupBy("stream_id", "rate")
+    """Real recordings to analytic ones.
+
+    The transform needs a recording whole, so its length is checked first: longer
+    recordings have to be cut before they are read.
+    """
+    length = blocks.groupBy("stream_id").agg(F.sum(F.size("i")).alias("_n"))
+    fits = F.assert_true(F.col("_n") <= MAX_RECORDING, F.lit("recording too long for an analytic signal: cut it first"))
+    whole = (blocks.join(length.where(fits.isNull()), "stream_id").groupBy("stream_id", "rate")
              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_idx", "i"))),
                                         lambda b: b["i"].cast("array<double>"))).alias("x"))
              .select("stream_id", "rate", analytic()(F.col("x")).alias("y")))

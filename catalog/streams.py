@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from burstlake.operators import spectra
 from burstlake.plans import comparison, jobs
-from burstlake.scale import fresh_dir
+from burstlake.scale import cut_lineage, fresh_dir
 from burstlake.sinks import tables
 from burstlake.sources import logs
 from burstlake.streaming import jobs as st
@@ -118,7 +118,8 @@ SELECT id::DOUBLE AS t_sec, round_even(50.26::DOUBLE * 1000 + (fc_hz - 1500) / 1
 def report_sink(spark, sf):
     """Two runs of the report; the first is written twice and must not double."""
     out = comparison.report(truth(spark, sf), log(spark, sf), freq_tol=rec.FREQ_TOL, time_tol=rec.TIME_TOL)
-    rows = out.withColumnRenamed("run_id", "user_id").select("user_id", "total", "decoded", "garbled", "missed", "false_alarms")
+    rows = cut_lineage(out.withColumnRenamed("run_id", "user_id")
+                       .select("user_id", "total", "decoded", "garbled", "missed", "false_alarms"))
     path = fresh_dir(spark, "reports")
     for run in (1, 2, 1):
         tables.write_report(rows, path, run)
