@@ -186,10 +186,11 @@ CLIENTS_SQL = CLIENTS_SQL.replace("'.*station=(S=\\S+|\\S+)'", "'.* station=(\\S
 
 def tuning_lines(spark, sf):
     ev = table(spark, sf, "events")
-    k = k_of()
+    line = num.let(k_of(), lambda k: F.concat(
+        F.lit("display pan center="), F.when(k % 2 == 0, "50.26").otherwise("50313000"),
+        F.lit(" bandwidth="), F.when(k % 5 < 3, "0.0625").otherwise("96000")))
     return ev.select(F.col("user_id").alias("pan_id"), F.col("event_id").alias("seq"), (epoch_us() / 1e6).alias("t"),
-                     F.concat(F.lit("display pan center="), F.when(k % 2 == 0, "50.26").otherwise("50313000"),
-                              F.lit(" bandwidth="), F.when(k % 5 < 3, "0.0625").otherwise("96000")).alias("line"))
+                     line.alias("line"))
 
 
 TUNING = f"""tune AS (SELECT user_id AS pan_id, event_id AS seq, epoch_us(ts) / 1e6 AS t,
