@@ -7,21 +7,39 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import cut_lineage, number_rows, scan_segments, with_halo
+from ..scale import cut_lineage, drop_halo, number_rows, scan_segments, with_halo
 
 
-def gate_block(block: np.ndarray, avg: np.ndarray | None, factor: float, frac: float, alpha: float):
-    """One step of the impulse gate: (hot bins, blanked, new average). Shared with streaming."""
-    power = np.abs(np.fft.fft(block)) ** 2
+def gate_blocks(blocks: np.ndarray, avg: np.ndarray | None, factor: float, frac: float, alpha: float):
+    """The impulse gate over a matrix of blocks: (hot bins, blanked, last average). Shared with streaming."""
+    hots, blanked = np.zeros(len(blocks), dtype=np.int64), np.zeros(len(blocks), dtype=bool)
+    if not len(blocks):
+        return hots, blanked, avg
+    power = np.abs(np.fft.fft(blocks, axis=1)) ** 2
     if avg is None:
-        avg = np.maximum(power, 1e-30)
-    hot = int(np.sum(power > factor * factor * avg))
-    blanked = hot > frac * len(block)
-    return hot, blanked, avg if blanked else (1.0 - alpha) * avg + alpha * power
+        avg = np.maximum(power[0], 1e-30)
+    limit = frac * blocks.shape[1]
+    for k, p in enumerate(power):
+        hots[k] = np.count_nonzero(p > factor * factor * avg)
+        if hots[k] > limit:
+            blanked[k] = True
+        else:
+            avg = (1.0 - alpha) * avg + alpha * p
+    return hots, blanked, avg
+
+
+def gate_rows(re, im, size, avg, factor, frac, alpha):
+    """``gate_blocks`` on columns of arrays; partial blocks pass and change nothing."""
+    full = np.array([len(a) == size for a in re], dtype=bool)
+    hots, gone = np.zeros(len(full), dtype=np.int64), np.zeros(len(full), dtype=bool)
+    if full.any():
+        stack = lambda col: np.stack([a for a, ok in zip(col, full) if ok])
+        hots[full], gone[full], avg = gate_blocks(stack(re) + 1j * stack(im), avg, factor, frac, alpha)
+    return hots, gone, avg
 
 
 def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, size: int = 256,
@@ -47,15 +65,8 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
 
     def step(pdf: pd.DataFrame, state):
         pdf = pdf.sort_values("block_idx")
-        avg = np.asarray(state) if state else None
-        hots, gone = [], []
-        for a, b in zip(pdf["re"], pdf["im"]):
-            if len(a) < size:
-                hot, blanked = 0, False
-            else:
-                hot, blanked, avg = gate_block(np.asarray(a) + 1j * np.asarray(b), avg, factor, frac, alpha)
-            hots.append(hot)
-            gone.append(blanked)
+        hots, gone, avg = gate_rows(pdf["re"], pdf["im"], size, np.asarray(state) if state else None,
+                                    factor, frac, alpha)
         out = pdf[[*keys, "block_idx"]].assign(n_hot=hots, blanked=gone)
         return out, ([] if avg is None else avg.tolist())
 
@@ -73,24 +84,20 @@ def envelope(blocks: DataFrame, size: int = 256, rate: float = 48_000.0, tau: fl
     segments independent.
     """
     halo = int(math.ceil(digits * tau * rate / size))
-    seg = max(segment, halo)
-    rows = (with_halo(blocks, "block_idx", seg, before=halo)
-            .groupBy(*keys, "segment")
-            .agg(F.sort_array(F.collect_list(F.struct(
-                F.col("block_idx").alias("at"), F.col(kept).cast("double").alias("n"),
-                F.col(level).cast("double").alias("v"), "owned"))).alias("_b")))
-    start = F.struct(F.lit(None).cast("double").alias("y"),
-                     F.array().cast("array<struct<at:bigint,y:double>>").alias("seen"))
-
-    def fold(acc, b):
-        a = F.lit(1.0) - F.exp(-b["n"] / F.lit(tau * rate))
-        y = F.when(b["n"] <= 0, acc["y"]).when(acc["y"].isNull(), b["v"]).otherwise(
-            (F.lit(1.0) - a) * acc["y"] + a * b["v"])
-        return F.struct(y.alias("y"), F.when(b["owned"], F.array_append(
-            acc["seen"], F.struct(b["at"].alias("at"), y.alias("y")))).otherwise(acc["seen"]).alias("seen"))
-
-    return (rows.select(*keys, F.explode(F.aggregate("_b", start, fold, lambda a: a["seen"])).alias("_e"))
-                .select(*keys, F.col("_e.at").alias("block_idx"), F.col("_e.y").alias("envelope")))
+    # exponents within a segment stay far from overflow
+    seg = max(1, min(max(segment, halo), int(400.0 * tau * rate / size)))
+    w = Window.partitionBy(*keys, "segment").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_halo(blocks, "block_idx", seg, before=halo)
+    used = F.col(kept) > 0
+    # y_n = exp(C_n) * sum of w_i v_i exp(-C_i), C the running sum of -n_i / (tau * rate)
+    # after the first used block, whose weight is 1
+    rank = F.count(F.when(used, 1)).over(w)
+    decay = F.when(used & (F.col("_rank") > 1), -F.col(kept) / F.lit(tau * rate)).otherwise(F.lit(0.0))
+    weight = F.when(F.col("_rank") == 1, F.lit(1.0)).otherwise(F.lit(1.0) - F.exp(F.col("_b")))
+    term = F.when(used, weight * F.col(level) * F.exp(-F.col("_c")))
+    out = (rows.withColumn("_rank", rank).withColumn("_b", decay).withColumn("_c", F.sum("_b").over(w))
+               .withColumn("envelope", F.exp("_c") * F.sum(term).over(w)))
+    return drop_halo(out).select(*keys, "block_idx", "envelope")
 
 
 def smooth_bins(v: np.ndarray, width: int = 7) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import N_CHANNELS
-from ..operators.recurrence import gate_block, track_step
+from ..operators.recurrence import gate_rows, track_step
 from ..plans.detection import DetectConfig
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -115,16 +115,13 @@ def stream_impulse_gate(stream: DataFrame, factor: float = 6.0, frac: float = 0.
     alpha = 1.0 - math.exp(-size / (tau * rate))
 
     def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
-        avg = np.asarray(state.get[0]) if state.exists else None
-        rows = []
-        for p in _sorted(chunks, "block_idx").itertuples():
-            hot, blanked = 0, False
-            if len(p.i) == size:
-                hot, blanked, avg = gate_block(np.asarray(p.i) + 1j * np.asarray(p.q), avg, factor, frac, alpha)
-            rows.append((*key, p.block_idx, hot, blanked))
+        pdf = _sorted(chunks, "block_idx")
+        hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
+                                    np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
         if avg is not None:
             state.update((avg.tolist(),))
-        yield pd.DataFrame(rows, columns=schema.names)
+        yield pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)},
+                            "block_idx": pdf["block_idx"].tolist(), "n_hot": hots, "blanked": gone})
 
     return stream.groupBy(*keys).applyInPandasWithState(
         run, schema, T.StructType([T.StructField("avg", DOUBLES)]), "append", GroupStateTimeout.NoTimeout)

@@ -91,7 +91,7 @@ def test_cooldown_default_is_46(spark):
 
 def test_neighbours_over_segments(spark):
     rng = random.Random(2)
-    data = sorted({(rng.randrange(300), rng.randrange(12)) for _ in range(600)})
+    data = sorted({(rng.randrange(150), rng.randrange(12)) for _ in range(300)})
     live, want = [], []
     for f, c in data:
         live = [a for a in live if f - a[0] < 15]
@@ -107,7 +107,7 @@ def test_neighbours_over_segments(spark):
 def test_spaced_changes(spark, monkeypatch, fold):
     monkeypatch.setattr(runs, "FOLD_ROWS", fold)
     rng = random.Random(4)
-    data = [(k, i, float(i) / 3, rng.choice(["a", "b", None]), rng.randrange(2)) for k in ("p", "q") for i in range(300)]
+    data = [(k, i, float(i) / 3, rng.choice(["a", "b", None]), rng.randrange(2)) for k in ("p", "q") for i in range(120)]
     want = []
     for k in ("p", "q"):
         last = None
@@ -116,7 +116,7 @@ def test_spaced_changes(spark, monkeypatch, fold):
                 want.append(row)
                 last = row
     df = spark.createDataFrame(data, "client_id string, seq long, t double, a string, b long")
-    got = runs.on_change(df, ["a", "b"], time="t", min_gap=2.5, segment=23)
+    got = runs.on_change(df, ["a", "b"], time="t", min_gap=2.5, segment=50)
     assert [tuple(r) for r in got.orderBy("client_id", "seq").collect()] == want
 
 
@@ -144,18 +144,22 @@ def test_rolling_quantile_segments(spark, monkeypatch):
 def gate_sequential(blocks, factor, frac, alpha):
     avg, out = None, []
     for b in blocks:
-        hot, gone, avg = recurrence.gate_block(b, avg, factor, frac, alpha)
+        power = np.abs(np.fft.fft(b)) ** 2
+        avg = power if avg is None else avg
+        hot = int(np.sum(power > factor ** 2 * avg))
+        gone = hot > frac * len(b)
         out.append((hot, gone))
+        avg = avg if gone else (1 - alpha) * avg + alpha * power
     return out
 
 
 def test_impulse_gate_over_segments(spark):
     rng = np.random.default_rng(1)
-    blocks = rng.normal(size=(300, 16)) + 1j * rng.normal(size=(300, 16))
-    blocks[rng.choice(300, 12, replace=False)] *= 40
+    blocks = rng.normal(size=(100, 16)) + 1j * rng.normal(size=(100, 16))
+    blocks[rng.choice(100, 6, replace=False)] *= 40
     df = spark.createDataFrame([("s", i, b.real.tolist(), b.imag.tolist()) for i, b in enumerate(blocks)],
                                "stream_id string, block_idx long, i array<double>, q array<double>")
-    out = recurrence.impulse_gate(df, 3.0, 0.3, 16, rate=160.0, segment=40).orderBy("block_idx").collect()
+    out = recurrence.impulse_gate(df, 3.0, 0.3, 16, rate=160.0, segment=35).orderBy("block_idx").collect()
     want = gate_sequential(blocks, 3.0, 0.3, 1 - np.exp(-16 / 320))
     assert [(r.n_hot, r.blanked) for r in out] == want
     assert any(r.blanked for r in out)
@@ -163,7 +167,7 @@ def test_impulse_gate_over_segments(spark):
 
 def test_median_tracker_over_segments(spark):
     rng = np.random.default_rng(2)
-    spec = rng.normal(scale=0.5, size=(120, 9))
+    spec = rng.normal(scale=0.5, size=(50, 9))
     df = spark.createDataFrame([("r", i, s.tolist()) for i, s in enumerate(spec)],
                                "recording string, frame long, power_db array<double>")
     est, series = spec[0].copy(), []
@@ -171,9 +175,9 @@ def test_median_tracker_over_segments(spark):
         for s in spec:
             est = recurrence.track_step(est, s, 0.0625, 7)
             series.append(est)
-    one = recurrence.track_median(df, segment=25).orderBy("frame").collect()
-    assert np.allclose([r.est_db for r in one], series[:120])
-    two = recurrence.track_median(df, passes=2, segment=25).collect()
+    one = recurrence.track_median(df, segment=20).orderBy("frame").collect()
+    assert np.allclose([r.est_db for r in one], series[:50])
+    two = recurrence.track_median(df, passes=2, segment=20).collect()
     assert np.allclose(two[0].est_db, series[-1])
 
 
