@@ -8,11 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.arrow import DOUBLES, row_function
 from ..functions.numeric import N_CHANNELS, OFFSET_HZ, SPACING_HZ
 from ..scale import drop_halo, limit_arrow_rows, with_halo
 from .framing import KEYS, with_edges
+from .spectra import tone_levels
+
+_DOUBLES = T.ArrayType(T.DoubleType())
 
 #: Samples per window segment of the long-row filters.
 SEGMENT = 65_536
@@ -210,47 +215,115 @@ def analytic():
 
 # -- channeliser ---------------------------------------------------------------
 
+class ChannelBank:
+    """Mix to 0 Hz, low-pass, keep every m-th sample, high-pass, for all channels at once.
+
+    With both filters linear and the mixer fixed to absolute sample numbers, a
+    channel is one FIR c (low-pass convolved with the spread high-pass) whose taps
+    turn with the channel frequency: y[k] = e^{-j w m k} * sum_n c[n] e^{j w n} x[m k - n].
+    That is a matrix product of sample windows with a table of taps.
+    """
+
+    def __init__(self, rate: float, n: int, spacing: float, offset: float, m: int,
+                 lowpass: Sequence[float] | None, highpass: Sequence[float] | None):
+        lp = np.asarray(lowpass or fir_taps(7, 2700.0, rate))
+        hp = np.asarray(highpass or fir_taps(9, 300.0, rate / m, pass_zero=False))
+        spread = np.zeros((len(hp) - 1) * m + 1)
+        spread[::m] = hp
+        both = np.convolve(lp, spread)
+        self.rate, self.m = rate, m
+        self.hz = np.arange(n) * spacing + offset
+        #: Samples of the past that an output needs.
+        self.memory = len(both) - 1
+        at = np.arange(len(both))
+        self.taps = (both[:, None] * np.exp(2j * np.pi * np.outer(at, self.hz) / rate))[::-1]
+
+    def __call__(self, x: np.ndarray, first: int) -> np.ndarray:
+        """Channels x outputs from ``memory`` earlier samples and the block that starts at ``first``."""
+        rows = np.lib.stride_tricks.sliding_window_view(x, self.memory + 1)[::self.m]
+        turns = np.mod(np.outer(first + self.m * np.arange(len(rows)), self.hz), self.rate) / self.rate
+        return ((rows @ self.taps) * np.exp(-2j * np.pi * turns)).T
+
+
 def channelise(blocks: DataFrame, rate: float = 48_000.0, n: int = N_CHANNELS,
                spacing: float = SPACING_HZ, offset: float = OFFSET_HZ, m: int = 4,
                lowpass: Sequence[float] | None = None, highpass: Sequence[float] | None = None,
                keys: Sequence[str] = KEYS, re: str = "i", im: str = "q") -> DataFrame:
-    """Mix each channel to 0 Hz, low-pass, keep every ``m``-th sample, high-pass.
+    """Split each block into ``n`` channels; one output row per block and channel.
 
-    Blocks are independent: each gets the causal memory of both filters from its
-    predecessor, and the mixer uses absolute sample numbers. Block lengths must
-    be multiples of ``m``. One output row per block and channel.
+    Blocks are independent: each gets the causal memory of the filters from its
+    predecessor. Block lengths must be multiples of ``m``. The output is
+    n / m times the input: use ``channel_metrics`` when only metrics are wanted.
+    """
+    bank = ChannelBank(rate, n, spacing, offset, m, lowpass, highpass)
+    limit_arrow_rows(blocks.sparkSession)
+    edged = with_edges(blocks, [re, im], before=bank.memory, keys=keys)
+
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField("re", _DOUBLES), T.StructField("im", _DOUBLES)])))
+    def split(first: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        out = [bank(x, s) for s, x in _complex_rows(first, a, b)]
+        size = np.repeat([y.shape[1] for y in out], n)
+        part = lambda f: pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+            pa.array(np.concatenate([f(y).ravel() for y in out]) if out else np.empty(0)))
+        pairs = pa.StructArray.from_arrays([part(np.real), part(np.imag)], ["re", "im"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * n), pairs)
+
+    whole = lambda c: F.concat(f"{c}_head", F.col(c).cast(DOUBLES))
+    return (edged.select(*keys, "block_idx", "first_sample",
+                         split(F.col("first_sample").cast("bigint"), whole(re), whole(im)).alias("_y"))
+                 .select(*keys, "block_idx", "first_sample", F.posexplode("_y").alias("channel", "_c"))
+                 .select(*keys, "channel", "block_idx",
+                         F.floor(F.col("first_sample") / F.lit(m)).cast("long").alias("first_sample"),
+                         F.col("_c.re").alias(re), F.col("_c.im").alias(im)))
+
+
+def channel_metrics(blocks: DataFrame, block: int = 8192, rate: float = 48_000.0, n: int = N_CHANNELS,
+                    spacing: float = SPACING_HZ, offset: float = OFFSET_HZ, m: int = 4,
+                    size: int = 512, hop: int = 256, tone: float = 1000.0, tol: float = 200.0,
+                    keys: Sequence[str] = KEYS, re: str = "i", im: str = "q") -> DataFrame:
+    """Sample blocks to tone metrics (keys, frame, channel, lin, lo_hz, hi_hz) in one step.
+
+    A block gets the filter memory before it and the samples after it that its
+    last frames reach into, so channels and frames never leave the task: what is
+    shuffled is a fifth of a block's length, and what comes out is one row per
+    frame and channel. ``block`` must be a multiple of ``hop * m``.
     """
-    lp = np.asarray(lowpass or fir_taps(7, 2700.0, rate))
-    hp = np.asarray(highpass or fir_taps(9, 300.0, rate / m, pass_zero=False))
-    memory = (len(lp) - 1) + (len(hp) - 1) * m
-    memory += -memory % m
-    hz = np.arange(n) * spacing + offset
+    if block % (hop * m) or (size - hop) * m > block:
+        raise ValueError("block must be a multiple of hop * m and at least (size - hop) * m long")
+    bank = ChannelBank(rate, n, spacing, offset, m, None, None)
     limit_arrow_rows(blocks.sparkSession)
-    edged = with_edges(blocks, [re, im], before=memory, keys=keys)
-
-    def run(first, x_re, x_im):
-        start = first[:, 0].astype(np.int64) - memory
-        count = x_re.shape[1]
-        out_re, out_im = [], []
-        for s, a, b in zip(start, x_re, x_im):
-            x = a + 1j * b
-            at = s + np.arange(count)
-            # f * n / rate, reduced to one turn before the exponential
-            turns = np.mod(np.outer(hz, at), rate) / rate
-            mixed = x * np.exp(-2j * np.pi * turns)
-            low = np.stack([np.convolve(r, lp, mode="full")[:count] for r in mixed])[:, ::m]
-            high = np.stack([np.convolve(r, hp, mode="full")[: low.shape[1]] for r in low])
-            own = high[:, memory // m:]
-            out_re.append(own.real.ravel())
-            out_im.append(own.imag.ravel())
-        return out_re, out_im
-    split = row_function(run, [("re", DOUBLES), ("im", DOUBLES)])
-    wide = edged.select(*keys, "block_idx", "first_sample", F.ceil(F.size(re) / F.lit(m)).cast("int").alias("_len"),
-                        split(F.array(F.col("first_sample").cast("double")),
-                              F.concat(f"{re}_head", F.col(re).cast(DOUBLES)),
-                              F.concat(f"{im}_head", F.col(im).cast(DOUBLES))).alias("_y"))
-    part = lambda c: F.slice(F.col(f"_y.{c}"), F.col("channel") * F.col("_len") + 1, F.col("_len"))
-    return (wide.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-                .select(*keys, "channel", "block_idx",
-                        F.floor(F.col("first_sample") / F.lit(m)).cast("long").alias("first_sample"),
-                        part("re").alias(re), part("im").alias(im)))
+    edged = with_edges(blocks, [re, im], before=bank.memory, after=(size - hop) * m, keys=keys, fill=("head",))
+    fields = [("frame", T.LongType(), pa.int64()), ("channel", T.IntegerType(), pa.int32()),
+              *[(c, T.DoubleType(), pa.float64()) for c in ("lin", "lo_hz", "hi_hz")]]
+
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField(c, t) for c, t, _ in fields])))
+    def measure(first: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        count, cols = [0], [[np.empty(0)] for _ in fields]
+        for start, x in _complex_rows(first, a, b):
+            y = bank(x, start)
+            held = min(block // (hop * m), (y.shape[1] - size) // hop + 1) if y.shape[1] >= size else 0
+            count.append(held * n)
+            if held:
+                cut = np.lib.stride_tricks.sliding_window_view(y, size, axis=1)[:, ::hop][:, :held]
+                _, _, lin, lo_hz, hi_hz = tone_levels(cut, rate / m, tone, tol)
+                frame = np.broadcast_to(start // (hop * m) + np.arange(held), (n, held))
+                channel = np.broadcast_to(np.arange(n)[:, None], (n, held))
+                for col, v in zip(cols, (frame, channel, lin, lo_hz, hi_hz)):
+                    col.append(v.ravel())
+        rows = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(col).astype(t.to_pandas_dtype())) for col, (_, _, t) in zip(cols, fields)],
+            [c for c, _, _ in fields])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), rows)
+
+    whole = lambda c: F.concat(f"{c}_head", F.col(c).cast(DOUBLES), f"{c}_tail")
+    return (edged.select(*keys, F.explode(measure(F.col("first_sample").cast("bigint"), whole(re), whole(im)))
+                         .alias("_m")).select(*keys, "_m.*"))
+
+
+def _complex_rows(first: pa.Array, re: pa.Array, im: pa.Array):
+    """(first sample, complex samples) of each row of an Arrow batch."""
+    x = re.flatten().to_numpy(zero_copy_only=False) + 1j * im.flatten().to_numpy(zero_copy_only=False)
+    at = re.offsets.to_numpy() - re.offsets[0].as_py()
+    for k, s in enumerate(first.to_numpy(zero_copy_only=False)):
+        yield int(s), x[at[k]:at[k + 1]]

@@ -41,11 +41,12 @@ def to_samples(blocks: DataFrame, cols: Sequence[str] = ("x",), keys: Sequence[s
 
 
 def with_edges(blocks: DataFrame, cols: Sequence[str], before: int = 0, after: int = 0,
-               keys: Sequence[str] = KEYS, fill: bool = True) -> DataFrame:
+               keys: Sequence[str] = KEYS, fill: Sequence[str] = ("head", "tail")) -> DataFrame:
     """Attach the last ``before`` samples of the previous block as ``<col>_head`` and the
     first ``after`` of the next as ``<col>_tail``; only these slices are moved.
 
-    ``fill`` puts zeros where there is no neighbour (zero initial state).
+    Edges named in ``fill`` get zeros where there is no neighbour (zero initial
+    state); others are then empty.
     """
     by = [*keys, "block_idx"]
     out = blocks
@@ -57,13 +58,13 @@ def with_edges(blocks: DataFrame, cols: Sequence[str], before: int = 0, after: i
         edge = blocks.select(*keys, (F.col("block_idx") + shift).alias("block_idx"),
                              *[piece(c).alias(f"{c}_{name}") for c in cols])
         out = out.join(edge, by, "left")
-        if fill:
-            for c in cols:
-                have = F.coalesce(F.col(f"{c}_{name}").cast("array<double>"),
-                                  F.array().cast("array<double>"))
+        for c in cols:
+            have = F.coalesce(F.col(f"{c}_{name}").cast("array<double>"),
+                              F.array().cast("array<double>"))
+            if name in fill:
                 pad = F.array_repeat(F.lit(0.0), F.lit(width) - F.size(have))
-                out = out.withColumn(f"{c}_{name}",
-                                     F.concat(pad, have) if name == "head" else F.concat(have, pad))
+                have = F.concat(pad, have) if name == "head" else F.concat(have, pad)
+            out = out.withColumn(f"{c}_{name}", have)
     return out
 
 
@@ -96,8 +97,8 @@ def frames_of_blocks(blocks: DataFrame, size: int, hop: int, block: int,
     """Full frames cut straight out of blocks; ``block`` must be a multiple of ``hop``."""
     if block % hop or size - hop > block:
         raise ValueError("block must be a multiple of hop and at least size - hop long")
-    edged = with_edges(blocks, cols, after=size - hop, keys=keys, fill=False)
-    joined = {c: F.concat(F.col(c), F.coalesce(F.col(f"{c}_tail"), F.slice(c, 1, 0))) for c in cols}
+    edged = with_edges(blocks, cols, after=size - hop, keys=keys, fill=())
+    joined = {c: F.concat(F.col(c).cast("array<double>"), F.col(f"{c}_tail")) for c in cols}
     wide = edged.select(*keys, "first_sample", *[v.alias(c) for c, v in joined.items()])
     count = F.least(F.lit(block // hop),
                     F.floor((F.size(cols[0]) - F.lit(size)) / F.lit(hop)).cast("int") + 1)

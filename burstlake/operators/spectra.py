@@ -71,6 +71,21 @@ def squared_spectrum(rate: float, fc: float, ntol: float, edge: int = 12, two_si
     return row_function(run, [("spec_db", DOUBLES), ("det_raw", "double")])
 
 
+def tone_levels(x: np.ndarray, rate: float, tone: float, tol: float) -> tuple[np.ndarray, ...]:
+    """Tone pair of complex frames along the last axis: lo, hi, their mean, and both frequencies."""
+    n = x.shape[-1]
+    amp = np.abs(np.fft.fft(x * x * np.hanning(n), axis=-1)) / n
+    hz = np.fft.fftfreq(n, 1.0 / rate)
+    found = []
+    for centre in (-tone, tone):
+        near = np.flatnonzero((hz >= centre - tol) & (hz <= centre + tol))
+        near = near[np.argsort(hz[near])]
+        part = amp[..., near]
+        found.append((part.max(axis=-1), hz[near][part.argmax(axis=-1)]))
+    (lo, lo_hz), (hi, hi_hz) = found
+    return lo, hi, (lo + hi) / 2.0, lo_hz, hi_hz
+
+
 def tone_pair(rate: float, tone: float = 1000.0, tol: float = 200.0):
     """(re, im) of a channel frame -> struct(lo_lin, hi_lin, lin, lo_hz, hi_hz).
 
@@ -78,15 +93,7 @@ def tone_pair(rate: float, tone: float = 1000.0, tol: float = 200.0):
     their mean amplitude as the metric.
     """
     def run(re, im):
-        n = re.shape[1]
-        x = np.abs(np.fft.fft((re + 1j * im) ** 2 * np.hanning(n), axis=1)) / n
-        x = np.fft.fftshift(x, axes=1)
-        hz = np.fft.fftshift(np.fft.fftfreq(n, 1.0 / rate))
-        lo = np.flatnonzero((hz >= -tone - tol) & (hz <= -tone + tol))
-        hi = np.flatnonzero((hz >= tone - tol) & (hz <= tone + tol))
-        lo_at, hi_at = x[:, lo].argmax(axis=1), x[:, hi].argmax(axis=1)
-        a, b = x[:, lo].max(axis=1), x[:, hi].max(axis=1)
-        return a, b, (a + b) / 2.0, hz[lo][lo_at], hz[hi][hi_at]
+        return tone_levels(re + 1j * im, rate, tone, tol)
     return row_function(run, [(c, "double") for c in ("lo_lin", "hi_lin", "lin", "lo_hz", "hi_hz")])
 
 

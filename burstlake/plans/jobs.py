@@ -82,10 +82,13 @@ def tuning_history(lines: DataFrame, keys: Sequence[str], line: str = "line",
                    min_gap: float = 0.0) -> DataFrame:
     """Changes of centre frequency (MHz) and bandwidth (Hz) told by status lines."""
     field = lambda k: F.nullif(msg.kv_value(F.col(line), k), F.lit(""))
-    tuned = num.let(F.struct(field("center").alias("c"), field("bandwidth").alias("b")), lambda v: F.struct(
+    raw = F.struct(field("center").alias("c"), field("bandwidth").alias("b"))
+    tuned = F.transform(F.array(raw), lambda v: F.struct(
         num.freq_mhz(v["c"]).alias("centre_mhz"), num.bandwidth_hz(v["b"]).alias("bandwidth_hz")))
-    rows = lines.select(*keys, *order, *([time] if time and time not in order else []), tuned.alias("_t"))
-    rows = rows.where(F.col("_t.centre_mhz").isNotNull() | F.col("_t.bandwidth_hz").isNotNull())
+    some = F.filter(tuned, lambda t: t["centre_mhz"].isNotNull() | t["bandwidth_hz"].isNotNull())
+    # exploding none or one value evaluates a line once
+    rows = lines.select(*keys, *order, *([time] if time and time not in order else []),
+                        F.explode(some).alias("_t"))
     rows = rows.select(*[c for c in rows.columns if c != "_t"], "_t.centre_mhz", "_t.bandwidth_hz")
     return on_change(rows, ["centre_mhz", "bandwidth_hz"], keys, order, time, min_gap)
 

@@ -31,11 +31,12 @@ def parse_log(lines: DataFrame, schema: T.StructType = DECODE_LOG, since: str |
     whose time does not parse. Other columns of ``lines`` are carried along.
     """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = (lines.where(strip(F.col(col)) != "")
-              .withColumn("_j", F.from_json(col, wide, {"columnNameOfCorruptRecord": CORRUPT}))
-              .where(F.col("_j").isNotNull() & F.col(f"_j.{CORRUPT}").isNull()))
-    out = parsed.select(*[c for c in lines.columns if c != col],
-                        *[F.col(f"_j.{f.name}").alias(f.name) for f in schema.fields],
+    entry = F.filter(F.array(F.from_json(col, wide, {"columnNameOfCorruptRecord": CORRUPT})),
+                     lambda j: j.isNotNull() & j[CORRUPT].isNull())
+    keep = [c for c in lines.columns if c != col]
+    # exploding none or one entry parses a line once, however the columns are used
+    parsed = lines.where(strip(F.col(col)) != "").select(*keep, F.explode(entry).alias("_j"))
+    out = parsed.select(*keep, *[F.col(f"_j.{f.name}").alias(f.name) for f in schema.fields],
                         log_time(F.col("_j.timestamp")).alias("logged_at"))
     if since is None:
         return out

@@ -269,6 +269,27 @@ def channelised(spark, sf):
                       r(F.col("_s.i"), 5).alias("i"), r(F.col("_s.q"), 5).alias("q"))
 
 
+def metrics_of_blocks(spark, sf):
+    s = series(spark, sf).withColumn("q", -F.col("x") / 2)
+    blocks = framing.to_blocks(s, 128, ("x", "q")).withColumnsRenamed({"x": "i"})
+    m = filters.channel_metrics(blocks, 128, n=3, size=32, hop=16, tol=400.0)
+    return m.select("stream_id", "frame", "channel", r(F.col("lin"), 5).alias("lin"))
+
+
+def metrics_sql() -> str:
+    high = channel_sql().rsplit("SELECT", 1)[0]
+    return high.rstrip() + f""",
+ cut AS (SELECT stream_id || '/' || channel || '/' || f AS frame, n - f * 16 AS n, re * re - im * im AS a, 2 * re * im AS b
+    FROM high, LATERAL (SELECT unnest(range(greatest((n - 16) // 16, 0), n // 16 + 1)) AS f) WHERE n < f * 16 + 32),
+ full_frames AS (SELECT frame FROM cut GROUP BY frame HAVING count(*) = 32),
+ win AS (SELECT frame, n, a * {HANN32} AS re, b * {HANN32} AS im FROM cut WHERE frame IN (SELECT frame FROM full_frames)),
+ """ + dft("win", 32) + """,
+ lev AS (SELECT frame, (CASE WHEN k < 16 THEN k ELSE k - 32 END) * 375.0 AS hz, sqrt(re * re + im * im) / 32 AS amp FROM spec)
+SELECT split_part(frame, '/', 1) AS stream_id, split_part(frame, '/', 3)::BIGINT AS frame, split_part(frame, '/', 2)::INT AS channel,
+  round((max(amp) FILTER (WHERE abs(hz + 1000) <= 400) + max(amp) FILTER (WHERE abs(hz - 1000) <= 400)) / 2, 5) + 0.0 AS lin
+FROM lev GROUP BY lev.frame"""
+
+
 def channel_sql() -> str:
     parts = []
     for k in range(3):
@@ -652,6 +673,7 @@ QUERIES = {
     "spectral_equalise": spectral_equalise,
     "analytic_signal": analytic_signal,
     "channelise": channelised,
+    "channel_metrics": metrics_of_blocks,
     "waterfall_frames": waterfall,
     "psd_two_sided": psd_complex,
     "psd_one_sided": psd_real,
@@ -723,6 +745,7 @@ SELECT stream_id, n, round(avg(x) OVER (PARTITION BY stream_id ORDER BY n ROWS B
     "spectral_equalise": "WITH " + REAL64 + ", " + inverse_sql(EQUALISE_GAIN, 64, "x64", True),
     "analytic_signal": "WITH " + REAL64 + ", " + inverse_sql(ANALYTIC_GAIN, 64, "x64", False),
     "channelise": channel_sql(),
+    "channel_metrics": metrics_sql(),
     "waterfall_frames": "WITH " + IQ32 + f", win AS (SELECT frame, n, re * {HANN32} AS re, im * {HANN32} AS im FROM iq32), "
         + dft("win", 32) + f"""
 SELECT frame, ((k + 16) % 32)::INT AS bin,

@@ -146,7 +146,11 @@ def test_burst_is_detected_at_its_channel(spark):
     fr = framing.frames_of_blocks(ch, 512, 256, 2048, ("i", "q"), ("stream_id", "channel"))
     metrics = fr.select("stream_id", "frame", "channel", spectra.tone_pair(12_000.0)("i", "q").alias("t")).select(
         "stream_id", "frame", "channel", "t.lin", "t.lo_hz", "t.hi_hz")
-    found = detect(metrics, DetectConfig(threshold_db=20.0, max_channels=49, max_span=48)).collect()
+    # the same without channels leaving their task
+    fused = filters.channel_metrics(blocks)
+    key = lambda df: sorted((r.frame, r.channel, round(r.lin, 9), r.lo_hz, r.hi_hz) for r in df.collect())
+    assert key(fused) == key(metrics)
+    found = detect(fused, DetectConfig(threshold_db=20.0, max_channels=49, max_span=48)).collect()
     # 24,000 samples at 12 kHz are 93.75 hops; the metric is raised until the burst ends at 107.4
     assert found and all(91 <= r.frame <= 108 for r in found)
     best = max(found, key=lambda r: r.metric_db)
