@@ -98,7 +98,7 @@ def halve(blocks: DataFrame, times: int, taps: Sequence[float], cols: Sequence[s
     return blocks
 
 
-def soft_blank(blocks: DataFrame, half: int = 24, x: str = "x", mask: str = "mask",
+def soft_blank(blocks: DataFrame, half: int = 24, cols: Sequence[str] = ("x",), mask: str = "mask",
                keys: Sequence[str] = KEYS) -> DataFrame:
     """Multiply by 1 - min(mask convolved with a Hann bump of 2 * half + 1 points, 1)."""
     bump = np.hanning(2 * half + 1)
@@ -106,14 +106,14 @@ def soft_blank(blocks: DataFrame, half: int = 24, x: str = "x", mask: str = "mas
 
     def run(head, body, tail):
         full = np.concatenate([head, body, tail], axis=1)
-        return np.stack([1.0 - np.minimum(np.convolve(row, bump, mode="valid"), 1.0) for row in full])
-    gain = row_function(run, DOUBLES)
+        return np.stack([1.0 - np.minimum(np.convolve(row, bump, mode="valid"), 1.0) if row.any()
+                         else np.ones(body.shape[1]) for row in full])
+    gain, product = row_function(run, DOUBLES), row_function(lambda x, g: x * g, DOUBLES)
     limit_arrow_rows(blocks.sparkSession)
     edged = with_edges(blocks, [mask], before=half, after=half, keys=keys)
-    return (edged.withColumn("_g", gain(F.col(f"{mask}_head"), F.col(mask).cast(DOUBLES),
-                                        F.col(f"{mask}_tail")))
-                 .withColumn(x, F.zip_with(F.col(x), F.col("_g"), lambda a, g: a * g))
-                 .drop("_g", f"{mask}_head", f"{mask}_tail"))
+    kept = gain(F.col(f"{mask}_head"), F.col(mask).cast(DOUBLES), F.col(f"{mask}_tail"))
+    return (edged.withColumns({c: product(F.col(c).cast(DOUBLES), kept) for c in cols})
+                 .drop(f"{mask}_head", f"{mask}_tail"))
 
 
 # -- resampling ---------------------------------------------------------------
@@ -237,12 +237,16 @@ class ChannelBank:
         self.memory = len(both) - 1
         at = np.arange(len(both))
         self.taps = (both[:, None] * np.exp(2j * np.pi * np.outer(at, self.hz) / rate))[::-1]
+        self.turning = np.empty((0, n))
 
     def __call__(self, x: np.ndarray, first: int) -> np.ndarray:
         """Channels x outputs from ``memory`` earlier samples and the block that starts at ``first``."""
         rows = np.lib.stride_tricks.sliding_window_view(x, self.memory + 1)[::self.m]
-        turns = np.mod(np.outer(first + self.m * np.arange(len(rows)), self.hz), self.rate) / self.rate
-        return ((rows @ self.taps) * np.exp(-2j * np.pi * turns)).T
+        if len(self.turning) < len(rows):
+            turns = np.mod(np.outer(self.m * np.arange(len(rows)), self.hz), self.rate) / self.rate
+            self.turning = np.exp(-2j * np.pi * turns)
+        start = np.exp(-2j * np.pi * (np.mod(self.hz * first, self.rate) / self.rate))
+        return ((np.ascontiguousarray(rows) @ (self.taps * start)) * self.turning[:len(rows)]).T
 
 
 def channelise(blocks: DataFrame, rate: float = 48_000.0, n: int = N_CHANNELS,

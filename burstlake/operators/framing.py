@@ -40,6 +40,17 @@ def to_samples(blocks: DataFrame, cols: Sequence[str] = ("x",), keys: Sequence[s
                           *[F.col(f"_s.{c}").alias(c) for c in cols]))
 
 
+def split_blocks(blocks: DataFrame, size: int, cols: Sequence[str] = ("x",),
+                 keys: Sequence[str] = KEYS) -> DataFrame:
+    """Blocks cut into blocks of ``size`` samples, which must divide their length; nothing is shuffled."""
+    part = lambda k: F.struct(*[F.slice(c, k * size + 1, size).alias(c) for c in cols])
+    last = F.ceil(F.size(cols[0]) / F.lit(size)).cast("int") - 1
+    return (blocks.select(*keys, "first_sample", F.posexplode(F.transform(
+                F.sequence(F.lit(0), last), part)).alias("_k", "_s"))
+            .select(*keys, (F.floor(F.col("first_sample") / F.lit(size)) + F.col("_k")).cast("long").alias("block_idx"),
+                    (F.col("first_sample") + F.col("_k") * size).alias("first_sample"), "_s.*"))
+
+
 def with_edges(blocks: DataFrame, cols: Sequence[str], before: int = 0, after: int = 0,
                keys: Sequence[str] = KEYS, fill: Sequence[str] = ("head", "tail")) -> DataFrame:
     """Attach the last ``before`` samples of the previous block as ``<col>_head`` and the

@@ -33,28 +33,41 @@ def gate_blocks(blocks: np.ndarray, avg: np.ndarray | None, factor: float, frac:
 
 
 def gate_rows(re, im, size, avg, factor, frac, alpha):
-    """``gate_blocks`` on columns of arrays; partial blocks pass and change nothing."""
-    full = np.array([len(a) == size for a in re], dtype=bool)
+    """``gate_blocks`` on rows of arrays, each cut into blocks of ``size`` samples.
+
+    Returns (blocks per row, hot bins, blanked, last average). A partial last
+    block of a row passes and changes nothing.
+    """
+    whole = np.array([len(a) // size for a in re], dtype=np.int64)
+    count = np.array([-(-len(a) // size) for a in re], dtype=np.int64)
+    full = np.ones(count.sum(), dtype=bool)
+    full[(np.cumsum(count) - 1)[count > whole]] = False
+    join = lambda col: np.concatenate([np.asarray(a)[:k * size] for a, k in zip(col, whole)])
     hots, gone = np.zeros(len(full), dtype=np.int64), np.zeros(len(full), dtype=bool)
     if full.any():
-        stack = lambda col: np.stack([a for a, ok in zip(col, full) if ok])
-        hots[full], gone[full], avg = gate_blocks(stack(re) + 1j * stack(im), avg, factor, frac, alpha)
-    return hots, gone, avg
+        hots[full], gone[full], avg = gate_blocks((join(re) + 1j * join(im)).reshape(-1, size), avg,
+                                                  factor, frac, alpha)
+    return count, hots, gone, avg
 
 
 def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, size: int = 256,
                  rate: float = 48_000.0, tau: float = 2.0, keys: Sequence[str] = ("stream_id",),
-                 re: str = "i", im: str = "q", segment: int = 11_250) -> DataFrame:
+                 re: str = "i", im: str = "q", segment: int = 11_250,
+                 block: int | None = None) -> DataFrame:
     """Blocks of ``size`` samples -> (keys, block_idx, n_hot, blanked).
 
+    Rows may hold ``block`` samples, a multiple of ``size``; block_idx of the
+    result counts blocks of ``size``.
+
     A block is blanked when more than ``frac`` of its bins exceed factor^2 times
     their running average; only clean blocks enter the average, which starts from
     the first block. A partial last block passes. Segments of a stream run in
     parallel and hand their averages on until they agree to 1e-12; the average
     forgets within a few ``tau``, so the default minute per segment settles fast.
     """
-    keys = list(keys)
-    rows = cut_lineage(blocks.withColumn("_seg", F.floor(F.col("block_idx") / F.lit(segment)).cast("long"))
+    keys, per = list(keys), (block or size) // size
+    in_seg = max(1, segment // per)
+    rows = cut_lineage(blocks.withColumn("_seg", F.floor(F.col("block_idx") / F.lit(in_seg)).cast("long"))
                        .select(*keys, "_seg", "block_idx", F.col(re).cast("array<double>").alias("re"),
                                F.col(im).cast("array<double>").alias("im")))
     kept = [f for f in rows.schema.fields if f.name in keys]
@@ -65,14 +78,26 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
 
     def step(pdf: pd.DataFrame, state):
         pdf = pdf.sort_values("block_idx")
-        hots, gone, avg = gate_rows(pdf["re"], pdf["im"], size, np.asarray(state) if state else None,
-                                    factor, frac, alpha)
-        out = pdf[[*keys, "block_idx"]].assign(n_hot=hots, blanked=gone)
+        count, hots, gone, avg = gate_rows(pdf["re"], pdf["im"], size, np.asarray(state) if state else None,
+                                           factor, frac, alpha)
+        at = np.concatenate([i * per + np.arange(c) for i, c in zip(pdf["block_idx"], count)])
+        out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "block_idx": at, "n_hot": hots, "blanked": gone})
         return out, ([] if avg is None else avg.tolist())
 
     return scan_segments(rows, keys, "_seg", step, schema, tol=1e-12)
 
 
+def gate_mask(blocks: DataFrame, gate: DataFrame, block: int = 8192, size: int = 256,
+              keys: Sequence[str] = ("stream_id",), re: str = "i") -> DataFrame:
+    """Add ``mask`` to blocks of ``block`` samples: 1.0 where the gate blanked, per sample."""
+    flag = F.struct(F.col("block_idx").alias("at"), F.when(F.col("blanked"), 1.0).otherwise(0.0).alias("v"))
+    flags = (gate.groupBy(*keys, F.floor(F.col("block_idx") * size / F.lit(block)).cast("long").alias("_b"))
+                 .agg(F.sort_array(F.collect_list(flag)).alias("_f"))
+                 .withColumnRenamed("_b", "block_idx"))
+    wide = F.slice(F.flatten(F.transform("_f", lambda f: F.array_repeat(f["v"], size))), 1, F.size(re))
+    return blocks.join(flags, [*keys, "block_idx"]).withColumn("mask", wide).drop("_f")
+
+
 def envelope(blocks: DataFrame, size: int = 256, rate: float = 48_000.0, tau: float = 2.0,
              keys: Sequence[str] = ("stream_id",), kept: str = "n_ok", level: str = "mean_abs",
              segment: int = 16_384, digits: float = 40.0) -> DataFrame:

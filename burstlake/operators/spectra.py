@@ -74,13 +74,13 @@ def squared_spectrum(rate: float, fc: float, ntol: float, edge: int = 12, two_si
 def tone_levels(x: np.ndarray, rate: float, tone: float, tol: float) -> tuple[np.ndarray, ...]:
     """Tone pair of complex frames along the last axis: lo, hi, their mean, and both frequencies."""
     n = x.shape[-1]
-    amp = np.abs(np.fft.fft(x * x * np.hanning(n), axis=-1)) / n
+    spec = np.fft.fft(x * x * np.hanning(n), axis=-1)
     hz = np.fft.fftfreq(n, 1.0 / rate)
     found = []
     for centre in (-tone, tone):
         near = np.flatnonzero((hz >= centre - tol) & (hz <= centre + tol))
         near = near[np.argsort(hz[near])]
-        part = amp[..., near]
+        part = np.abs(spec[..., near]) / n
         found.append((part.max(axis=-1), hz[near][part.argmax(axis=-1)]))
     (lo, lo_hz), (hi, hi_hz) = found
     return lo, hi, (lo + hi) / 2.0, lo_hz, hi_hz

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import EDGE_SKIP, carrier_hz, channel_hz, not_edge
 from ..operators.baseline import metric_db, rolling_quantile
+from ..operators.filters import channel_metrics, soft_blank
 from ..operators.gates import coincidence_gate, cooldown
+from ..operators.recurrence import gate_mask, impulse_gate
+from ..scale import cut_lineage
+
+#: Samples per block of the impulse gate.
+GATE_SIZE = 256
 
 
 @dataclass(frozen=True)
@@ -55,3 +61,17 @@ def detect(df: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
     fc = (carrier_hz(F.col("lo_hz"), F.col("hi_hz"), F.col("channel")) if len(tones) == 2
           else channel_hz(F.col("channel")))
     return found.withColumn("fc_hz", fc)
+
+
+def receive(blocks: DataFrame, cfg: DetectConfig = DetectConfig(), block: int = 8192,
+            rate: float = 48_000.0, blank: bool = True) -> DataFrame:
+    """Sample blocks (stream_id, block_idx, first_sample, i, q) to detections.
+
+    Impulses are gated and blanked, then the metrics of all channels measured.
+    The metrics, one row per frame and channel, are written once, as the
+    detection chain is much smaller than the signal work before it.
+    """
+    if blank:
+        gate = impulse_gate(blocks, size=GATE_SIZE, rate=rate, block=block)
+        blocks = soft_blank(gate_mask(blocks, gate, block, GATE_SIZE), cols=("i", "q"))
+    return detect(cut_lineage(channel_metrics(blocks, block, rate)), cfg)

@@ -116,8 +116,8 @@ def stream_impulse_gate(stream: DataFrame, factor: float = 6.0, frac: float = 0.
 
     def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = _sorted(chunks, "block_idx")
-        hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
-                                    np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
+        _, hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
+                                       np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
         if avg is not None:
             state.update((avg.tolist(),))
         yield pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)},

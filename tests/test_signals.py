@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import numeric as num
 from burstlake.operators import filters, framing, spectra
-from burstlake.plans.detection import DetectConfig, detect
+from burstlake.operators import recurrence
+from burstlake.plans.detection import DetectConfig, detect, receive
 
 
 def stream(spark, x, name="s"):
@@ -162,3 +163,26 @@ def test_channel_labels(spark):
     rows = df.select("k", num.channel_signed(F.col("k")).alias("s"), num.channel_display(F.col("k")).alias("d")).collect()
     assert [(r.s, r.d) for r in rows if r.k in (0, 24, 25, 47)] == [(0, 24), (24, 0), (-23, 1), (-1, 23)]
     assert num.drop_edge(df.withColumnRenamed("k", "channel")).count() == 39
+
+
+def test_impulse_is_blanked_on_the_way(spark):
+    """A click of 300 samples trips the gate; the samples round it are faded, the rest is untouched."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=4 * 8192) + 1j * rng.normal(size=4 * 8192)
+    x[8180:8480] *= 200
+    blocks = spark.createDataFrame(
+        [("s", b, b * 8192, x.real[b * 8192:(b + 1) * 8192].tolist(), x.imag[b * 8192:(b + 1) * 8192].tolist()) for b in range(4)],
+        "stream_id string, block_idx long, first_sample long, i array<double>, q array<double>")
+    small = framing.split_blocks(blocks, 256, ("i", "q"))
+    assert np.allclose(back(framing.to_samples(small, ("i", "q"))), x)
+    gate = recurrence.impulse_gate(small)
+    assert {r.block_idx for r in gate.where("blanked").collect()} == {31, 32, 33}
+    wide = recurrence.impulse_gate(blocks, block=8192)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, gate.collect()))
+    mask = np.zeros(x.size)
+    mask[31 * 256:34 * 256] = 1.0
+    want = x * (1 - np.minimum(np.convolve(mask, np.hanning(49), mode="same"), 1.0))
+    clean = filters.soft_blank(recurrence.gate_mask(blocks, gate), cols=("i", "q"))
+    assert np.allclose(back(framing.to_samples(clean, ("i", "q"))), want)
+    loud = detect(filters.channel_metrics(blocks), DetectConfig(threshold_db=15.0, max_channels=49, max_span=48)).count()
+    assert loud > 0 and receive(blocks, DetectConfig(threshold_db=15.0, max_channels=49, max_span=48)).count() == 0
