@@ -54,29 +54,40 @@ def split_blocks(blocks: DataFrame, size: int, cols: Sequence[str] = ("x",),
 def with_edges(blocks: DataFrame, cols: Sequence[str], before: int = 0, after: int = 0,
                keys: Sequence[str] = KEYS, fill: Sequence[str] = ("head", "tail")) -> DataFrame:
     """Attach the last ``before`` samples of the previous block as ``<col>_head`` and the
-    first ``after`` of the next as ``<col>_tail``; only these slices are moved.
+    first ``after`` of the next as ``<col>_tail``.
 
     Edges named in ``fill`` get zeros where there is no neighbour (zero initial
     state); others are then empty.
     """
     by = [*keys, "block_idx"]
-    out = blocks
-    for width, shift, name in ((before, 1, "head"), (after, -1, "tail")):
-        if not width:
-            continue
-        piece = lambda c: (F.slice(c, F.greatest(F.size(c) - width + 1, F.lit(1)), width)
-                           if shift == 1 else F.slice(c, 1, width))
-        edge = blocks.select(*keys, (F.col("block_idx") + shift).alias("block_idx"),
-                             *[piece(c).alias(f"{c}_{name}") for c in cols])
-        out = out.join(edge, by, "left")
-        for c in cols:
-            have = F.coalesce(F.col(f"{c}_{name}").cast("array<double>"),
-                              F.array().cast("array<double>"))
-            if name in fill:
-                pad = F.array_repeat(F.lit(0.0), F.lit(width) - F.size(have))
-                have = F.concat(pad, have) if name == "head" else F.concat(have, pad)
-            out = out.withColumn(f"{c}_{name}", have)
-    return out
+    rest = [c for c in blocks.columns if c not in by]
+    widths = {name: w for name, w in (("head", before), ("tail", after)) if w}
+    # A block goes to its own number and its edges to the neighbours', in one
+    # scan and one shuffle; joining edges back would read the input three times.
+    cut = {"head": lambda c, w: F.slice(c, F.greatest(F.size(c) - w + 1, F.lit(1)), w),
+           "tail": lambda c, w: F.slice(c, 1, w)}
+    edge = {name: F.struct(*[cut[name](c, w).cast("array<double>").alias(c) for c in cols])
+            for name, w in widths.items()}
+    parts = {"own": F.struct(*rest), **edge}
+    shift = {"own": 0, "head": 1, "tail": -1}
+    piece = lambda role: F.struct((F.col("block_idx") + shift[role]).cast("long").alias("block_idx"), *[
+        (v if name == role else F.when(F.lit(False), v)).alias(f"_{name}") for name, v in parts.items()])
+    met = (blocks.select(*keys, F.explode(F.array(*[piece(role) for role in parts])).alias("_p"))
+                 .select(*keys, "_p.*").groupBy(*by)
+                 .agg(*[F.collect_list(f"_{name}").alias(f"_{name}") for name in parts])
+                 .where(F.size("_own") > 0))
+    out = met.select(*by, F.get("_own", F.lit(0)).alias("_own"),
+                     *[F.get(f"_{name}", F.lit(0)).alias(f"_{name}") for name in widths])
+
+    def neighbour(name: str, c: str, w: int) -> Column:
+        have = F.coalesce(F.col(f"_{name}.{c}"), F.array().cast("array<double>"))
+        if name not in fill:
+            return have
+        pad = F.array_repeat(F.lit(0.0), F.lit(w) - F.size(have))
+        return F.concat(pad, have) if name == "head" else F.concat(have, pad)
+
+    return out.select(*[F.col(c) if c in by else F.col(f"_own.{c}").alias(c) for c in blocks.columns],
+                      *[neighbour(name, c, w).alias(f"{c}_{name}") for name, w in widths.items() for c in cols])
 
 
 def frames(df: DataFrame, size: int, hop: int, tail: str = "drop", pad_to: int | None = None,
