@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.llm import chat, secrets
+from burstlake.llm import chat, packing, secrets
 from burstlake.llm.common import table
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -46,5 +46,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_secrets": op2_secrets}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_secrets": op2_secrets, "op3_packing": op3_packing}
 SQL = {"op1_chat": OP1_SQL}
