@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.llm import chat, packing, quality, secrets, sharding, simhash, warc
+from burstlake.llm import chat, mixing, packing, quality, secrets, sharding, simhash, warc
 from burstlake.llm.common import table
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -68,6 +68,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weights_report(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
 }
@@ -85,4 +90,5 @@ SQL = {
     "op1_chat": OP1_SQL,
     "op4_warc": warc.SQL,
     "op5_quality": quality.SQL,
+    "op6_mixing": mixing.SQL,
 }
