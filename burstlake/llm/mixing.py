@@ -48,18 +48,20 @@ def number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def _fits(shares: DataFrame, low: float, high: float, entropy: float, repeats: float, budget: float) -> list[bool]:
+def _fits(shares: DataFrame, low: float, high: float, entropy: float, repeats: float, budget: float | None) -> list[bool]:
     """For the exponents that cut the bracket into POINTS parts: whether entropy and repetition are within limits."""
     at = F.lit(low) + F.lit((high - low) / POINTS) * F.col("i")
     each = shares.select("p", F.explode(F.sequence(F.lit(1), F.lit(POINTS - 1))).alias("i")).withColumn("w", F.pow("p", at))
     rows = each.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("z"), F.sum(F.col("w") * F.log("p")).alias("l"),
-                                 F.max(F.col("w") / F.col("p")).alias("r")).collect()
+                                 F.max(F.col("w") / F.col("p")).alias("r"),
+                                 F.max(F.col("p") / F.col("w")).alias("m")).collect()
     return [math.log(x["z"]) - (low + (high - low) / POINTS * x["i"]) * x["l"] / x["z"] <= entropy * math.log(x["n"]) + 1e-12
-            and budget * x["r"] / x["z"] <= repeats for x in sorted(rows, key=lambda x: x["i"])]
+            and x["r"] * (x["m"] if budget is None else budget / x["z"]) <= repeats for x in sorted(rows, key=lambda x: x["i"])]
 
 
-def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = 1.0) -> float:
-    """The exponent for shares ``p`` of one row per source; ``budget`` is in units of all tokens.
+def exponent(shares: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = 1.0) -> float:
+    """The exponent for shares ``p`` of one row per source; ``budget`` is in units of all tokens, or
+    None for the smallest that uses every source whole.
 
     1 where even the shares as they are break a limit.
     """
@@ -77,7 +79,7 @@ def weights(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
     sums = saved(rows.groupBy("source").agg(F.sum("tokens").alias("total")))
     every = int(sums.agg(F.sum("total")).first()[0] or 0)
     some = sums.where("total > 0").withColumn("p", F.col("total") / F.lit(float(max(every, 1))))
-    alpha = exponent(some, entropy, repeats, 1.0 if budget is None else budget) if every else 1.0
+    alpha = exponent(some, entropy, repeats, budget) if every else 1.0
     z, worst = some.agg(F.sum(F.pow("p", F.lit(alpha))), F.max(F.pow("p", F.lit(1 - alpha)))).first()
     whole = (z or 1.0) * (worst or 1.0) if budget is None else budget
     weight = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(float(max(every, 1))), F.lit(alpha)) / F.lit(z or 1.0)).otherwise(0.0)

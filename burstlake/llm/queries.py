@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.llm import chat, mixing, packing, quality, secrets, sharding, simhash, warc
+from burstlake.llm import ann, chat, langid, mixing, packing, quality, secrets, sharding, simhash, warc
 from burstlake.llm.common import table
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -76,6 +76,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_secrets": op2_secrets,
@@ -85,6 +93,8 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
+    "op9_langid": op9_langid,
+    "op10_ann": op10_ann,
 }
 SQL = {
     "op1_chat": OP1_SQL,
