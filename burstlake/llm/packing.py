@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from burstlake.llm.common import saved
 
 WINDOW, END_ID = 4096, 2
-SLICE_BYTES = 16_000_000
-#: Distinct words that a worker remembers before it starts again.
-REMEMBERED = 1_000_000
+SLICE_BYTES = 4_000_000
+#: Distinct words of a generation. A worker remembers two: what is met again in the second goes on into the next.
+REMEMBERED = 150_000
 MARKS = ".,!?;:"
 
 
@@ -57,27 +57,23 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {"": b""}
+        self.former: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found, strict=True)}
 
-    def _plain(self, words: list[str]) -> None:
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of letters: one run each, so they are encoded as one text and cut at word ends."""
         if not words:
-            return
+            return {}
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
         if len(ends) != len(words):
-            self.letters.update(self._each(words))
-            return
+            return self._each(words)
         raw = ids.tobytes()
-        self.letters.update(zip(words, map(lambda i, j: raw[i:j], [0, *ends], ends), strict=True))
-
-    def _each(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found, strict=True)}
+        return dict(zip(words, map(lambda i, j: raw[i:j], [0, *ends], ends), strict=True))
 
     def _learn(self, words: list[str]) -> None:
         simple, odd = [], []
@@ -87,11 +83,18 @@ class Words:
                 simple.append((w, core.lower(), w[len(core):]))
             else:
                 odd.append(w)
-        letters = self.letters
-        self._plain(list({core for _, core, _ in simple} - letters.keys()))
-        letters.update(self._each(list({tail for *_, tail in simple} - letters.keys())))
+        letters = {w: ids for w in {core for _, core, _ in simple} if (ids := self.ids_of(w)) is not None}
+        letters |= self._plain(list({core for _, core, _ in simple} - letters.keys()))
+        tails = self._each(list({tail for *_, tail in simple} - {""})) | {"": b""}
         self.known.update(self._each(odd))
-        self.known.update((w, letters[core] + letters[tail]) for w, core, tail in simple)
+        self.known.update((w, letters[core] + tails[tail]) for w, core, tail in simple)
+
+    def ids_of(self, word: str) -> bytes | None:
+        """What is remembered of a word; what the former generation knew is taken over."""
+        ids = self.known.get(word)
+        if ids is None and (ids := self.former.get(word)) is not None:
+            self.known[word] = ids
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text ends."""
@@ -100,10 +103,10 @@ class Words:
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
-            self.clear()
+            self.former, self.known = self.known, {"": b""}
         found = list(map(self.known.get, distinct))
-        if new := [w for w, ids in zip(distinct, found, strict=True) if ids is None]:
-            self._learn(new)
+        if any(ids is None for ids in found):
+            self._learn([w for w, ids in zip(distinct, found, strict=True) if ids is None and self.ids_of(w) is None])
             found = list(map(self.known.get, distinct))
         ids = pa.array(found, pa.large_binary()).take(words.indices)
         if not len(ids):
@@ -209,7 +212,7 @@ def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, open_windows: int = 32, min_cut: int = 8,
-         merge: int = 64) -> DataFrame:
+         merge: int = 16) -> DataFrame:
     """Pieces of documents (doc_id, text) with their ids (unsigned 32-bit, little-endian) and places.
 
     A window that is emitted is at most ``min_cut`` - 1 tokens short.
@@ -230,6 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, open_win
         packer.leave_open()
         if rows := packer.taken():
             yield _batch(rows)
+        pa.default_memory_pool().release_unused()
 
     def again(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, group = None, None
