@@ -25,6 +25,7 @@ response without either has nulls there.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -32,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlake.llm.common import saved
 from burstlake.scale import fresh_dir
 
 CRLF = "\r\n"
 MIN_REVISIT = 1000
 #: Bytes that an archive has on average; a file is read by one task.
 ARCHIVE_BYTES = 16_000_000
+#: Shared payloads that may be broadcast, after counting; beyond that the join shuffles.
+BROADCAST_ROWS = 250_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,8 +63,10 @@ def captures(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
                         html.alias("payload"), F.sha1(html.cast("binary")).alias("digest"))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
-    shared = (large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = saved(large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").select("digest", "first"))
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     return rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -89,10 +95,11 @@ def records(found: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of all pages, as many as give ``ARCHIVE_BYTES`` each."""
-    size = pages.agg(F.sum(F.octet_length("html") + 1500)).first()[0] or 0
-    dealt = captures(pages).repartition(max(1, -(-size // ARCHIVE_BYTES)))
-    records(dealt).write.option("lineSep", CRLF + CRLF).text(path)
+    """Archives of all pages, compressed, each with the records of as many pages as have ``ARCHIVE_BYTES`` on average."""
+    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500)).first()[0] or 1500
+    each = 3 * max(1, int(ARCHIVE_BYTES // size))
+    (records(captures(pages)).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+     .option("maxRecordsPerFile", each).text(path))
 
 
 RECORD = ("kind string, record_id string, concurrent_to string, refers_to string, target string, digest string, "
@@ -143,7 +150,7 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
         for b in it:
             for data in b.column(0):
                 rows, size = [], 0
-                for headers, block in walk(data.as_py()):
+                for headers, block in walk(gzip.decompress(data.as_py())):
                     rows.append(parse(headers, block, blocks))
                     size += len(block)
                     if len(rows) >= 4096 or size > 4_000_000:
