@@ -111,6 +111,13 @@ def drop_halo(df: DataFrame, out: str = "segment") -> DataFrame:
     return df.where("owned").drop("owned", out)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key, as grouping has it; the keys are kept once."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*(f"_key_{k}" for k in keys))
+
+
 # --------------------------------------------------------------------------
 # ranks and exact quantiles
 
@@ -144,7 +151,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
     local = (Window.partitionBy(*keys, "_part").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, -1))
     return (sliced.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0)))
-                  .join(base, [*keys, "_part"])
+                  .transform(join_keys, base, [*keys, "_part"])
                   .withColumn(out, (F.col("_local") + F.col("_base")).cast("long"))
                   .drop("_local", "_base", "_part", "_w"))
 
@@ -179,11 +186,11 @@ def column_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple
     if biggest <= task_rows:
         return df.groupBy(*keys).agg(*[F.percentile(x, F.lit(q)).alias(name)
                                        for name, (x, q) in wanted.items()], *plain)
-    out = df.groupBy(*keys).agg(*plain) if plain else None
+    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
     for x in dict.fromkeys(x for x, _ in wanted.values()):
         part = _ranked_quantiles(df, keys, x, {n: q for n, (c, q) in wanted.items() if c == x}, task_rows)
-        out = part if out is None else out.join(part, keys, "left")
-    return out
+        out = join_keys(out, part, keys, "left")
+    return out.select(*keys, *wanted, *(extra or {}))
 
 
 def _ranked_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float],
@@ -192,16 +199,17 @@ def _ranked_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, floa
                 .agg(F.count("*").alias("_c")))
     totals = values.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = (running_total(cut_lineage(values), keys, ["_v"], F.col("_c"), "_lo", None, task_rows)
-              .join(totals, keys))
+              .transform(join_keys, totals, keys))
     inside = lambda r: (r >= F.col("_lo")) & (r < F.col("_lo") + F.col("_c"))
     picks = []
     for name, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(q)
         picks += [F.max(F.when(inside(F.floor(pos)), F.col("_v"))).alias(f"_{name}_lo"),
                   F.max(F.when(inside(F.ceil(pos)), F.col("_v"))).alias(f"_{name}_hi"),
-                  F.max(pos - F.floor(pos)).alias(f"_{name}_f")]
+                  F.max(pos - F.floor(pos)).alias(f"_{name}_f"), F.max(F.ceil(pos) - pos).alias(f"_{name}_g")]
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *[
-        (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
+        F.when(F.col(f"_{n}_f") == 0, F.col(f"_{n}_lo").cast("double"))
+        .otherwise(F.col(f"_{n}_g") * F.col(f"_{n}_lo") + F.col(f"_{n}_f") * F.col(f"_{n}_hi")).alias(n)
         for n in qs])
 
 

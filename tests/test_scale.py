@@ -211,3 +211,18 @@ def test_nearest_in_crowded_cells(spark, leaf):
     truth = spark.createDataFrame(truths, "run_id long, truth_no long, freq double, t_sec double")
     got = matching.match_nearest(truth, log, leaf=leaf).orderBy("truth_no").collect()
     assert [(r.truth_no, r.near_line) for r in got] == want
+
+
+def test_large_keys_keep_null_keys_and_empty_groups(spark):
+    rows = [("a", i, float(i * i % 7)) for i in range(9)] + [(None, i, float(i)) for i in range(6)] + [("z", i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, n long, x double")
+
+    def both(fn):
+        out = [sorted((tuple(r) for r in fn(limit).collect()), key=repr) for limit in (1000, 2)]
+        assert out[0] == out[1]
+        return out[0]
+
+    assert len(both(lambda m: number_rows(df, ["k"], ["n"], "i", task_rows=m).select("k", "n", "x", "i"))) == 18
+    assert len(both(lambda m: lagged(df, ["k"], ["n"], {"p": "x"}, task_rows=m, segment=2).select("k", "n", "x", "p"))) == 18
+    assert len(both(lambda m: quantiles(df, ["k"], "x", {"q": 0.3, "m": 0.5}, task_rows=m))) == 3
+    assert len(both(lambda m: quantiles(df, ["k"], "x", {"q": 0.3}, task_rows=m, extra={"c": F.count("*")}))) == 3
