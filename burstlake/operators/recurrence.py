@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import cut_lineage, drop_halo, number_rows, scan_segments, with_halo
+from ..scale import cut_lineage, dense_segments, join_keys, scan_segments
 
 
 def gate_blocks(blocks: np.ndarray, avg: np.ndarray | None, factor: float, frac: float, alpha: float):
@@ -61,15 +61,18 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
 
     A block is blanked when more than ``frac`` of its bins exceed factor^2 times
     their running average; only clean blocks enter the average, which starts from
-    the first block. A partial last block passes. Segments of a stream run in
-    parallel and hand their averages on until they agree to 1e-12; the average
-    forgets within a few ``tau``, so the default minute per segment settles fast.
+    the first block. A partial last block passes. A gap in the blocks keeps the
+    average. Segments of a stream run in parallel and hand their averages on until
+    they agree to 1e-12, not to the last bit: a bin that close to its limit may
+    count either way. The average forgets within a few ``tau``, so the default
+    minute per segment settles fast.
     """
     keys, per = list(keys), (block or size) // size
     in_seg = max(1, segment // per)
     rows = cut_lineage(blocks.withColumn("_seg", F.floor(F.col("block_idx") / F.lit(in_seg)).cast("long"))
                        .select(*keys, "_seg", "block_idx", F.col(re).cast("array<double>").alias("re"),
                                F.col(im).cast("array<double>").alias("im")))
+    rows = dense_segments(rows, keys, "_seg", "_at")
     kept = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField("block_idx", T.LongType()),
                            T.StructField("n_hot", T.LongType()),
@@ -84,7 +87,7 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
         out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "block_idx": at, "n_hot": hots, "blanked": gone})
         return out, ([] if avg is None else avg.tolist())
 
-    return scan_segments(rows, keys, "_seg", step, schema, tol=1e-12)
+    return scan_segments(rows, keys, "_at", step, schema, tol=1e-12)
 
 
 def gate_mask(blocks: DataFrame, gate: DataFrame, block: int = 8192, size: int = 256,
@@ -100,29 +103,47 @@ def gate_mask(blocks: DataFrame, gate: DataFrame, block: int = 8192, size: int =
 
 def envelope(blocks: DataFrame, size: int = 256, rate: float = 48_000.0, tau: float = 2.0,
              keys: Sequence[str] = ("stream_id",), kept: str = "n_ok", level: str = "mean_abs",
-             segment: int = 16_384, digits: float = 40.0) -> DataFrame:
-    """Running mean of kept amplitudes, one row per block (n_ok, mean_abs), from block 0.
-
-    A block of n_ok samples has weight 1 - exp(-n_ok / (tau * rate)); a fully
-    blanked block changes nothing. The average forgets: after ``digits`` time
-    constants the start weighs e^-digits (4e-18), so a halo of that length makes
-    segments independent.
+             segment: int = 16_384) -> DataFrame:
+    """Running mean of kept amplitudes, one row per block (n_ok, mean_abs); null before the first kept one.
+
+    A block of n_ok samples, at most ``size``, has weight 1 - exp(-n_ok / (tau * rate));
+    the first kept block has weight 1; a fully blanked block changes nothing,
+    however long the blanking lasts. The update is affine, y -> a * y + b, so every
+    segment is reduced to one (a, b), these are composed per key in order (one
+    small row per segment), and each segment starts from its exact entry value.
     """
-    halo = int(math.ceil(digits * tau * rate / size))
+    keys = list(keys)
     # exponents within a segment stay far from overflow
-    seg = max(1, min(max(segment, halo), int(400.0 * tau * rate / size)))
-    w = Window.partitionBy(*keys, "segment").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_halo(blocks, "block_idx", seg, before=halo)
-    used = F.col(kept) > 0
-    # y_n = exp(C_n) * sum of w_i v_i exp(-C_i), C the running sum of -n_i / (tau * rate)
-    # after the first used block, whose weight is 1
-    rank = F.count(F.when(used, 1)).over(w)
-    decay = F.when(used & (F.col("_rank") > 1), -F.col(kept) / F.lit(tau * rate)).otherwise(F.lit(0.0))
-    weight = F.when(F.col("_rank") == 1, F.lit(1.0)).otherwise(F.lit(1.0) - F.exp(F.col("_b")))
-    term = F.when(used, weight * F.col(level) * F.exp(-F.col("_c")))
-    out = (rows.withColumn("_rank", rank).withColumn("_b", decay).withColumn("_c", F.sum("_b").over(w))
-               .withColumn("envelope", F.exp("_c") * F.sum(term).over(w)))
-    return drop_halo(out).select(*keys, "block_idx", "envelope")
+    seg = max(1, min(segment, int(400.0 * tau * rate / size)))
+    rows = blocks.select(*keys, "block_idx", kept, level).withColumn(
+        "_seg", F.floor(F.col("block_idx") / F.lit(seg)).cast("long"))
+    used = (F.col(kept) > 0) & F.col(level).isNotNull()
+    w = Window.partitionBy(*keys, "_seg").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    # y_n = exp(C_n) * (entry + sum of w_i v_i exp(-C_i)), C the running sum of -n_i / (tau * rate);
+    # entered with the first kept level, a segment gives that level itself for its first block
+    share = F.when(used, -F.col(kept) / F.lit(tau * rate)).otherwise(F.lit(0.0))
+    term = F.when(used, (F.lit(1.0) - F.exp("_b")) * F.col(level) * F.exp(-F.col("_c"))).otherwise(F.lit(0.0))
+    local = (rows.withColumn("_b", share).withColumn("_c", F.sum("_b").over(w))
+                 .withColumn("_own", F.exp("_c") * F.sum(term).over(w))
+                 .withColumn("_first", F.first(F.when(used, F.col(level)), ignorenulls=True).over(w)))
+    last = local.groupBy(*keys, "_seg").agg(
+        F.max_by(F.struct(F.exp("_c").alias("a"), F.col("_own").alias("b"), F.col("_first").alias("v")),
+                 "block_idx").alias("_s")).select(*keys, "_seg", "_s.*")
+    kept_fields = [f for f in blocks.select(*keys).schema.fields]
+    schema = T.StructType([*kept_fields, T.StructField("_seg", T.LongType()), T.StructField("_entry", T.DoubleType())])
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_seg")
+        y, entry = math.nan, []
+        for a, b, v in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["v"].astype(float).tolist()):
+            entry.append(y)
+            if v == v:
+                y = a * (v if y != y else y) + b
+        return pdf[[*keys, "_seg"]].assign(_entry=[None if e != e else e for e in entry])
+
+    entries = cut_lineage(last.groupBy(*keys).applyInPandas(compose, schema))
+    return join_keys(local, entries, [*keys, "_seg"]).select(*keys, "block_idx", (
+        F.exp("_c") * F.coalesce("_entry", "_first") + F.col("_own")).alias("envelope"))
 
 
 def smooth_bins(v: np.ndarray, width: int = 7) -> np.ndarray:
@@ -152,10 +173,7 @@ def track_median(frames: DataFrame, step_db: float = 0.0625, passes: int = 1, wi
     keys = list(keys)
     rows = cut_lineage(frames.withColumn("_seg", F.floor(F.col(frame) / F.lit(segment)).cast("long"))
                        .select(*keys, "_seg", frame, F.col(power).cast("array<double>").alias("_p")))
-    # segments are renumbered densely so that a gap in frames does not break the chain
-    number = rows.select(*keys, "_seg").distinct()
-    number = number_rows(number, keys, ["_seg"], "_at")
-    rows = cut_lineage(rows.join(number, [*keys, "_seg"]).drop("_seg"))
+    rows = dense_segments(rows, keys, "_seg", "_at")
     kept = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField(frame, T.LongType()),
                            T.StructField("est_db", T.ArrayType(T.DoubleType()))])

@@ -64,10 +64,11 @@ def on_change(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("client
 
     Without an interval every change is emitted, so a look at the previous row is
     enough. With one, whether a row is emitted depends on what was emitted
-    before: a recurrence whose state is the last emitted time and values.
+    before: a recurrence whose state is the last emitted time and values. Nulls
+    equal nulls. Values of big keys travel as the SHA-256 of their JSON text, in
+    which a null is no string.
     """
     keys = list(keys)
-    sig = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
     if not min_gap:
         prev = lagged(df.withColumn("_seen", F.struct(*cols)), keys, order, {"_prev": "_seen"},
                       bound, task_rows)
@@ -76,23 +77,26 @@ def on_change(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("client
     biggest = bound if bound is not None else largest_group(df, keys)
     if biggest <= min(task_rows, FOLD_ROWS):
         return _spaced_changes(df, cols, keys, order, time, min_gap)
+    # 0.0 is added because -0.0 equals 0.0 but is written otherwise
+    plain = [(F.col(c) + 0.0 if df.schema[c].dataType in (T.DoubleType(), T.FloatType()) else F.col(c)).alias(c)
+             for c in cols]
+    sig = F.sha2(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), 256)
     numbered = number_rows(df.withColumn("_sig", sig), keys, order, "_n", biggest, task_rows)
     rows = cut_lineage(numbered.withColumn("_seg", F.floor(F.col("_n") / F.lit(segment)).cast("long")))
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_n", "_seg", "_sig")])
 
     def step(pdf: pd.DataFrame, state):
         pdf = pdf.sort_values("_n")
-        # the 64-bit signature travels as two exact 32-bit halves
-        last = None if not state else (state[0], (int(state[1]) << 32) | int(state[2]))
+        # the signature travels as eight exact 32-bit numbers
+        last = None if not state else (state[0], "".join(f"{int(v):08x}" for v in state[1:]))
         keep = []
         for t, s in zip(pdf[time].astype(float).tolist(), pdf["_sig"].tolist()):
-            s &= (1 << 64) - 1
             ok = last is None or (s != last[1] and t - last[0] >= min_gap)
             if ok:
                 last = (t, s)
             keep.append(ok)
         out = pdf[keep].drop(columns=["_n", "_seg", "_sig"])
-        return out, [last[0], float(last[1] >> 32), float(last[1] & 0xFFFFFFFF)]
+        return out, [last[0], *(float(int(last[1][a:a + 8], 16)) for a in range(0, 64, 8))]
 
     return scan_segments(rows, keys, "_seg", step, schema)
 

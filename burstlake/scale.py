@@ -67,22 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def limit_arrow_rows(spark: SparkSession, rows: int = 128) -> None:
-    """Lower the rows per Arrow batch for rows that hold whole blocks of samples.
-
-    Spark limits batches by rows only; 10,000 blocks of 8,192 samples would be
-    over a gigabyte.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting; bigger tables keep a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest key (partial counts are combined map-side)."""
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
@@ -118,6 +102,16 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, same, how).drop(*(f"_key_{k}" for k in keys))
 
 
+def dense_segments(df: DataFrame, keys: Sequence[str], seg: str, out: str) -> DataFrame:
+    """Replace segment numbers by positions among the segments that exist, so that a gap breaks no chain.
+
+    The numbers are one row per segment; ``df`` itself is not moved when they
+    are small enough to be broadcast.
+    """
+    number = number_rows(df.select(*keys, seg).distinct(), keys, [seg], out)
+    return join_keys(df, cut_lineage(number), [*keys, seg]).drop(seg)
+
+
 # --------------------------------------------------------------------------
 # ranks and exact quantiles
 
@@ -267,7 +261,7 @@ def chain_states(summary: DataFrame, keys: Sequence[str], seg: str, transfer: st
                  .select(*keys, F.explode(entries(F.col("_grps"),
                                                   start(F.lit(0), F.col("_grps")[0]["pos"]))).alias("_e"))
                  .select(*keys, F.col("_e.pos").alias("_grp"), F.col("_e.entry").alias("_ge")))
-    return (packed.join(grp_entry, [*keys, "_grp"])
+    return (join_keys(packed, grp_entry, [*keys, "_grp"])
             .select(*keys, F.explode(entries(F.col("_items"), start(F.col("_ge"), first))).alias("_e"))
             .select(*keys, F.col("_e.pos").alias(seg), F.col("_e.entry").alias("entry")))
 
@@ -285,9 +279,10 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
     """Run ``step`` over the segments of each key in order, all segments at once.
 
     Round one enters every segment cold. Each later round re-enters only the
-    segments whose predecessor left a different state (relative difference above
-    ``tol``); a round settles at least one more segment per key, so the loop ends
-    with the same result as a sequential run, usually after two or three rounds.
+    segments whose predecessor left a different state; a round settles at least
+    one more segment per key, so with ``tol`` = 0 the loop ends with the same
+    result as a sequential run, usually after two or three rounds. With a ``tol``
+    states within that relative difference count as equal.
     ``step(rows, state)`` gets one segment in the order of its caller's sort and
     returns (output rows, state as a list of doubles).
 
@@ -335,20 +330,21 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
     entries = none if first_state is None else cut_lineage(first_state.select(*by, "state"))
     exits = run(df, entries)
     while True:
-        proposed = to_next(exits).join(present, by, "left_semi")
+        proposed = join_keys(to_next(exits), present, by, "left_semi")
         close = F.forall(F.arrays_zip(F.col("_new.state").alias("a"), F.col("_old.state").alias("b")),
                          lambda p: F.abs(p["a"] - p["b"]) <= F.lit(tol) * F.greatest(F.abs(p["a"]), F.abs(p["b"])))
         same = (F.col("_old.state").isNotNull()
                 & (F.size("_new.state") == F.size("_old.state")) & close)
         changed = cut_lineage(
-            proposed.alias("_new").join(entries.alias("_old"), by, "left")
+            proposed.alias("_new").join(entries.alias("_old"), [
+                F.col(f"_new.{k}").eqNullSafe(F.col(f"_old.{k}")) for k in by], "left")
             .where(~F.coalesce(same, F.lit(False)))
             .select(*[F.col(f"_new.{c}") for c in [*by, "state"]]))
         if changed.isEmpty():
             break
-        entries = cut_lineage(entries.join(changed, by, "left_anti").unionByName(changed))
-        redone = run(df.join(changed.select(*by), by, "left_semi"), changed)
-        exits = cut_lineage(exits.join(redone.select(*by), by, "left_anti").unionByName(redone))
+        entries = cut_lineage(join_keys(entries, changed, by, "left_anti").unionByName(changed))
+        redone = run(join_keys(df, changed.select(*by), by, "left_semi"), changed)
+        exits = cut_lineage(join_keys(exits, redone.select(*by), by, "left_anti").unionByName(redone))
     out = df.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(emit, schema)
     return (out, exits) if return_states else out
 

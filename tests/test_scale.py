@@ -181,18 +181,55 @@ def test_median_tracker_over_segments(spark):
     assert np.allclose(two[0].est_db, series[-1])
 
 
-def test_envelope_halo_is_exact(spark):
-    rng = np.random.default_rng(3)
-    data = [("s", i, int(rng.integers(0, 17)), float(v)) for i, v in enumerate(rng.random(400))]
-    df = spark.createDataFrame(data, "stream_id string, block_idx long, n_ok long, mean_abs double")
-    got = [r.envelope for r in recurrence.envelope(df, 16, 160.0, tau=0.1, segment=50).orderBy("block_idx").collect()]
+def envelope_sequential(data, scale):
     y, want = None, []
     for _, _, n, v in data:
-        if n:
-            a = 1 - np.exp(-n / 16.0)
+        if n and v is not None:
+            a = 1 - np.exp(-n / scale)
             y = v if y is None else (1 - a) * y + a * v
         want.append(y)
-    assert np.allclose(got, want, atol=1e-12)
+    return want
+
+
+@pytest.mark.parametrize("segment", [7, 50, 10_000])
+@pytest.mark.parametrize("blanked", [0.06, 0.95])
+def test_envelope_is_the_sequential_average(spark, segment, blanked):
+    rng = np.random.default_rng(3)
+    data = [(s, i, 0 if rng.random() < blanked or (s is None and i < 20) or 200 <= i < 330 else int(rng.integers(1, 17)),
+             float(v) if i % 11 else None)
+            for s in ("s", None) for i, v in enumerate(rng.random(400)) if not 60 <= i < 90]
+    df = spark.createDataFrame(data, "stream_id string, block_idx long, n_ok long, mean_abs double")
+    got = {(r.stream_id, r.block_idx): r.envelope
+           for r in recurrence.envelope(df, 16, 160.0, tau=0.1, segment=segment).collect()}
+    assert len(got) == len(data)
+    for key in ("s", None):
+        rows = [d for d in data if d[0] == key]
+        for d, want in zip(rows, envelope_sequential(rows, 16.0)):
+            have = got[key, d[1]]
+            assert have is None if want is None else abs(have - want) < 1e-9
+
+
+@pytest.mark.parametrize("segment", [10, 10_000])
+def test_impulse_gate_keeps_its_average_over_a_gap(spark, segment):
+    rng = np.random.default_rng(4)
+    blocks = rng.normal(size=(60, 16)) + 1j * rng.normal(size=(60, 16))
+    blocks[30:33] *= 40
+    keep = [i for i in range(60) if not 8 <= i < 30]
+    df = spark.createDataFrame([(s, i, blocks[i].real.tolist(), blocks[i].imag.tolist()) for i in keep for s in ("s", None)],
+                               "stream_id string, block_idx long, i array<double>, q array<double>")
+    out = recurrence.impulse_gate(df, 3.0, 0.3, 16, rate=160.0, segment=segment).orderBy("stream_id", "block_idx").collect()
+    want = gate_sequential(blocks[keep], 3.0, 0.3, 1 - np.exp(-16 / 320))
+    assert [(r.n_hot, r.blanked) for r in out] == want + want
+    assert out[8].block_idx == 30 and out[8].blanked
+
+
+@pytest.mark.parametrize("task_rows", [3, 1000])
+def test_spaced_changes_tell_nulls_from_strings_at_every_size(spark, task_rows):
+    rows = [("a", 0, 0.0, None, 0.0), ("a", 1, 9.0, "\0", 0.0), ("a", 2, 18.0, "\0", -0.0), ("a", 3, 27.0, "null", 1.0),
+            ("a", 4, 36.0, None, 1.0), (None, 0, 0.0, "x", 1.0), (None, 1, 9.0, "x", None), (None, 2, 10.0, "y", 2.0)]
+    df = spark.createDataFrame(rows, "client_id string, seq long, t double, s string, v double")
+    got = runs.on_change(df, ["s", "v"], time="t", min_gap=2.5, task_rows=task_rows, segment=2)
+    assert sorted(((r.client_id or "", r.seq) for r in got.collect())) == [("", 0), ("", 1), ("a", 0), ("a", 1), ("a", 3), ("a", 4)]
 
 
 @pytest.mark.parametrize("leaf", [2, 10_000])
