@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ("stream_id",)
+#: Picoseconds in a second.
+PICOS = 1_000_000_000_000
 
 
 def ordered_arrays(n: str, cols: Sequence[str]) -> Column:
@@ -175,11 +177,12 @@ def event_segments(blocks: DataFrame, events: DataFrame, pre: int, post: int, pa
 
 
 def rebatch(df: DataFrame, size: int = 1024, cols: Sequence[str] = ("x",),
-            keys: Sequence[str] = KEYS) -> DataFrame:
+            keys: Sequence[str] = KEYS, rate: float = 48_000.0) -> DataFrame:
     """Regroup packets (first_sample, time, arrays) into batches of ``size`` samples.
 
     A batch holds the samples whose absolute number falls in it, whatever the
-    packet order; the time of its earliest packet anchors it.
+    packet order. Its time is that of its first sample: the time of the packet
+    that brought it plus the samples before it in the packet, in picoseconds.
     """
     n = F.col("first_sample") + F.col("_i")
     long = (df.select(*keys, "first_sample", "ts_sec", "ts_ps",
@@ -189,8 +192,12 @@ def rebatch(df: DataFrame, size: int = 1024, cols: Sequence[str] = ("x",),
     return (long.groupBy(*keys, F.floor(F.col("n") / F.lit(size)).cast("long").alias("block_idx"))
                 .agg(ordered_arrays("n", cols).alias("_s"),
                      F.min(F.struct("first_sample", "ts_sec", "ts_ps")).alias("_t"))
-                .select(*keys, "block_idx", F.get("_s", F.lit(0))["n"].alias("first_sample"),
-                        "_t.ts_sec", "_t.ts_ps", *unpack("_s", cols)))
+                .withColumn("_n", F.get("_s", F.lit(0))["n"])
+                .withColumn("_ps", F.col("_t.ts_ps") + F.round(
+                    (F.col("_n") - F.col("_t.first_sample")) * F.lit(1e12 / rate)).cast("long"))
+                .select(*keys, "block_idx", F.col("_n").alias("first_sample"),
+                        (F.col("_t.ts_sec") + F.floor(F.col("_ps") / PICOS)).cast("long").alias("ts_sec"),
+                        F.pmod("_ps", PICOS).alias("ts_ps"), *unpack("_s", cols)))
 
 
 def newest_generation(work: DataFrame, generations: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

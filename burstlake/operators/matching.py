@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.messages import strip
-from ..scale import cut_lineage
+from ..scale import cut_lineage, join_keys
 
 RUN = ("run_id",)
 
@@ -147,38 +147,93 @@ def false_alarms(log: DataFrame, claims: DataFrame, keys: Sequence[str] = RUN) -
     return log.join(claims, [*keys, "line_no"], "left_anti")
 
 
+def _cover(probe: DataFrame, fan: int, levels: int) -> DataFrame:
+    """Add ``_nodes``: the (level, node) blocks that make up frames _a .. _b.
+
+    A node of level l is fan^l frames. At each level the nodes up to the next
+    whole parent are taken from both ends and the middle goes one level up, so a
+    long interval is some 2 * fan nodes a level; the last level takes what is left.
+    """
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def span(lo, hi, level):
+        row = lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))
+        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), row)).otherwise(none)
+
+    # whole nodes of a level within a .. b; dividing twice by fan is dividing once by fan^2
+    low = lambda level: F.ceil(F.col("_a") / F.lit(fan ** level)).cast("long")
+    high = lambda level: F.floor((F.col("_b") + 1) / F.lit(fan ** level)).cast("long") - 1
+    pieces = []
+    for level in range(levels - 1):
+        more = low(level + 1) <= high(level + 1)
+        pieces += [span(low(level), F.when(more, low(level + 1) * fan - 1).otherwise(high(level)), level),
+                   span(F.when(more, (high(level + 1) + 1) * fan), high(level), level)]
+    pieces.append(span(low(levels - 1), high(levels - 1), levels - 1))
+    return probe.withColumn("_nodes", F.concat(*pieces))
+
+
+def _nearest_frame(asked: DataFrame, frames: DataFrame, by: list[str], segment: int) -> DataFrame:
+    """Add ``_near``: the existing frame nearest ``_pos`` on the same ``by``, the earlier one if two are.
+
+    Frames are looked at only in segments that hold a question; what lies beyond
+    comes from the first and last frame of each segment.
+    """
+    seg = lambda c: F.floor(F.col(c) / F.lit(segment)).cast("long").alias("_seg")
+    asked = asked.select("*", seg("_pos"))
+    rows = frames.select(*by, seg("frame"), F.col("frame").alias("_f"))
+    where = asked.select(*by, "_seg").distinct()
+    ends = rows.groupBy(*by, "_seg").agg(F.min("_f").alias("_lo"), F.max("_f").alias("_hi"))
+    ordered = Window.partitionBy(*by).orderBy("_seg")
+    around = (ends.unionByName(where, allowMissingColumns=True).groupBy(*by, "_seg")
+              .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+              .select(*by, "_seg",
+                      F.last("_hi", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
+                      F.first("_lo", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("_next")))
+    marks = rows.join(where, [*by, "_seg"], "left_semi").withColumn("_pos", F.col("_f").cast("double"))
+    w = Window.partitionBy(*by, "_seg").orderBy("_pos")
+    looked = (asked.unionByName(marks, allowMissingColumns=True)
+              .withColumn("_before", F.last("_f", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+              .withColumn("_after", F.first("_f", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+              .where(F.col("_f").isNull()).join(around, [*by, "_seg"]))
+    before, after = F.coalesce("_before", "_prev"), F.coalesce("_after", "_next")
+    near = F.when(before.isNull() | (after - F.col("_pos") < F.col("_pos") - before), after).otherwise(before)
+    return looked.select(*[c for c in asked.columns if c != "_seg"], near.alias("_near"))
+
+
 def match_interval(truth: DataFrame, frames: DataFrame, t0: float, step: float,
-                   keys: Sequence[str] = ("stream_id",), bucket: int = 64) -> DataFrame:
+                   keys: Sequence[str] = ("stream_id",), fan: int = 64, levels: int = 4,
+                   segment: int = 4096) -> DataFrame:
     """Add ``frame``: the frame of largest metric on the truth's channel within
-    [start, start + width]; if no frame falls inside, the frame nearest the centre.
-
-    Frame f is at t0 + f * step. Rows meet on (stream, channel, block of frames);
-    a truth visits the few blocks its width covers. Truths with equal channel,
-    start and width are looked up once.
+    [start, start + width], the earlier one if two are; if no frame falls inside, the
+    existing frame nearest the centre.
+
+    Frame f is at t0 + f * step. Every truth is kept; its frame is null where its
+    stream and channel have no frames or start or width is null. An interval is
+    cut into blocks of 1, ``fan``, fan^2 .. frames whose maxima are known, so the
+    work of a truth grows with the logarithm of its width. Truths with equal
+    channel, start and width are looked up once.
     """
     keys = list(keys)
-    ident = [*keys, "channel", "start", "width"]
+    by = [*keys, "channel"]
+    ident = [*by, "start", "width"]
     asked = truth.select(*ident).distinct()
     first = F.ceil((F.col("start") - t0) / F.lit(step) - F.lit(1e-9)).cast("long")
     last = F.floor((F.col("start") + F.col("width") - t0) / F.lit(step) + F.lit(1e-9)).cast("long")
-    probe = (asked.withColumn("_a", first).withColumn("_b", last)
-             .where(F.col("_b") >= F.col("_a"))
-             .withColumn("_blk", F.explode(F.sequence(F.floor(F.col("_a") / bucket).cast("long"),
-                                                     F.floor(F.col("_b") / bucket).cast("long")))))
-    rows = frames.select(*keys, "channel", F.col("frame").alias("_f"), F.col("metric_db").alias("_m"),
-                         F.floor(F.col("frame") / F.lit(bucket)).cast("long").alias("_blk"))
-    inside = (probe.join(rows, [*keys, "channel", "_blk"])
-              .where(F.col("_f").between(F.col("_a"), F.col("_b")))
-              .groupBy(*ident)
-              .agg(F.max_by("_f", F.struct("_m", (-F.col("_f")).alias("e"))).alias("_hit")))
-    span = frames.groupBy(*keys).agg(F.min("frame").alias("_lo"), F.max("frame").alias("_hi"))
-    centre = F.col("start") + F.col("width") / F.lit(2.0)
-    nearest = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.ceil(
-        (centre - t0) / F.lit(step) - F.lit(0.5)).cast("long")))
-    picked = (asked.join(inside, ident, "left").join(span, keys)
-              .select(*ident, F.coalesce("_hit", nearest).alias("frame"),
-                      F.col("_hit").isNotNull().alias("inside")))
-    return truth.join(picked, ident)
+    probe = _cover(asked.withColumns({"_a": first, "_b": last}).where("_b >= _a"), fan, levels)
+    at = lambda level: F.floor(F.col("frame") / F.lit(fan ** level)).cast("long")
+    best = (frames.select(*by, F.struct(F.col("metric_db").alias("m"), (-F.col("frame")).alias("f")).alias("_m"),
+                          F.explode(F.array(*[F.struct(F.lit(v).alias("level"), at(v).alias("node"))
+                                              for v in range(levels)])).alias("_n"))
+            .groupBy(*by, "_n").agg(F.max("_m").alias("_m")))
+    hits = (probe.select(*ident, F.explode("_nodes").alias("_n")).join(best, [*by, "_n"])
+            .groupBy(*ident).agg((-F.max("_m")["f"]).alias("_hit")))
+    known = cut_lineage(join_keys(asked, hits, ident, "left"))
+    centre = (F.col("start") + F.col("width") / F.lit(2.0) - F.lit(t0)) / F.lit(step)
+    far = known.where(F.col("_hit").isNull()).select(*ident, centre.cast("double").alias("_pos")).where("_pos is not null")
+    near = _nearest_frame(far, frames, by, segment).select(*ident, "_near")
+    picked = join_keys(known, near, ident, "left").select(
+        *ident, F.coalesce("_hit", "_near").alias("frame"), F.col("_hit").isNotNull().alias("inside"))
+    return join_keys(truth, picked, ident, "left")
 
 
 def attach_decodes(detections: DataFrame, decodes: DataFrame, key: str = "marker_id",

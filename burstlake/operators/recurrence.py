@@ -161,37 +161,53 @@ def track_step(est: np.ndarray, frame: np.ndarray, step_db: float, width: int) -
 
 
 def track_median(frames: DataFrame, step_db: float = 0.0625, passes: int = 1, width: int = 7,
-                 keys: Sequence[str] = ("recording",), frame: str = "frame", power: str = "power_db",
-                 segment: int = 4096) -> DataFrame:
+                 keys: Sequence[str] = ("recording",), frame: str = "frame", power: str = "power_db") -> DataFrame:
     """Per-bin streaming median of valid frames (an array per row), starting at the first one.
 
     One pass gives the running series (keys, frame, est_db). More passes replay
     the recording from where the last one ended and give the final estimate per
-    key (keys, est_db). Each pass walks the segments of a recording; the tracker
-    takes small steps, so long recordings settle segment by segment.
+    key (keys, est_db). A pass is one job: the frames of a recording stream through
+    one task in order, which keeps the estimate alone; recordings run in parallel.
+    Frames without a spectrum are passed over.
     """
     keys = list(keys)
-    rows = cut_lineage(frames.withColumn("_seg", F.floor(F.col(frame) / F.lit(segment)).cast("long"))
-                       .select(*keys, "_seg", frame, F.col(power).cast("array<double>").alias("_p")))
-    rows = dense_segments(rows, keys, "_seg", "_at")
-    kept = [f for f in rows.schema.fields if f.name in keys]
-    schema = T.StructType([*kept, T.StructField(frame, T.LongType()),
-                           T.StructField("est_db", T.ArrayType(T.DoubleType()))])
-
-    def step(pdf: pd.DataFrame, state):
-        pdf = pdf.sort_values(frame)
-        est = np.asarray(state) if state else None
-        series = []
-        for p in pdf["_p"]:
-            p = np.asarray(p)
-            est = track_step(p.copy() if est is None else est, p, step_db, width)
-            series.append(est.tolist())
-        return pdf[[*keys, frame]].assign(est_db=series), est.tolist()
-
-    first = None
-    for i in range(passes):
-        out, exits = scan_segments(rows, keys, "_at", step, schema, first_state=first, return_states=True)
-        last = exits.groupBy(*keys).agg(F.max_by("state", "_at").alias("state"))
-        if i < passes - 1:
-            first = cut_lineage(last.select(*keys, F.lit(0).cast("long").alias("_at"), "state"))
-    return out if passes == 1 else last.select(*keys, F.col("state").alias("est_db"))
+    rows = frames.where(F.col(power).isNotNull()).select(
+        *keys, F.col(frame).cast("long").alias(frame), F.col(power).cast("array<double>").alias("est_db"))
+    if passes > 1:
+        rows = cut_lineage(rows)
+    start = -(1 << 63)
+
+    def walk(series: bool):
+        def run(batches):
+            key, est = None, None
+            for pdf in batches:
+                out = []
+                for *k, at, p in zip(*[pdf[c].tolist() for c in [*keys, frame]], pdf["est_db"]):
+                    k, p = tuple(None if v != v else v for v in k), np.asarray(p)
+                    if k != key:
+                        if key is not None and not series:
+                            out.append((*key, start, est.tolist()))
+                        key, est = k, None
+                    # a row before all frames holds the estimate the last pass ended with
+                    if at == start:
+                        est = p
+                        continue
+                    est = track_step(p.copy() if est is None else est, p, step_db, width)
+                    if series:
+                        out.append((*k, at, est.tolist()))
+                yield pd.DataFrame(out, columns=[*keys, frame, "est_db"])
+            if key is not None and not series:
+                yield pd.DataFrame([(*key, start, est.tolist())], columns=[*keys, frame, "est_db"])
+        return run
+
+    def one_pass(ends: DataFrame | None, series: bool) -> DataFrame:
+        both = rows if ends is None else rows.unionByName(ends)
+        return (both.repartition(*keys).sortWithinPartitions(*keys, frame)
+                    .mapInPandas(walk(series), rows.schema))
+
+    if passes == 1:
+        return one_pass(None, True)
+    ends = None
+    for _ in range(passes):
+        ends = cut_lineage(one_pass(ends, False))
+    return ends.select(*keys, "est_db")

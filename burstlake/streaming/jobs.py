@@ -108,20 +108,25 @@ def stream_cooldown(stream: DataFrame, frames: int = 46, keys: Sequence[str] = (
 
 def stream_impulse_gate(stream: DataFrame, factor: float = 6.0, frac: float = 0.30, size: int = 256,
                         rate: float = 48_000.0, tau: float = 2.0,
-                        keys: Sequence[str] = ("stream_id",)) -> DataFrame:
-    """Blocks (block_idx, i, q) -> (block_idx, n_hot, blanked); the state is the average spectrum."""
+                        keys: Sequence[str] = ("stream_id",), block: int | None = None) -> DataFrame:
+    """Blocks (block_idx, i, q) -> (block_idx, n_hot, blanked); the state is the average spectrum.
+
+    Rows may hold ``block`` samples, a multiple of ``size``, as in batch.
+    """
+    per = (block or size) // size
     schema = T.StructType([*_keyed(stream, keys), T.StructField("block_idx", T.LongType()),
                            T.StructField("n_hot", T.LongType()), T.StructField("blanked", T.BooleanType())])
     alpha = 1.0 - math.exp(-size / (tau * rate))
 
     def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = _sorted(chunks, "block_idx")
-        _, hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
-                                       np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
+        count, hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
+                                           np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
         if avg is not None:
             state.update((avg.tolist(),))
-        yield pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)},
-                            "block_idx": pdf["block_idx"].tolist(), "n_hot": hots, "blanked": gone})
+        at = np.concatenate([i * per + np.arange(c) for i, c in zip(pdf["block_idx"], count)])
+        yield pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key)},
+                            "block_idx": at, "n_hot": hots, "blanked": gone})
 
     return stream.groupBy(*keys).applyInPandasWithState(
         run, schema, T.StructType([T.StructField("avg", DOUBLES)]), "append", GroupStateTimeout.NoTimeout)

@@ -144,14 +144,14 @@ def k_of(col: str = "props"):
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").where("event_type = 'signup'")
+    ev = table(spark, sf, "events").where("event_type IN ('signup', 'view')")
     return ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("truth_no"),
                      F.concat(F.lit("k"), k_of()).alias("msg"), F.col("value").alias("freq"),
                      (F.pmod(epoch_us(), F.lit(86_400_000_000)) / 1e6).alias("t_sec"))
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").where("event_type = 'purchase'")
+    ev = table(spark, sf, "events").where("event_type NOT IN ('signup', 'view')")
     return ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"),
                      F.concat(F.lit("k"), k_of(), F.lit(" "), F.col("event_type")).alias("message"),
                      F.col("value").alias("freq"),
@@ -160,9 +160,9 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
 
 K = "regexp_extract(props, '([0-9]+)', 1)"
 TRUTH = f"""truth AS (SELECT user_id AS run_id, event_id AS truth_no, 'k' || {K} AS msg, value AS freq,
-    (epoch_us(ts) % 86400000000) / 1e6 AS t_sec FROM events WHERE event_type = 'signup'),
+    (epoch_us(ts) % 86400000000) / 1e6 AS t_sec FROM events WHERE event_type IN ('signup', 'view')),
   log AS (SELECT user_id AS run_id, event_id AS line_no, 'k' || {K} || ' ' || event_type AS message, value AS freq,
-    (epoch_us(ts) % 86400000000) / 1e6 AS t_sec FROM events WHERE event_type = 'purchase')"""
+    (epoch_us(ts) % 86400000000) / 1e6 AS t_sec FROM events WHERE event_type NOT IN ('signup', 'view'))"""
 
 
 # -- packets --------------------------------------------------------------------

@@ -493,12 +493,13 @@ SELECT truth_no, status, CASE status WHEN 'DECODED' THEN exact_line WHEN 'GARBLE
 
 
 def interval_truth(spark, sf):
-    first = table(spark, sf, "events").agg(F.min(epoch_us())).first()[0] // 3_600_000_000 * 3_600_000_000
-    ev = table(spark, sf, "events").where("event_type = 'signup'")
-    return ev.select(F.lit("grid").alias("stream_id"), F.col("event_id").alias("truth_no"),
-                     F.pmod("user_id", F.lit(48)).cast("int").alias("channel"),
-                     (F.floor((epoch_us() - F.lit(first)) / 60_000_000) / 60.0).alias("start"),
-                     (F.floor(F.col("value") / 8) * 0.5).alias("width"))
+    ev = table(spark, sf, "events")
+    first = ev.agg(F.floor(F.min(epoch_us()) / 3_600_000_000).alias("lo"))
+    start = F.floor((epoch_us() - F.col("lo") * 3_600_000_000) / 60_000_000) / 60.0
+    return ev.crossJoin(F.broadcast(first)).select(
+        F.when(F.col("event_type") == "error", "elsewhere").otherwise("grid").alias("stream_id"), F.col("event_id").alias("truth_no"),
+        F.pmod("user_id", F.lit(48)).cast("int").alias("channel"), start.alias("start"),
+        (F.floor(F.col("value") / 8) * 0.5).alias("width"))
 
 
 def intervals(spark, sf):
@@ -506,16 +507,23 @@ def intervals(spark, sf):
     return matching.match_interval(interval_truth(spark, sf), h, 0.0, 1.0).select("truth_no", "frame", "inside")
 
 
-INTERVAL_SQL = "WITH " + HEAT + """,
-  t AS (SELECT event_id AS truth_no, (user_id % 48)::INT AS channel, floor((epoch_us(ts) - lo * 3600000000) / 60000000) / 60.0 AS start,
-    floor(value / 8) * 0.5::DOUBLE AS width FROM events, span WHERE event_type = 'signup'),
-  hit AS (SELECT truth_no, frame, row_number() OVER (PARTITION BY truth_no ORDER BY lin DESC, frame) AS rn
-    FROM t JOIN heat h ON h.channel = t.channel AND h.frame >= start AND h.frame <= start + width),
-  ends AS (SELECT min(frame) AS a, max(frame) AS b FROM heat)
-SELECT t.truth_no, coalesce(hit.frame, greatest(a, least(b, ceil(start + width / 2 - 0.5)::BIGINT))) AS frame,
-  hit.frame IS NOT NULL AS inside FROM t, ends LEFT JOIN hit ON hit.truth_no = t.truth_no AND rn = 1"""
-INTERVAL_SQL = INTERVAL_SQL.replace("FROM t, ends LEFT JOIN hit ON hit.truth_no = t.truth_no AND rn = 1",
-                                    "FROM t CROSS JOIN ends LEFT JOIN hit ON hit.truth_no = t.truth_no AND rn = 1")
+def sparse_intervals(spark, sf):
+    """Few frames, a channel and a stream without any, intervals up to days; small blocks and segments."""
+    h = heat(spark, sf).where("lin > 60 AND channel <> 7").select("stream_id", "channel", "frame", F.col("lin").alias("metric_db"))
+    asked = interval_truth(spark, sf).withColumn("width", F.col("width") * 12)
+    return matching.match_interval(asked, h, 0.0, 1.0, fan=4, levels=3, segment=16).select("truth_no", "frame", "inside")
+
+
+def interval_sql(frames: str, width: str) -> str:
+    return "WITH " + HEAT + f""",
+  h AS (SELECT * FROM heat WHERE {frames}),
+  t AS (SELECT event_id AS truth_no, (user_id % 48)::INT AS channel, event_type <> 'error' AS here,
+    floor((epoch_us(ts) - lo * 3600000000) / 60000000) / 60.0 AS start, floor(value / 8) * {width}::DOUBLE AS width FROM events, span),
+  met AS (SELECT truth_no, frame, lin, frame >= start AND frame <= start + width AS inside, abs(frame - (start + width / 2)) AS away
+    FROM t JOIN h ON h.channel = t.channel AND here),
+  pick AS (SELECT truth_no, frame, inside, row_number() OVER (PARTITION BY truth_no
+    ORDER BY inside DESC, CASE WHEN inside THEN -lin ELSE away END, frame) AS rn FROM met)
+SELECT t.truth_no, p.frame, coalesce(p.inside, false) AS inside FROM t LEFT JOIN pick p ON p.truth_no = t.truth_no AND rn = 1"""
 
 
 def attached(spark, sf):
@@ -612,6 +620,7 @@ QUERIES = {
     "false_alarms": alarms,
     "comparison_report": report,
     "match_interval": intervals,
+    "match_interval_sparse": sparse_intervals,
     "attach_decodes": attached,
     "recovery_error": recovery,
     "truth_order": truth_order,
@@ -671,7 +680,8 @@ FROM series GROUP BY 1""",
 SELECT run_id, coalesce(total, 0) AS total, coalesce(decoded, 0) AS decoded, coalesce(missed, 0) AS missed, coalesce(garbled, 0) AS garbled,
   coalesce(false_alarms, 0) AS false_alarms, round(CASE WHEN total > 0 THEN 100.0::DOUBLE * decoded / total ELSE 0 END, 6) + 0.0 AS percent
 FROM s FULL JOIN a USING (run_id)""",
-    "match_interval": INTERVAL_SQL,
+    "match_interval": interval_sql("true", "0.5"),
+    "match_interval_sparse": interval_sql("lin > 60 AND channel <> 7", "6"),
     "attach_decodes": ATTACH_SQL,
     "recovery_error": RECOVERY_SQL,
     "truth_order": "WITH " + TRUTH + " SELECT run_id, truth_no, row_number() OVER (PARTITION BY run_id ORDER BY t_sec, truth_no) - 1 AS position FROM truth",

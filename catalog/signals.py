@@ -106,17 +106,17 @@ UNION ALL SELECT stream_id, event_id, pos::INT, x FROM zeros"""
 def rebatched(spark, sf):
     packets = framing.to_blocks(series(spark, sf), 48).select(
         "stream_id", "first_sample", (F.lit(1_700_000_000) + F.floor(F.col("first_sample") / 100)).alias("ts_sec"),
-        F.pmod("first_sample", F.lit(100)).alias("ts_ps"), "x")
-    b = framing.rebatch(packets, 256)
+        (F.pmod("first_sample", F.lit(100)) * 10_000_000_000).alias("ts_ps"), "x")
+    b = framing.rebatch(packets, 256, rate=100.0)
     return b.select("stream_id", "block_idx", "first_sample", "ts_sec", "ts_ps",
                     F.size("x").alias("n_samples"),
                     r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 REBATCH_SQL = "WITH " + SERIES + """,
-  p AS (SELECT stream_id, n, x, (n // 48) * 48 AS first FROM series)
+  p AS (SELECT stream_id, n, x FROM series)
 SELECT stream_id, n // 256 AS block_idx, min(n) AS first_sample,
-  (1700000000 + min(first) // 100)::BIGINT AS ts_sec, (min(first) % 100)::BIGINT AS ts_ps,
+  (1700000000 + min(n) // 100)::BIGINT AS ts_sec, (min(n) % 100 * 10000000000)::BIGINT AS ts_ps,
   count(*)::INT AS n_samples, round(sum(x), 6) + 0.0 AS total FROM p GROUP BY 1, 2"""
 
 
@@ -263,7 +263,7 @@ ANALYTIC_GAIN = "CASE WHEN k = 0 OR k = 32 THEN 1 WHEN k < 32 THEN 2 ELSE 0 END"
 def channelised(spark, sf):
     s = series(spark, sf).withColumn("q", -F.col("x") / 2)
     blocks = framing.to_blocks(s, 512, ("x", "q")).withColumnsRenamed({"x": "i"})
-    y = filters.channelise(blocks, n=3)
+    y = filters.channelise(blocks)
     out = y.select("stream_id", "channel", "first_sample", F.posexplode(F.arrays_zip("i", "q")).alias("_k", "_s"))
     return out.select("stream_id", "channel", (F.col("first_sample") + F.col("_k")).alias("n"),
                       r(F.col("_s.i"), 5).alias("i"), r(F.col("_s.q"), 5).alias("q"))
@@ -272,7 +272,7 @@ def channelised(spark, sf):
 def metrics_of_blocks(spark, sf):
     s = series(spark, sf).withColumn("q", -F.col("x") / 2)
     blocks = framing.to_blocks(s, 128, ("x", "q")).withColumnsRenamed({"x": "i"})
-    m = filters.channel_metrics(blocks, 128, n=3, size=32, hop=16, tol=400.0)
+    m = filters.channel_metrics(blocks, 128, size=32, hop=16, tol=400.0)
     return m.select("stream_id", "frame", "channel", r(F.col("lin"), 5).alias("lin"))
 
 
@@ -292,7 +292,7 @@ FROM lev GROUP BY lev.frame"""
 
 def channel_sql() -> str:
     parts = []
-    for k in range(3):
+    for k in range(48):
         turn = f"2 * pi() * (({k * 1000 + 500} * n) % 48000) / 48000"
         parts.append(f"SELECT stream_id, {k} AS channel, n, x * cos({turn}) - x / 2 * sin({turn}) AS re, "
                      f"-x * sin({turn}) - x / 2 * cos({turn}) AS im FROM series")
@@ -565,7 +565,7 @@ def gate_blocks(spark, sf):
 
 
 def impulse(spark, sf):
-    g = recurrence.impulse_gate(gate_blocks(spark, sf), factor=1.4, size=16, rate=160.0, segment=2000)
+    g = recurrence.impulse_gate(gate_blocks(spark, sf), factor=1.4, size=16, rate=160.0, segment=50)
     return g.select("stream_id", "block_idx", "n_hot", "blanked")
 
 
@@ -594,7 +594,7 @@ def envelope_levels(spark, sf):
     ok = F.col("x") < 60
     b = (series(spark, sf).groupBy("stream_id", F.floor(F.col("n") / 16).alias("block_idx"))
          .agg(F.count_if(ok).alias("n_ok"), F.avg(F.when(ok, F.col("x"))).alias("mean_abs")))
-    e = recurrence.envelope(b, size=16, rate=160.0)
+    e = recurrence.envelope(b, size=16, rate=160.0, segment=20)
     return e.select("stream_id", "block_idx", r(F.col("envelope")).alias("envelope"))
 
 
@@ -618,7 +618,7 @@ def tracked(spark, sf):
 
 def tracked_final(spark, sf):
     df = frames(spark, sf).withColumnRenamed("x", "power_db")
-    t = recurrence.track_median(df, step_db=0.0625, passes=2)
+    t = recurrence.track_median(df, step_db=0.0625, passes=8)
     return t.select(F.posexplode("est_db").alias("bin", "_v")).select("bin", r(F.col("_v"), 6).alias("est_db"))
 
 
@@ -638,16 +638,16 @@ TRACK_SQL = TRACK_BASE + f"""
       FROM fold f JOIN sm m ON m.rn = f.rn + 1))
 SELECT frame, unnest(range(0, 64))::INT AS bin, unnest(list_transform(est, lambda v: round(v, 6) + 0.0)) AS est_db
 FROM fold WHERE rn > 0"""
-TRACK2_SQL = TRACK_BASE + f"""
-  twice AS (SELECT * FROM sm UNION ALL SELECT frame, x, rn + (SELECT max(rn) FROM sm), s FROM sm),
+REPLAY_SQL = TRACK_BASE + f"""
+  replay AS (SELECT frame, x, rn + p * (SELECT max(rn) FROM sm) AS rn, s FROM sm, (SELECT unnest(range(0, 8)) AS p)),
   fold AS (
     SELECT 0::BIGINT AS rn, x AS est FROM sm WHERE rn = 1
     UNION ALL
     SELECT rn, {smooth_sql('e')} FROM (SELECT m.rn,
       list_transform(range(1, 65), lambda i: f.est[i] + CASE WHEN m.s[i] > f.est[i] THEN 0.0625 ELSE -0.0625 END) AS e
-      FROM fold f JOIN twice m ON m.rn = f.rn + 1))
+      FROM fold f JOIN replay m ON m.rn = f.rn + 1))
 SELECT unnest(range(0, 64))::INT AS bin, unnest(list_transform(est, lambda v: round(v, 6) + 0.0)) AS est_db
-FROM fold WHERE rn = (SELECT max(rn) FROM twice)"""
+FROM fold WHERE rn = (SELECT max(rn) FROM replay)"""
 
 
 QUERIES = {
@@ -795,5 +795,5 @@ SELECT frame, unnest(range(0, 64))::INT AS bin, unnest(list_transform(s, lambda
     "impulse_gate": IMPULSE_SQL,
     "envelope_average": ENVELOPE_SQL,
     "median_tracker_series": TRACK_SQL,
-    "median_tracker_replay": TRACK2_SQL,
+    "median_tracker_replay": REPLAY_SQL,
 }

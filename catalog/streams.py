@@ -25,6 +25,21 @@ def staged(spark, df, name):
     return st.stream_blocks(spark, path, df.schema, max_files=None)
 
 
+def in_parts(spark, df, name, order, parts=3, files=2):
+    """The same in ``parts`` micro-batches along ``order``, so that state is handed on."""
+    path = fresh_dir(spark, name)
+    rows = cut_lineage(df)
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        rows.write.parquet(path)
+        return st.stream_blocks(spark, path, df.schema, max_files=None)
+    width = (hi - lo) // parts + 1
+    for k in range(parts):
+        part = rows.where((F.col(order) >= lo + k * width) & (F.col(order) < lo + (k + 1) * width))
+        part.repartition(files).write.mode("append").parquet(path)
+    return st.stream_blocks(spark, path, df.schema, max_files=files)
+
+
 def finished(spark, stream, name):
     path = fresh_dir(spark, name)
     st.run_to_table(stream, path, fresh_dir(spark, name + "-state")).awaitTermination()
@@ -58,37 +73,40 @@ HAVING max(us) + 7200000000 <= (SELECT max(us) // 1000 * 1000 FROM e) - 60000000
 
 
 def cooldown(spark, sf):
-    s = staged(spark, heat(spark, sf).where("lin > 60"), "hot")
+    s = in_parts(spark, heat(spark, sf).where("lin > 60"), "hot", "frame")
     return finished(spark, st.stream_cooldown(s, 6), "cooldown").select("frame", "channel")
 
 
 def detect(spark, sf):
     h = heat(spark, sf).groupBy("stream_id", "frame").agg(
         F.sort_array(F.collect_list(F.struct("channel", "lin"))).alias("c")).select("stream_id", "frame", F.col("c.lin").alias("lin"))
-    out = finished(spark, st.stream_detect(staged(spark, h, "frames"), det.CFG), "detections")
+    out = finished(spark, st.stream_detect(in_parts(spark, h, "frames", "frame"), det.CFG), "detections")
     return out.select("frame", "channel", r(F.col("lin")).alias("lin"), r(F.col("metric_db"), 4).alias("metric_db"))
 
 
 def impulse(spark, sf):
-    s = staged(spark, sig.gate_blocks(spark, sf), "blocks")
+    s = in_parts(spark, sig.gate_blocks(spark, sf), "blocks", "block_idx")
     out = st.stream_impulse_gate(s, factor=1.4, size=16, rate=160.0)
     return finished(spark, out, "gate").select("stream_id", "block_idx", "n_hot", "blanked")
 
 
 def tracker(spark, sf):
-    s = staged(spark, sig.frames(spark, sf).withColumnRenamed("x", "power_db"), "spectra")
+    s = in_parts(spark, sig.frames(spark, sf).withColumnRenamed("x", "power_db"), "spectra", "frame")
     out = finished(spark, st.stream_track_median(s), "tracker")
     return sig.bins(out, "est_db", "frame").select("frame", "bin", r(F.col("_v"), 6).alias("est_db"))
 
 
 def attach(spark, sf):
-    """Matched detections (every match is out; an unmatched one waits for the watermark)."""
+    """Detections with and without a decode; a later row on each side moves the watermark past the rest."""
     at = lambda n: F.timestamp_seconds(F.lit(1_700_000_000) + n)
+    late = lambda name, no: spark.range(1).select(F.lit(no).cast("long").alias("marker_id"), at(F.lit(300_000_000)).alias(name))
     d = truth(spark, sf).select(F.col("truth_no").alias("marker_id"), at(F.col("truth_no")).alias("det_ts"))
     m = log(spark, sf).select((F.col("line_no") - F.col("line_no") % 4).alias("marker_id"), "message",
                               at(F.col("line_no")).alias("dec_ts"))
+    d = d.unionByName(late("det_ts", -1))
+    m = m.unionByName(late("dec_ts", -2).withColumn("message", F.lit("")))
     out = finished(spark, st.stream_attach(staged(spark, d, "det"), staged(spark, m, "dec")), "attached")
-    return out.where("message is not null").select("marker_id", F.unix_seconds("dec_ts").alias("decoded_at"), "message")
+    return out.select("marker_id", F.unix_seconds("dec_ts").alias("decoded_at"), "message")
 
 
 def spot_export(spark, sf):
@@ -163,7 +181,7 @@ FROM events GROUP BY 1, 2 HAVING (epoch_us(any_value(ts)) // 3600000000 + 1) * 3
     "stream_impulse_gate": sig.SQL["impulse_gate"],
     "stream_median_tracker": sig.SQL["median_tracker_series"],
     "stream_attach_decodes": "WITH " + TRUTH + """
-SELECT truth_no AS marker_id, 1700000000 + line_no AS decoded_at, message FROM truth JOIN log ON line_no - line_no % 4 = truth_no""",
+SELECT truth_no AS marker_id, 1700000000 + line_no AS decoded_at, message FROM truth LEFT JOIN log ON line_no - line_no % 4 = truth_no""",
     "export_spots": "SELECT de_call, de_grid, freq_hz, snr, mode, id AS utc_epoch FROM (" + rec.spots_sql(True) + ")",
     "write_decode_log": LOG_SINK_SQL,
     "write_report": "WITH " + rec.claims_sql(True) + """,

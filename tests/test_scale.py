@@ -165,7 +165,7 @@ def test_impulse_gate_over_segments(spark):
     assert any(r.blanked for r in out)
 
 
-def test_median_tracker_over_segments(spark):
+def test_median_tracker_in_order(spark):
     rng = np.random.default_rng(2)
     spec = rng.normal(scale=0.5, size=(50, 9))
     df = spark.createDataFrame([("r", i, s.tolist()) for i, s in enumerate(spec)],
@@ -175,9 +175,9 @@ def test_median_tracker_over_segments(spark):
         for s in spec:
             est = recurrence.track_step(est, s, 0.0625, 7)
             series.append(est)
-    one = recurrence.track_median(df, segment=20).orderBy("frame").collect()
+    one = recurrence.track_median(df.repartition(5)).orderBy("frame").collect()
     assert np.allclose([r.est_db for r in one], series[:50])
-    two = recurrence.track_median(df, passes=2, segment=20).collect()
+    two = recurrence.track_median(df.repartition(5).unionByName(df.select(F.lit(None).cast("string").alias("recording"), "frame", "power_db")), passes=2).where("recording = 'r'").collect()
     assert np.allclose(two[0].est_db, series[-1])
 
 
@@ -263,3 +263,23 @@ def test_large_keys_keep_null_keys_and_empty_groups(spark):
     assert len(both(lambda m: lagged(df, ["k"], ["n"], {"p": "x"}, task_rows=m, segment=2).select("k", "n", "x", "p"))) == 18
     assert len(both(lambda m: quantiles(df, ["k"], "x", {"q": 0.3, "m": 0.5}, task_rows=m))) == 3
     assert len(both(lambda m: quantiles(df, ["k"], "x", {"q": 0.3}, task_rows=m, extra={"c": F.count("*")}))) == 3
+
+
+@pytest.mark.parametrize("fan,levels,segment", [(2, 3, 5), (64, 4, 4096)])
+def test_intervals_keep_every_truth_and_name_frames_that_exist(spark, fan, levels, segment):
+    rng = random.Random(5)
+    grid = [("s", c, f, float(rng.randrange(6))) for c in (0, 1) for f in sorted(rng.sample(range(400), 60))]
+    truths = [("s", rng.choice([0, 1]), rng.randrange(-50, 450) + rng.random(), rng.choice([0.0, 0.4, 3.0, 90.0, 500.0])) for _ in range(200)]
+    truths += [("s", 2, 5.0, 1.0), ("t", 0, 5.0, 1.0), ("s", 0, None, 1.0), (None, 0, 5.0, 1.0), truths[0]]
+    want = []
+    for s, c, a, w in truths:
+        mine = [(f, m) for k, ch, f, m in grid if k == s and ch == c] if a is not None else []
+        hits = [(-m, f) for f, m in mine if a <= f <= a + w]
+        near = min(((abs(f - (a + w / 2)), f) for f, _ in mine), default=(0, None))[1]
+        want.append((s, c, a, w, min(hits)[1] if hits else near, bool(hits)))
+    got = matching.match_interval(
+        spark.createDataFrame(truths, "stream_id string, channel int, start double, width double"),
+        spark.createDataFrame(grid, "stream_id string, channel int, frame long, metric_db double"), 0.0, 1.0,
+        fan=fan, levels=levels, segment=segment)
+    rows = [(r.stream_id, r.channel, r.start, r.width, r.frame, r.inside) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
