@@ -7,7 +7,7 @@ long recording does not sit in one task.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,28 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import MAX_RECORDING, analytic
+from ..scale import cut_lineage
 
 LAYOUT = ("stream_id string, length bigint, rate int, channels int, width int, "
           "data_at bigint, n_frames bigint")
 PIECE = "stream_id string, block_idx bigint, first_sample bigint, rate int, i array<float>, q array<float>"
 
 
-def wav_layout(head: bytes, length: int) -> tuple[int, int, int, int, int]:
-    """(rate, channels, bytes per sample, offset of the data, frames) from a RIFF header."""
-    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+def wav_layout(read: Callable[[int, int], bytes], length: int) -> tuple[int, int, int, int, int]:
+    """(rate, channels, bytes per sample, offset of the data, frames) of a RIFF or RF64 file.
+
+    ``read(at, n)`` gives bytes of the file; chunks are walked by their offsets,
+    so any number of other chunks of any size may come before the samples. Data
+    sizes of 4 GiB and more come from the ``ds64`` chunk of RF64; in plain RIFF
+    they have wrapped, and the file's length says how often.
+    """
+    head = read(0, 12)
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, fmt = 12, None
-    while at + 8 <= len(head):
-        name, size = struct.unpack_from("<4sI", head, at)
-        if name == b"fmt ":
-            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, at + 8)
+    at, fmt, long_data = 12, None, None
+    while at + 8 <= length:
+        name, size = struct.unpack("<4sI", read(at, 8))
+        if name == b"ds64":
+            long_data = struct.unpack("<Q", read(at + 16, 8))[0]
+        elif name == b"fmt ":
+            _, channels, rate, _, _, bits = struct.unpack("<HHIIHH", read(at + 8, 16))
             fmt = (rate, channels, bits // 8)
         elif name == b"data" and fmt:
             rate, channels, width = fmt
-            size = min(size, length - at - 8)
-            return rate, channels, width, at + 8, size // (channels * width)
+            room = length - at - 8
+            if head[:4] == b"RF64" and size == 0xFFFFFFFF and long_data is not None:
+                size = long_data
+            elif size <= room:
+                size += (room - size) >> 32 << 32
+            return rate, channels, width, at + 8, min(size, room) // (channels * width)
         at += 8 + size + size % 2
-    raise ValueError("no data chunk in the first bytes of the WAV file")
+    raise ValueError("no data chunk in the WAV file")
 
 
 def raw_levels(raw: bytes, width: int, as_float: bool, peak: float) -> np.ndarray:
@@ -83,7 +97,7 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
                     blocks_per_task: int = 64, mono_to_analytic: bool = True) -> DataFrame:
     """Blocks (stream_id = file, block_idx, first_sample, rate, i, q) of all WAV files under ``path``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.wav").load(path)
+             .option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
              .select(F.col("path").alias("stream_id"), "length"))
 
     def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +105,11 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
             rows = []
             for f, n in zip(pdf["stream_id"], pdf["length"]):
                 with _open(f) as src:
-                    rows.append((f, n, *wav_layout(src.read_at(min(n, 65_536), 0), n)))
+                    rows.append((f, n, *wav_layout(lambda at, size: src.read_at(size, at), n)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
 
-    layout = files.mapInPandas(layouts, LAYOUT)
+    # one row per file
+    layout = cut_lineage(files.mapInPandas(layouts, LAYOUT))
     span = block * blocks_per_task
     pieces = (layout.where("n_frames > 0").withColumn("piece", F.explode(F.sequence(
                   F.lit(0), F.floor((F.col("n_frames") - 1) / F.lit(span)).cast("long"))))
@@ -126,12 +141,11 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
                                      i[a:a + block], q[a:a + block]) for a in range(0, len(i), block)],
                                    columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
 
-    blocks = ready.mapInPandas(decode, PIECE)
     if not mono_to_analytic:
-        return blocks
-    real = layout.where((F.col("channels") == 1) | ((F.col("channels") > 2) & F.lit(on_multi == "mean")))
-    return (blocks.join(real, "stream_id", "left_anti")
-            .unionByName(analytic_blocks(blocks.join(real, "stream_id", "left_semi"), block)))
+        return ready.mapInPandas(decode, PIECE)
+    real = (F.col("channels") == 1) | ((F.col("channels") > 2) & F.lit(on_multi == "mean"))
+    return ready.where(~real).mapInPandas(decode, PIECE).unionByName(
+        analytic_blocks(ready.where(real).mapInPandas(decode, PIECE), block))
 
 
 def analytic_blocks(blocks: DataFrame, block: int = 8192) -> DataFrame:
@@ -157,21 +171,24 @@ def decode_recordings(df: DataFrame, block: int = 8192, on_multi: str = "first2"
                       name: str = "path", content: str = "content",
                       mono_to_analytic: bool = True) -> DataFrame:
     """The same for recordings held in a binary column (short clips in a table)."""
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for p, raw in zip(pdf[name], pdf[content]):
-                raw = bytes(raw)
-                rate, channels, width, at, n = wav_layout(raw, len(raw))
-                data = raw[at:at + n * channels * width]
-                finite, peak = float_evidence(data) if width == 4 else (False, 0.0)
-                i, q = to_iq(raw_levels(data, width, finite and peak <= 10, peak), channels, on_multi)
-                rows += [(str(p), a // block, a, rate, i[a:a + block], q[a:a + block],
-                          is_real(channels, on_multi)) for a in range(0, len(i), block)]
-            yield pd.DataFrame(rows, columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q", "real"])
-
-    blocks = df.select(name, content).mapInPandas(decode, PIECE + ", real boolean")
+    def decoder(kinds: tuple[bool, ...]):
+        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for p, raw in zip(pdf[name], pdf[content]):
+                    raw = bytes(raw)
+                    rate, channels, width, at, n = wav_layout(lambda a, size: raw[a:a + size], len(raw))
+                    if is_real(channels, on_multi) not in kinds:
+                        continue
+                    data = raw[at:at + n * channels * width]
+                    finite, peak = float_evidence(data) if width == 4 else (False, 0.0)
+                    i, q = to_iq(raw_levels(data, width, finite and peak <= 10, peak), channels, on_multi)
+                    yield pd.DataFrame([(str(p), a // block, a, rate, i[a:a + block], q[a:a + block])
+                                        for a in range(0, len(i), block)],
+                                       columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
+        return decode
+
+    clips = df.select(name, content)
     if not mono_to_analytic:
-        return blocks.drop("real")
-    return blocks.where("not real").drop("real").unionByName(
-        analytic_blocks(blocks.where("real").drop("real"), block))
+        return clips.mapInPandas(decoder((True, False)), PIECE)
+    return clips.mapInPandas(decoder((False,)), PIECE).unionByName(
+        analytic_blocks(clips.mapInPandas(decoder((True,)), PIECE), block))

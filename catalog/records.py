@@ -10,7 +10,7 @@ from burstlake.functions import numeric as num
 from burstlake.operators import baseline as base
 from burstlake.operators import framing, matching, runs
 from burstlake.plans import comparison, jobs
-from burstlake.scale import top_k
+from burstlake.scale import fresh_dir, top_k
 from burstlake.sources import logs, packets as pk, recordings
 
 from .bindings import (HEAT, K, MESSAGES, PACKETS, SERIES, STATUS, TRUTH, epoch_us, heat, k_of, log, messages,
@@ -311,6 +311,29 @@ def recordings_read(spark, sf):
                        r(F.col("s.i").cast("double"), 8).alias("i"), r(F.col("s.q").cast("double"), 8).alias("q"))
 
 
+def folder_read(spark, sf):
+    """The same clips written as files of a shared folder and scanned by path."""
+    folder = fresh_dir(spark, "clips")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                with system.open_output_stream(f"{root}/{name}.WAV") as out:
+                    out.write(bytes(raw))
+            yield pdf[["path"]]
+
+    clips(spark, sf).mapInPandas(write, "path string").count()
+    b = recordings.read_recordings(spark, folder, block=16)
+    rows = b.select("stream_id", "first_sample", "rate", F.posexplode(F.arrays_zip("i", "q")).alias("k", "s"))
+    return rows.select(F.regexp_extract("stream_id", r"(\d+)\.WAV$", 1).cast("bigint").alias("frame"), "rate",
+                       (F.col("first_sample") + F.col("k")).alias("n"),
+                       r(F.col("s.i").cast("double"), 8).alias("i"), r(F.col("s.q").cast("double"), 8).alias("q"))
+
+
 RECORDINGS_SQL = """SELECT vec_id AS frame, 48000::INT AS rate, unnest(range(0, 32)) AS n,
   unnest(list_transform(range(0, 32), lambda j: round(round_even(embedding[2*j+1]::DOUBLE * 32767, 0) / 32768, 8) + 0.0)) AS i,
   unnest(list_transform(range(0, 32), lambda j: round(round_even(embedding[2*j+2]::DOUBLE * 32767, 0) / 32768, 8) + 0.0)) AS q
@@ -604,6 +627,7 @@ QUERIES = {
     "read_packets": packet_fields,
     "packet_time": packet_times,
     "read_recordings": recordings_read,
+    "read_recordings_folder": folder_read,
     "read_decode_log": decode_log,
     "launch_outcomes": launches,
     "read_manifest": manifest_rows,
@@ -657,6 +681,7 @@ FROM series GROUP BY 1""",
     "read_packets": PACKET_SQL,
     "packet_time": TIMES_SQL,
     "read_recordings": RECORDINGS_SQL,
+    "read_recordings_folder": RECORDINGS_SQL,
     "read_decode_log": DECODE_LOG_SQL,
     "launch_outcomes": LAUNCH_SQL,
     "read_manifest": MANIFEST_SQL,
