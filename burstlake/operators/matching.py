@@ -230,8 +230,11 @@ def match_interval(truth: DataFrame, frames: DataFrame, t0: float, step: float,
     known = cut_lineage(join_keys(asked, hits, ident, "left"))
     centre = (F.col("start") + F.col("width") / F.lit(2.0) - F.lit(t0)) / F.lit(step)
     far = known.where(F.col("_hit").isNull()).select(*ident, centre.cast("double").alias("_pos")).where("_pos is not null")
-    near = _nearest_frame(far, frames, by, segment).select(*ident, "_near")
-    picked = join_keys(known, near, ident, "left").select(
+    if far.isEmpty():
+        near = known.withColumn("_near", F.lit(None).cast("long"))
+    else:
+        near = join_keys(known, _nearest_frame(far, frames, by, segment).select(*ident, "_near"), ident, "left")
+    picked = near.select(
         *ident, F.coalesce("_hit", "_near").alias("frame"), F.col("_hit").isNotNull().alias("inside"))
     return join_keys(truth, picked, ident, "left")
 
