@@ -517,9 +517,9 @@ SELECT truth_no, status, CASE status WHEN 'DECODED' THEN exact_line WHEN 'GARBLE
 
 def interval_truth(spark, sf):
     ev = table(spark, sf, "events")
-    first = ev.agg(F.floor(F.min(epoch_us()) / 3_600_000_000).alias("lo"))
-    start = F.floor((epoch_us() - F.col("lo") * 3_600_000_000) / 60_000_000) / 60.0
-    return ev.crossJoin(F.broadcast(first)).select(
+    first = ev.agg(F.floor(F.min(epoch_us()) / 3_600_000_000)).scalar()
+    start = F.floor((epoch_us() - first * 3_600_000_000) / 60_000_000) / 60.0
+    return ev.select(
         F.when(F.col("event_type") == "error", "elsewhere").otherwise("grid").alias("stream_id"), F.col("event_id").alias("truth_no"),
         F.pmod("user_id", F.lit(48)).cast("int").alias("channel"), start.alias("start"),
         (F.floor(F.col("value") / 8) * 0.5).alias("width"))
