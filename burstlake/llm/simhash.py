@@ -22,6 +22,13 @@ Copies are one fingerprint before anything is compared, so a large group of
 copies costs as much as a single document. All of this holds fingerprints, never
 texts; a task holds the largest of its buckets or ``CHUNK`` fingerprints.
 
+``drop_near_duplicates`` wants groups of a stated similarity. Five-word sets that are
+0.8 alike have fingerprints some 10 bits apart, too far for any index by blocks, so
+groups of near fingerprints are only part of its candidates. The others share one of
+20 min-wise samples of five shingles: of pairs at 0.8 all but 1 in 2,000 do. Every
+candidate is checked on the whole shingle sets, in rounds that compare with few
+members of a bucket at a time. Copies are one row before that.
+
 Defined results: null and wordless texts have fingerprint zero; with fewer words
 than a shingle has, the whole sequence is the shingle; rows with a null doc_id
 take part but are not the smallest; repeated rows have equal results; an empty
@@ -48,19 +55,28 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that a task indexes at a time, and pairs that it compares at a time.
 CHUNK, PAIRS = 200_000, 1 << 16
 FANOUT = 8
+#: Similarity groups: words of a shingle, least Jaccard similarity; bands and rows of a band's sample.
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Ids that may be broadcast; pairs of one text that a task compares.
+FEW, DEAL = 200_000, 1_000
 
 
 # -- fingerprints ------------------------------------------------------------
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of a text; only A to Z are put in lower case."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray, bytes]:
+    """Hashes of a text's shingles, repeats included, and its words; only A to Z are put in lower case."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     whole = b" ".join(words)
+    if not words:
+        return np.empty(0, np.uint64), whole
     starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
     ends = starts[shingle:] or starts[-1:]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(whole[a:b - 1], SEED) for a, b in zip(starts, ends)), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(whole[a:b - 1], SEED) for a, b in zip(starts, ends)), np.uint64), whole
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes, unsigned; zero for none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i:i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -68,6 +84,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of a text."""
+    return majority(shingle_hashes(text, shingle)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, fp): ``th`` is a hash of the text that tells apart rows with equal ids; ``fp`` is signed."""
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,19 +263,17 @@ def near_links(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and (fp, root) of the distinct ones, each root standing for a group."""
-    rows = saved(fingerprints(docs, shingle))
+def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``rows``, each root standing for a group."""
     distinct = rows.select("fp").distinct()
-    links = near_links(distinct, distinct.count(), radius)
-    found = components(links)
-    roots = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows, roots
+    found = components(near_links(distinct, distinct.count(), radius))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of (doc_id, text)."""
-    rows, roots = grouped(docs)
+    rows = saved(fingerprints(docs))
+    roots = grouped(rows)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("doc")).join(roots, "fp")
     ids = least.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = least.join(ids, "root").select("fp", "component_id")
@@ -262,12 +281,120 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+# -- groups of a similarity ---------------------------------------------------
+
+def samples(hashes: np.ndarray) -> list[int]:
+    """One signed hash for each band: of the smallest shingle hashes under ``ROWS`` permutations."""
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[i:i + (1 << 12), None] * FACTORS).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(least[i:i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(least), ROWS)]
+
+
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, node, fp, bands): ``node`` is a hash of the words, equal for copies."""
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            nodes, fps, bands = [], [], []
+            for t in b.column(2):
+                hashes, whole = shingle_hashes(t.as_py(), shingle)
+                nodes.append(xxhash.xxh3_64_intdigest(whole))
+                fps.append(majority(hashes))
+                bands.append(samples(hashes))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(bands, pa.list_(pa.int64()))],
+                                             names=["doc_id", "th", "node", "fp", "bands"])
+
+    return (docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text")
+            .mapInArrow(each, "doc_id long, th long, node long, fp long, bands array<bigint>"))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) for the documents ``wanted`` (node, doc_id, th): sorted distinct hashes, as bytes.
+
+    Ids are broadcast up to ``FEW`` of them, else joined by a shuffle.
+    """
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_hash().alias("h"), "text")
+    texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("node", "text")
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)[0]).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(each, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity; an ``a`` of many pairs is dealt by b."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(DEAL)).alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    first = sets.join(many.withColumnRenamed("a", "node"), "node", "left").select(
+        F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(first, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
+                   similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, node, ..) of all documents, and (node, root) of the linked nodes.
+
+    Candidates share a bucket: a group of near fingerprints, or an equal sample.
+    Round by round the members of a bucket are dealt to 1, 2, 4 .. classes, whose
+    smallest members meet all others of the bucket and then leave it; a bucket is
+    done when its members are of one group. So a large group costs a link a member,
+    and no pair that met in a bucket is passed over unless it is linked already.
+    """
+    rows = saved(described(docs, shingle))
+    nodes = saved(rows.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("w"),
+        F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    roots = grouped(rows, radius)
+    places = nodes.select("node", F.posexplode("bands").alias("band", "key")).unionByName(
+        nodes.join(roots, "fp").select("node", F.lit(-1).alias("band"), F.col("root").alias("key")))
+    shared = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = saved(places.join(shared, ["band", "key"]).select("band", "key", "node", F.col("node").alias("root")))
+    links, found, classes = None, None, 1
+    while not members.isEmpty():
+        part = F.pmod(F.xxhash64("node"), F.lit(classes))
+        heads = members.groupBy("band", "key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head"))
+        heads = heads.select("band", "key", F.col("head.node").alias("a"), F.col("head.root").alias("a_root"))
+        pairs = saved(members.join(heads, ["band", "key"]).where("node <> a and root <> a_root").select(
+            "a", F.col("node").alias("b")).distinct())
+        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                       .join(nodes, "node").select("node", "w.doc_id", "w.th"))
+        new = saved(similar_pairs(pairs, saved(shingle_sets(docs, wanted, shingle)), similarity))
+        links = new if links is None else links.unionByName(new)
+        found = saved(components(links))
+        left = members.drop("root").join(heads.select("band", "key", F.col("a").alias("node")), ["band", "key", "node"], "left_anti")
+        left = left.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        members = saved(left.join(ends.select("band", "key"), ["band", "key"]).select("band", "key", "node", "root"))
+        classes *= 2
+    return rows, found if found is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
+                         similarity: float = SIMILARITY) -> DataFrame:
     """The same columns, with one row of each group: the smallest doc_id, and for equal ids the smallest text hash."""
-    rows, roots = grouped(docs, shingle, radius)
+    rows, found = similar_groups(docs, shingle, radius, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
-    least = rows.groupBy("fp").agg(first.alias("w")).join(roots, "fp")
-    kept = least.groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.th")
+    least = rows.groupBy("node").agg(first.alias("w")).join(found, "node", "left")
+    kept = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w")).select("w.doc_id", "w.th")
     th = free_name(docs, "th")
     out = docs.withColumn(th, text_hash())
     out = out.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th")),

@@ -300,6 +300,41 @@ def test_simhash_odd(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def brute_groups(texts, similarity=0.8):
+    """Smallest place of each text's group, by all pairs of five-word sets."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("deal", [1_000, 3])
+def test_similarity_groups(spark, monkeypatch, deal):
+    monkeypatch.setattr(simhash, "DEAL", deal)
+    monkeypatch.setattr(simhash, "FEW", deal)
+    rng = random.Random(5)
+    texts = []
+    for n in (3, 30, 200, 200, 1500):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for k in range(12):
+            other = list(base)
+            for i in rng.sample(range(n), min(n, 1 + k * n // 400)):
+                other[i] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(other))
+    texts += texts[:20] + [texts[-1].upper().replace("X", "x").replace("W", "w")]
+    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, root string")
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted(set(brute_groups(texts))) and 10 < len(got) < 60
+
+
 # -- sharding ------------------------------------------------------------------
 
 def test_sharding(spark, odd, empty):
