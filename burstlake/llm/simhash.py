@@ -354,7 +354,7 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     """Rows (doc_id, th, node, ..) of all documents, and (node, root) of the linked nodes.
 
     Candidates share a bucket: a group of near fingerprints, or an equal sample.
-    Round by round the members of a bucket are dealt to 1, 2, 4 .. classes, whose
+    Round by round the members of a bucket are dealt to 1, 16, 256 .. classes, whose
     smallest members meet all others of the bucket and then leave it; a bucket is
     done when its members are of one group. So a large group costs a link a member,
     and no pair that met in a bucket is passed over unless it is linked already.
@@ -379,12 +379,13 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
                        .join(nodes, "node").select("node", "w.doc_id", "w.th"))
         new = saved(similar_pairs(pairs, saved(shingle_sets(docs, wanted, shingle)), similarity))
         links = new if links is None else links.unionByName(new)
-        found = saved(components(links))
+        if found is None or not new.isEmpty():
+            found = saved(components(links))
         left = members.drop("root").join(heads.select("band", "key", F.col("a").alias("node")), ["band", "key", "node"], "left_anti")
         left = left.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         members = saved(left.join(ends.select("band", "key"), ["band", "key"]).select("band", "key", "node", "root"))
-        classes *= 2
+        classes *= 16
     return rows, found if found is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
