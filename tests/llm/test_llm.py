@@ -219,6 +219,34 @@ def test_common_lines(spark):
     assert out[40].text == copies[0]
 
 
+def test_common_lines_of_templates_and_copies(spark):
+    """Templates of 3 to 20 lines are found whole; a document copied with edits stays as it is."""
+    rng = random.Random(12)
+
+    def line(n=12):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+    data = []
+    for n in (3, 5, 10, 20):
+        shared = [line() for _ in range(n)]
+        data += [("\n".join([*shared[:n // 2], line(), *shared[n // 2:]]), f"t{n}") for _ in range(60)]
+    for n in (5, 10):
+        words = [line().split() for _ in range(n)]
+        for _ in range(60):
+            copy = [list(w) for w in words]
+            copy[rng.randrange(n)][rng.randrange(12)] = line(1)
+            data.append(("\n".join(map(" ".join, copy)), f"c{n}"))
+    df = spark.createDataFrame([(i, t, "en", s, len(t), "x", 1, 2) for i, (t, s) in enumerate(data)], DOCS)
+    out = defaultdict(list)
+    for r in quality.keep_good(df).collect():
+        out[r.source].append(r)
+    assert {s: len(x) for s, x in out.items()} == {"t3": 60, "c5": 60, "c10": 60}
+    assert all("\n" not in r.text and r.n_chars == len(r.text) for r in out["t3"])
+    assert all(r.text == data[r.doc_id][0] for n in (5, 10) for r in out[f"c{n}"])
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert [sum(kept[i] for i, (_, s) in enumerate(data) if s == f"t{n}") for n in (3, 5, 10, 20)] == [60, 0, 0, 0]
+
+
 # -- mixing --------------------------------------------------------------------
 
 def test_mixing(spark, odd, empty):
