@@ -11,6 +11,15 @@ brute-force spans; a dynamic programme over positions finds it in time linear in
 the value's length. Values of the wider contexts that cost at least
 ``MIN_COST`` and overlap no base span become spans of kind ``guess``.
 
+Words of prose follow "secret is" as well, so the known words are a short fixed list
+and the words of the corpus, ranked by the documents that hold them (``ranked``): one
+more scan, counts combined in the tasks and before the shuffle, and the first
+``MAX_WORDS`` of at most ``MAX_LETTERS`` letters, no more from all tasks together, go to
+the driver and to each worker. A
+document doesn't count for the words of its own context values, so that a secret isn't
+known for being copied; what fewer than ``MIN_WORD_DOCS`` documents hold is no word.
+A small corpus knows few words, and more of its prose costs brute force.
+
 Defined results: a null text counts as empty and has no spans; repeated rows
 have equal results; further columns are ignored by ``scan`` and kept by
 ``redact``; an empty table gives an empty result; texts are scanned whole.
@@ -21,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlake.llm.common import free_name
+from burstlake.llm.common import free_name, saved
 
 # The kinds in the order of listing, with pattern, group and least length.
 KINDS = ("assign", "access", "hex", "guess")
@@ -57,6 +67,10 @@ WORDS = (
     "true false").split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST_WORD = max(map(len, WORDS))
+#: Words taken from the corpus: how many, of how many letters, and in how many documents at least; counts held by a task.
+MAX_WORDS, MIN_LETTERS, MAX_LETTERS, MIN_WORD_DOCS = 65_536, 3, 32, 3
+HELD_COUNTS = 200_000
+LETTERS = re.compile(r"[^\W\d_]+")
 LEET = str.maketrans("4@8301!|$57", "aabeoiiisst")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 
@@ -66,6 +80,26 @@ DATES = re.compile(r"(?:(?:0?[1-9]|[12]\d|3[01])([-/._ ]?)(?:0?[1-9]|1[0-2])\1(1
                    r"|(19\d\d|20[0-4]\d)([-/._ ]?)(?:0?[1-9]|1[0-2])\4(?:0?[1-9]|[12]\d|3[01]))")
 
 
+class Ranks:
+    """Words with their ranks; equal for equal words, so that one is kept with the remembered costs."""
+
+    def __init__(self, words: tuple[str, ...] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        for w, r in RANK.items():
+            self.rank[w] = min(r, self.rank.get(w, r))
+        self.longest = max(map(len, self.rank))
+        self.key = hashlib.sha256("\n".join(words).encode()).hexdigest()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Ranks) and self.key == other.key
+
+    def __hash__(self) -> int:
+        return hash(self.key)
+
+
+FIXED = Ranks()
+
+
 def _places() -> dict[str, tuple[float, int]]:
     return {c: (x + y * 0.5, y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 
@@ -92,17 +126,17 @@ def repeats(value: str) -> list[list[int]]:
     return out
 
 
-def segments(value: str, i: int, runs: list[list[int]]) -> list[tuple[int, float]]:
+def segments(value: str, i: int, runs: list[list[int]], words: Ranks = FIXED) -> list[tuple[int, float]]:
     """Ends and costs of the patterns that start at ``i``; brute force is not among them.
 
     A repeat ends where it cannot go on, a keyboard walk there or after 64 keys, so
     there are no more than a constant number of segments for each start.
     """
     out: list[tuple[int, float]] = []
-    low = value[i:i + LONGEST_WORD].lower()
+    low = value[i:i + words.longest].lower()
     plain = low.translate(LEET)
     for k in range(3, len(low) + 1):
-        rank, leet = RANK.get(low[:k]), RANK.get(plain[:k])
+        rank, leet = words.rank.get(low[:k]), words.rank.get(plain[:k])
         if rank or leet:
             cased = value[i:i + k] != low[:k]
             swaps = 0 if rank else sum(a != b for a, b in zip(low[:k], plain[:k], strict=True))
@@ -126,7 +160,7 @@ def segments(value: str, i: int, runs: list[list[int]]) -> list[tuple[int, float
 
 
 @lru_cache(maxsize=65_536)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Ranks = FIXED) -> float:
     """The least sum of segment costs over all ways to cut ``value``, as a power of ten.
 
     Every segment after the first costs ``EXTRA_SEGMENT``. A brute-force span costs
@@ -140,7 +174,7 @@ def guess_cost(value: str) -> float:
     for i in range(n):
         best = min(ended[i], brute[i])
         brute[i + 1] = min(brute[i] + BRUTE_CHAR, ended[i] + EXTRA_SEGMENT + BRUTE_CHAR)
-        for end, cost in segments(value, i, runs):
+        for end, cost in segments(value, i, runs, words):
             ended[end] = min(ended[end], best + EXTRA_SEGMENT + cost)
     return max(0.0, min(ended[n], brute[n]))
 
@@ -161,25 +195,53 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Values in credential contexts that no base span touches and that are hard to guess.
+def context_values(text: str) -> list[tuple[int, str]]:
+    """(start, value) where a credential stands, without the punctuation after it."""
+    if not mentions(text, CONTEXT_WORDS):
+        return []
+    return [(m.start(1), m[1].rstrip(".,;:!?)]}>")) for m in CONTEXT.finditer(text)]
 
-    Words of prose follow "secret is" as well, so a value must mix a digit with
-    another kind of character.
-    """
+
+def guess_spans(text: str, base: list[tuple[int, int, int, int, int]], words: Ranks = FIXED) -> list[tuple[int, int, int, int, int]]:
+    """Values in credential contexts that no base span touches and that are hard to guess."""
     out = []
-    if not mentions(text, CONTEXT_WORDS):
-        return out
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:!?)]}>")
-        s, e = m.start(1), m.start(1) + len(value)
-        if not any(c.isdigit() for c in value) or value.isdigit() or any(b[0] < e and s < b[2] for b in base):
-            continue
-        if guess_cost(value) >= MIN_COST:
+    for s, value in context_values(text):
+        e = s + len(value)
+        if not any(b[0] < e and s < b[2] for b in base) and guess_cost(value, words) >= MIN_COST:
             out.append((s, 3, e, s, e))
     return out
 
 
+def words_of(text: str) -> set[str]:
+    return {w for w in LETTERS.findall(text.lower()) if MIN_LETTERS <= len(w) <= MAX_LETTERS}
+
+
+def ranked(docs: DataFrame, text_col: str = "text") -> Ranks:
+    """The corpus's words by the number of documents that hold them, outside of their own context values."""
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for b in it:
+            for x in b.column(0):
+                text = x.as_py() or ""
+                held.update(words_of(text).difference(*(words_of(v) for _, v in context_values(text))))
+                if len(held) > HELD_COUNTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+                    held = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = saved(counts.where(F.col("n") >= MIN_WORD_DOCS))
+    # The driver gets how many words have each number, then only those that fit; a number whose words don't all fit is left out.
+    least, total = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        total += r.words
+        if total > MAX_WORDS:
+            break
+        least = r.n
+    top = counts.where(F.col("n") >= F.lit(least)).collect()
+    return Ranks(tuple(r.word for r in sorted(top, key=lambda r: (-r.n, r.word))))
+
+
 def joined(spans: list[tuple[int, int, int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in spans)
 
@@ -192,6 +254,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Spans of every document, one row for each row of (doc_id, text)."""
     names = [c.split()[0] for c in SCAN.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
+    known = docs.sparkSession.sparkContext.broadcast(ranked(docs))
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -199,9 +262,9 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = guess_spans(text, base)
+                more = guess_spans(text, base, known.value)
                 n = [sum(x[1] == k for x in base) for k in range(3)]
-                costs = [guess_cost(text[x[3]:x[4]]) for x in (*base, *more) if x[1] in (0, 3)]
+                costs = [guess_cost(text[x[3]:x[4]], known.value) for x in (*base, *more) if x[1] in (0, 3)]
                 rows.append((doc, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)),
                              len(more), max(costs, default=None)))
             cols = list(zip(*rows)) or [()] * len(names)
@@ -213,12 +276,12 @@ def scan(docs: DataFrame) -> DataFrame:
 MARK = "[REDACTED]"
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, words: Ranks = FIXED) -> str | None:
     """The text with every found value replaced by ``MARK``; spans that touch become one."""
     if not text:
         return text
     base = base_spans(text)
-    found = sorted((x[3], x[4]) for x in base + guess_spans(text, base))
+    found = sorted((x[3], x[4]) for x in base + guess_spans(text, base, words))
     if not found:
         return text
     out, at, i = [], 0, 0
@@ -235,10 +298,11 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with the secrets in ``text_col`` replaced; where it exists, n_chars follows."""
     at = docs.columns.index(text_col)
+    known = docs.sparkSession.sparkContext.broadcast(ranked(docs, text_col))
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            new = pa.array([redacted(x.as_py()) for x in b.column(at)], b.schema.field(at).type)
+            new = pa.array([redacted(x.as_py(), known.value) for x in b.column(at)], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns)], schema=b.schema)
 
     out = docs.mapInArrow(clean, docs.schema)

@@ -102,6 +102,21 @@ def test_secrets_odd(spark, odd, empty):
     assert secrets.redact(df).columns == df.columns and out[0].n_chars == len(out[0].text)
 
 
+def test_cost_decides_on_context_values(spark):
+    """Values of one kind of character are found; prose isn't, as its words are in other documents."""
+    found = ["passphrase is xQvBnRtYpLkWzMd", "pwd: kG$!vQ@zRw#pLx", "passcode = 839201774652"]
+    prose = ["the passphrase is unbelievable", "a credential was misunderstanding"]
+    other = ["unbelievable misunderstanding here"] * 3
+    again = ["passphrase is wertzuvbnopqa and wertzuvbnopqa once more"] * 5
+    df = spark.createDataFrame(rows(*found, *prose, *other, *again), DOCS)
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert [got[i].n_guess for i in range(13)] == [1] * 3 + [0] * 5 + [1] * 5
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [out[i] for i in range(3)] == ["passphrase is [REDACTED]", "pwd: [REDACTED]", "passcode = [REDACTED]"]
+    assert [out[3], out[4]] == prose
+    assert set(secrets.ranked(df).rank) - set(secrets.RANK) == {"unbelievable", "misunderstanding", "here", "and", "once", "more", "passphrase"}
+
+
 # -- packing -------------------------------------------------------------------
 
 def check_pieces(pieces, texts, window=4096):
