@@ -25,7 +25,7 @@ texts; a task holds the largest of its buckets or ``CHUNK`` fingerprints.
 ``drop_near_duplicates`` wants groups of a stated similarity. Five-word sets that are
 0.8 alike have fingerprints some 10 bits apart, too far for any index by blocks, so
 groups of near fingerprints are only part of its candidates. The others share one of
-20 min-wise samples of five shingles: of pairs at 0.8 all but 1 in 2,000 do. Every
+20 min-wise samples of five shingles: of pairs at 0.8 all but 1 in 2,800 do. Every
 candidate is checked on the whole shingle sets, in rounds that compare with few
 members of a bucket at a time. Copies are one row before that.
 
