@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.llm import ann, chat, langid, mixing, packing, quality, secrets, sharding, simhash, warc
+from burstlake.llm import (
+    align, ann, chat, langid, mixing, mtree, packing, quality, secrets, sharding, simhash, warc, whitening,
+)
 from burstlake.llm.common import table
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -84,6 +86,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"))
+
+
+def aligned_tokenizers() -> align.Paths:
+    import public_tokenizers
+
+    return align.Paths(*map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), aligned_tokenizers())
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_secrets": op2_secrets,
@@ -95,6 +115,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_langid": op9_langid,
     "op10_ann": op10_ann,
+    "op11_whitening": op11_whitening,
+    "op12_topk": op12_topk,
+    "op13_alignment": op13_alignment,
 }
 SQL = {
     "op1_chat": OP1_SQL,
