@@ -6,7 +6,7 @@ points its way, a query's inner product with it is estimated from the packed bit
 and an error bound around the estimate says which vectors might be among the
 nearest. Only those are compared exactly, on the original vectors.
 
-Every vector is indexed; only the centre is fitted, on ``SAMPLE`` vectors (those
+Every vector is indexed; only the centre, a median that far vectors don't move, is fitted, on ``SAMPLE`` vectors (those
 with the smallest hashes of their ids). Vectors are dealt to chunks by the hash of
 their id, queries to blocks; a task meets one chunk with one block and gives back
 the best of each query, so what is merged for a query is k rows for each chunk.
@@ -52,31 +52,32 @@ class Codes:
     def __init__(self, centre: np.ndarray, bits: int = CODE_BITS, epsilon: float = EPSILON) -> None:
         self.centre, self.bits, self.epsilon = centre, max(bits, -(-len(centre) // 8) * 8), epsilon
         q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((self.bits, self.bits)))
-        self.rotation = (q * np.sign(np.diag(r)))[:, :len(centre)].astype(np.float32)
+        self.rotation = (q * np.sign(np.diag(r)))[:, :len(centre)]
 
     def turn(self, x: np.ndarray) -> np.ndarray:
         """Centred vectors in the rotated space (what is padded is zero)."""
-        return (x - self.centre).astype(np.float32) @ self.rotation.T
+        return (x - self.centre) @ self.rotation.T
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs, distance from the centre, and the cosine of vector and code."""
         t = self.turn(x)
         norm = np.linalg.norm(t, axis=1)
-        cos = np.abs(t).sum(axis=1) / (math.sqrt(self.bits) * np.maximum(norm, 1e-30))
+        cos = np.abs(t).sum(axis=1) / (math.sqrt(self.bits) * np.maximum(norm, 1e-300))
         return np.packbits(t > 0, axis=1), norm, np.where(norm > 0, cos, 1.0)
 
     def bounds(self, codes: np.ndarray, norm: np.ndarray, cos: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of squared distances, a row for each query."""
+        """Lower and upper bounds of squared distances, a row for each query; where numbers are too large for bounds, NaN or infinite."""
         t = self.turn(q)
         away = np.linalg.norm(t, axis=1, keepdims=True)
-        signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+        signs = np.unpackbits(codes, axis=1).astype(np.float64) * 2 - 1
         inner = t @ signs.T / math.sqrt(self.bits) * (norm / cos)
         error = away * (norm * np.sqrt(np.maximum(1 - cos**2, 0)) / cos) * (self.epsilon / math.sqrt(max(1, self.bits - 1)))
         square = norm**2 + away**2 - 2 * inner
-        slack = 1e-4 * (norm**2 + away**2)  # single precision
+        slack = 1e-9 * (norm**2 + away**2)  # rounding, also of the centring of vectors far out
         return square - 2 * error - slack, square + 2 * error + slack
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def best(codes: Codes, ids: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray, cos: np.ndarray, qid: np.ndarray,
          q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the ids and exact distances of its k nearest in this chunk."""
@@ -91,7 +92,7 @@ def best(codes: Codes, ids: np.ndarray, x: np.ndarray, code: np.ndarray, norm: n
                 limit = dist[k - 1] ** 2 * (1 + 1e-9) if len(dist) >= k else np.inf
                 if other.sum() > k:
                     limit = min(limit, np.partition(high[n][other], k - 1)[k - 1])
-                at = j + np.flatnonzero(other & (low[n] <= limit))
+                at = j + np.flatnonzero(other & ~(low[n] > limit))  # what has no bound may be near
                 exact = np.sqrt(((x[at].astype(np.float64) - own) ** 2).sum(axis=1))
                 near, dist = np.r_[near, ids[at]], np.r_[dist, exact]
                 order = np.lexsort((near, dist))[:k]
@@ -117,7 +118,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     dim, count = sizes[0] if sizes else (1, 0)
     found = found.where(F.col("dim") == dim)
     sample = found.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    codes = Codes(np.mean([r["v"] for r in sample], axis=0) if sample else np.zeros(dim))
+    codes = Codes(np.median([r["v"] for r in sample], axis=0) if sample else np.zeros(dim))
     asked = found.where(F.col("vec_id") % every == 0)
     chunks, blocks = _parts(count, CHUNK), _parts(asked.count(), BLOCK)
 

@@ -88,14 +88,14 @@ def weights(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
 
 
 def copies(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = 1.0,
-           seed: str = "mix") -> DataFrame:
-    """(doc_id, th, source, tokens, place, copies): how often each document is used.
+           seed: str = "mix", row: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, tokens, place, copies): how often each document is used.
 
-    ``place`` is the document's block in the permutation of its source, from 1.
+    ``place`` is the document's block in the permutation of its source, from 1; ``row`` a number for each row.
     """
     text = F.coalesce("text", F.lit(""))
     rows = saved(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"),
         F.col("source").cast("string").alias("source"), tokens_in(text).alias("tokens"),
         F.pmod(number(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("block")), F.lit(BLOCKS)).alias("block")))
     name = F.coalesce("source", F.lit(""))
@@ -116,21 +116,17 @@ def copies(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
     last = (joined.where(cut).withColumn("at", number(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("order")))
             .withColumn("run", F.sum("tokens").over(inner))
             .withColumn("copies", F.col("passes") + F.when(F.col("run") <= F.col("rest"), 1).otherwise(0)))
-    names = ["doc_id", "th", "source", "tokens", "place", "copies"]
+    names = ["row", "doc_id", "source", "tokens", "place", "copies"]
     return whole.select(*names).unionByName(last.select(*names))
 
 
 def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = 1.0) -> DataFrame:
     """The documents as often as the mix uses them, same columns."""
-    used = copies(docs, entropy, repeats, budget).groupBy("doc_id", "th", "source").agg(F.sum("copies").alias("copies"))
-    th, n, at = (free_name(docs, x) for x in ("th", "copies", "copy"))
-    used = used.where("copies > 0").select(F.col("doc_id").alias("u_id"), F.col("th").alias("u_th"),
-                                           F.col("source").alias("u_source"), F.col("copies").alias(n))
-    out = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = out.join(used, docs["doc_id"].cast("long").eqNullSafe(used["u_id"]) & (out[th] == used["u_th"])
-                   & docs["source"].cast("string").eqNullSafe(used["u_source"]))
-    out = out.dropDuplicates(["doc_id", th, "source"]).withColumn(at, F.explode(F.sequence(F.lit(1), F.col(n))))
-    return out.select(*docs.columns)
+    row, n, at = (free_name(docs, x) for x in ("row_number", "copies", "copy"))
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "zstd")
+    used = copies(numbered, entropy, repeats, budget, row=F.col(row)).where("copies > 0")
+    out = numbered.join(used.select(F.col("row").alias(row), F.col("copies").alias(n)), row)
+    return out.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).select(*docs.columns)
 
 
 def weights_report(docs: DataFrame) -> DataFrame:

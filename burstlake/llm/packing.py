@@ -25,6 +25,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import add, getitem, is_, not_
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,21 @@ WINDOW, END_ID = 4096, 2
 SLICE_BYTES = 4_000_000
 #: Distinct words of a generation. A worker remembers two: what is met again in the second goes on into the next.
 REMEMBERED = 150_000
-MARKS = ".,!?;:"
+#: Runs of letters that a worker remembers before it starts anew.
+LETTERS = 400_000
+MARKS = ".,!?;:*$%&#|"
+
+
+def _letters(core: str, lower: str) -> bool:
+    """Whether a word is letters only, in lower case too (some letters become a letter and a mark)."""
+    return lower.isalpha() and core.isalpha() and (core.isascii() or max(core) < "\u0250")
 
 
 class Words:
     """Ids of texts by way of the distinct words in them.
 
     The vocabulary drops white space and never joins across it, nor across a letter
-    and one of ``.,!?;:``. So each distinct word is encoded once, and a word that is
+    and one of ``MARKS``. So each distinct word is encoded once, and a word that is
     letters and such marks shares its letters, in lower case, with all its forms.
     """
 
@@ -59,42 +68,48 @@ class Words:
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
         self.former: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found, strict=True)}
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
+    def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters: one run each, so they are encoded as one text and cut at word ends."""
         if not words:
-            return {}
+            return []
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
         if len(ends) != len(words):
-            return self._each(words)
+            return list(self._each(words).values())
         raw = ids.tobytes()
-        return dict(zip(words, map(lambda i, j: raw[i:j], [0, *ends], ends), strict=True))
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def _learn(self, words: list[str]) -> None:
-        simple, odd = [], []
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                simple.append((w, core.lower(), w[len(core):]))
-            else:
-                odd.append(w)
-        letters = {w: ids for w in {core for _, core, _ in simple} if (ids := self.ids_of(w)) is not None}
-        letters |= self._plain(list({core for _, core, _ in simple} - letters.keys()))
-        tails = self._each(list({tail for *_, tail in simple} - {""})) | {"": b""}
-        self.known.update(self._each(odd))
-        self.known.update((w, letters[core] + tails[tail]) for w, core, tail in simple)
-
-    def ids_of(self, word: str) -> bytes | None:
-        """What is remembered of a word; what the former generation knew is taken over."""
-        ids = self.known.get(word)
-        if ids is None and (ids := self.former.get(word)) is not None:
-            self.known[word] = ids
-        return ids
+        cores = list(map(str.rstrip, words, repeat(MARKS)))
+        lower = list(map(str.lower, cores))
+        fine = list(map(_letters, cores, lower))
+        odd = list(compress(words, map(not_, fine)))
+        if odd:
+            self.known.update(self._each(odd))
+            words, cores, lower = (list(compress(x, fine)) for x in (words, cores, lower))
+        found = list(map(self.letters.get, lower))
+        new = list(dict.fromkeys(compress(lower, map(is_, found, repeat(None)))))
+        if new:
+            if len(self.letters) > LETTERS:
+                self.letters = {}
+                new = list(dict.fromkeys(lower))
+            self.letters.update(zip(new, self._plain(new), strict=True))
+            found = list(map(self.letters.get, lower))
+        tails = list(map(getitem, words, map(slice, map(len, cores), repeat(None))))
+        others = set(tails) - self.tails.keys()
+        if others:
+            if len(self.tails) > REMEMBERED:
+                self.tails = {"": b""}
+                others = set(tails) - {""}
+            self.tails.update(self._each(list(others)))
+        self.known.update(zip(words, map(add, found, map(self.tails.get, tails)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text ends."""
@@ -105,8 +120,11 @@ class Words:
         if len(self.known) > REMEMBERED:
             self.former, self.known = self.known, {"": b""}
         found = list(map(self.known.get, distinct))
-        if any(ids is None for ids in found):
-            self._learn([w for w, ids in zip(distinct, found, strict=True) if ids is None and self.ids_of(w) is None])
+        new = list(compress(distinct, map(is_, found, repeat(None))))
+        if new:
+            before = list(map(self.former.get, new))  # what the former generation knew is taken over
+            self.known.update(zip(new, before, strict=True))
+            self._learn(list(compress(new, map(is_, before, repeat(None)))))
             found = list(map(self.known.get, distinct))
         ids = pa.array(found, pa.large_binary()).take(words.indices)
         if not len(ids):

@@ -4,27 +4,17 @@ Base rules need the document alone: word counts, symbols, repeated lines, and
 words in 5-word windows that the text holds twice or more.
 
 The method looks across documents. Lines are normalised (tabs and carriage returns
-are spaces, outer spaces go) and hashed; for each host and line the distinct documents are
-counted. A line that more than ``MAX_DOCS`` documents of a host share is removed,
-and a document that keeps less than ``MIN_KEPT_PERCENT`` of its characters is depleted and
-rejected.
-
-Copies aren't distinct documents. Lines that more than ``MAX_DOCS`` distinct texts
-of a host hold are asked about again: how many of these texts have content of their
-own? A text's signature is the two smallest hashes of its lines below the limit; an
-edited line, which begins or ends as a line above the limit does, is none of them.
-Texts without such lines count by their smallest line above the limit, as edited
-copies of one document have most of these in common. A line below the limit stands in
-``MAX_DOCS`` texts at most, so a line of more than ``MAX_DOCS`` ** 2 texts with
-content of their own is always removed. So a document isn't rejected for having
-copies (near-duplicate removal is a stage of its own), nor is one of a single line.
-A copy that adds a line of its own counts as a document: nothing tells it from a
-page of a template.
+are spaces, outer spaces go) and hashed; for each host and line the distinct documents
+(distinct texts: exact copies are one) are counted. A line that more than ``MAX_DOCS``
+documents of a host share is removed, and a document that keeps less than
+``MIN_KEPT_PERCENT`` of its characters is depleted and rejected. Edited copies are
+documents of their own here, so lines that many of them share go; removing
+near-duplicates is a stage of its own.
 
 Only DataFrame functions are used. One scan makes a narrow table (statistics and
-three hashes, 24 bytes, a line) in the shared folder; the rest works on that. Counts
-are combined before each shuffle and spread by (host, text, line) and (host, line,
-signature), so neither a large host nor a common line meets in one task.
+a hash and a length for each line) in the shared folder; the rest works on that. Counts
+are combined before each shuffle and spread by (host, text, line) first, so neither a
+large host nor a common line meets in one task.
 
 Defined results: a null text has no words and fails (n_words < 10); a null host
 is a host of its own; repeated rows are judged each, with equal results; an empty
@@ -45,8 +35,6 @@ WINDOW = 5
 #: Documents of a host that may share a line, and the percentage of its characters that a document must keep.
 MAX_DOCS, MIN_KEPT_PERCENT = 20, 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Characters at either end by which an edited line is known; lines below twice that have no ends.
-END = 24
 
 
 def words_in(text: Column) -> Column:
@@ -62,12 +50,6 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(plain_line(line)), 1, 15), 16, 10).cast("long")
 
 
-def line_end(line: Column, start: int) -> Column:
-    """A hash of the first (``start`` 1) or last (``start`` -END) characters of a normalised line, null for short lines."""
-    plain = plain_line(line)
-    return F.when(F.length(plain) >= 2 * END, F.xxhash64(F.substring(plain, start, END), F.lit(start)))
-
-
 def window_at(i: Column, join) -> Column:
     """The words from place ``i`` (from 0) on, put together by ``join``."""
     return join(*(F.get("words", i + k) for k in range(WINDOW)))
@@ -127,7 +109,7 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("lines", lambda x: F.struct(
-            line_hash(x).alias("h"), F.length(x).alias("n"), line_end(x, 1).alias("a"), line_end(x, -END).alias("z"))).alias("marks"))
+            line_hash(x).alias("h"), F.length(x).alias("n"))).alias("marks"))
     out = repeated_words(out)
     return out.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "th", "host", "n_words", "word_chars", "n_symbols",
@@ -138,26 +120,8 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def common_lines(stats: DataFrame) -> DataFrame:
     """(host, h) of the lines that too many distinct documents of a host share."""
-    lines = stats.select("host", "th", F.explode("marks").alias("m")).select("host", "th", "m.h", "m.a", "m.z").distinct()
-    above = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("texts"), F.min("a").alias("a"), F.min("z").alias("z"))
-    above = saved(above.where(F.col("texts") > MAX_DOCS))
-    ends = above.select("host", F.explode(F.array("a", "z")).alias("e")).where("e is not null").distinct()
-
-    def known(df: DataFrame, col: str, other: DataFrame, key: str, name: str) -> DataFrame:
-        found = other.select(F.col("host").alias("k_host"), F.col(key).alias("k"), F.lit(True).alias(name))
-        return df.join(found, df["host"].eqNullSafe(F.col("k_host")) & (df[col] == F.col("k")), "left").drop("k_host", "k")
-
-    marked = known(lines, "h", above, "h", "common")
-    texts = marked.groupBy("host", "th").agg(
-        F.collect_list(F.when(F.col("common"), F.col("h"))).alias("hs"),
-        F.collect_list(F.when(F.col("common").isNull(), F.struct("h", "a", "z"))).alias("own")).where(F.size("hs") > 0)
-    own = texts.select("host", "th", "hs", F.explode_outer("own").alias("o")).select("host", "th", "hs", "o.h", "o.a", "o.z")
-    own = known(known(own, "a", ends, "e", "begins"), "z", ends, "e", "stops")
-    signed = own.groupBy("host", "th").agg(
-        F.first("hs").alias("hs"),
-        F.slice(F.sort_array(F.collect_set(F.when(F.col("begins").isNull() & F.col("stops").isNull(), F.col("h")))), 1, 2).alias("sig"))
-    signed = signed.withColumn("sig", F.when(F.size("sig") > 0, F.col("sig")).otherwise(F.array(F.array_min("hs"))))
-    docs = signed.select("host", "sig", F.explode("hs").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    lines = stats.select("host", "th", F.explode(F.array_distinct(F.col("marks.h"))).alias("h")).distinct()
+    docs = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     return docs.where(F.col("docs") > MAX_DOCS).select("host", "h")
 
 
@@ -226,13 +190,8 @@ with d as (
 ), hashed as (
   select r, host, th, ('0x' || substr(md5(trim(replace(replace(line, chr(9), ' '), chr(13), ' '), ' ')), 1, 15))::bigint as h,
          length(line) as w from lined
-), own as (
-  select r, any_value(host) as host, any_value(th) as th, list_sort(list_distinct(list(h))) as hs from hashed group by r
-), signed as (
-  select distinct host, th, h, case when h = hs[1] then hs[2] else hs[1] end as sig from (select host, th, hs, unnest(hs) as h from own)
 ), common as (
-  select host, h from (select host, h, sig, count(*) as texts from signed group by all)
-  group by host, h having count(*) > {MAX_DOCS} and 2 * count(*) > sum(texts)
+  select host, h from hashed group by host, h having count(distinct th) > {MAX_DOCS}
 ), lost as (
   select r, sum(w) as lost from hashed where exists (
     select 1 from common where common.h = hashed.h and common.host is not distinct from hashed.host) group by r

@@ -22,12 +22,18 @@ Copies are one fingerprint before anything is compared, so a large group of
 copies costs as much as a single document. All of this holds fingerprints, never
 texts; a task holds the largest of its buckets or ``CHUNK`` fingerprints.
 
-``drop_near_duplicates`` wants groups of a stated similarity. Five-word sets that are
-0.8 alike have fingerprints some 10 bits apart, too far for any index by blocks, so
-groups of near fingerprints are only part of its candidates. The others share one of
-20 min-wise samples of five shingles: of pairs at 0.8 all but 1 in 2,800 do. Every
-candidate is checked on the whole shingle sets, in rounds that compare with few
-members of a bucket at a time. Copies are one row before that.
+``drop_near_duplicates`` wants groups of a stated similarity. Groups of near fingerprints
+come first, each member checked against its group's first on whole shingle sets. Five-word
+sets that are 0.8 alike can have fingerprints some 10 bits apart, too far for any index by
+blocks. What the index can't reach comes from an exact rule: with all shingles in one order,
+two sets of that similarity share one of the first |x| - ceil(0.8 |x|) + 1. The order is
+by how many documents have a shingle, rarest first, so what many texts share (a passage, a
+line) is no candidate unless it is most of the text, and a shingle that one text alone has
+is none at all. Frequencies are counted over all documents in blocks: a block's distinct
+shingles travel as sorted numbers, a part of the number range at a time, and come back as
+one byte each. Every candidate is checked on the whole sets, in rounds that compare
+few members of a bucket with the others and leave out what is linked already. No pair
+is lost.
 
 Defined results: null and wordless texts have fingerprint zero; with fewer words
 than a shingle has, the whole sequence is the shingle; rows with a null doc_id
@@ -44,7 +50,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +63,10 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that a task indexes at a time, and pairs that it compares at a time.
 CHUNK, PAIRS = 200_000, 1 << 16
 FANOUT = 8
-#: Similarity groups: words of a shingle, least Jaccard similarity; bands and rows of a band's sample.
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: Similarity groups: words of a shingle, least Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Text of a block and of a slice; shingles whose frequency a task counts, and ways they are dealt at least.
+BLOCK_BYTES, SLICE_BYTES, COUNTED, LEAST_RANGES = 8_000_000, 1_000_000, 2_000_000, 16
 #: Ids that may be broadcast; pairs of one text that a task compares.
 FEW, DEAL = 200_000, 1_000
 
@@ -283,32 +292,154 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # -- groups of a similarity ---------------------------------------------------
 
-def samples(hashes: np.ndarray) -> list[int]:
-    """One signed hash for each band: of the smallest shingle hashes under ``ROWS`` permutations."""
-    if not len(hashes):
-        return []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        np.minimum(least, (hashes[i:i + (1 << 12), None] * FACTORS).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(least[i:i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(least), ROWS)]
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for m in _MIX:
+        h = (h ^ (h >> np.uint64(33))) * m
+    return h ^ (h >> np.uint64(33))
+
+
+def word_shingles(texts: list[str | None], shingle: int) -> tuple[list[np.ndarray], list[int]]:
+    """Shingle hashes of each text, repeats included, and a hash of its words; each distinct word is hashed once."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    flat = pa.array(list(itertools.chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
+    ids = known[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
+    full = np.zeros(max(len(ids) - shingle + 1, 0), np.uint64)
+    for k in range(shingle):
+        full = full * _BASE + ids[k:k + len(full)]
+    full = _mixed(full)
+    out = []
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        if b - a >= shingle:
+            out.append(full[a:b - shingle + 1])
+        else:
+            h = np.zeros(min(b - a, 1), np.uint64)
+            for w in ids[a:b]:
+                h = h * _BASE + w
+            out.append(_mixed(h))
+    return out, [xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words]
+
+
+def _text_slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+class Counter:
+    """The distinct shingles of a block of texts, shortened to 48 bits, and how many of its texts have each; copies count once."""
+
+    def __init__(self) -> None:
+        self.bytes, self.nodes, self.held = 0, set(), []
+
+    def add(self, node: int, hashes: np.ndarray) -> None:
+        if node not in self.nodes:
+            self.nodes.add(node)
+            self.held.append(np.unique(hashes >> np.uint64(16)))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(self.held) if self.held else np.zeros(0, np.uint64), return_counts=True)
+
+
+_DESCRIBED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
+                        ("text", pa.string()), ("high", pa.binary()), ("low", pa.binary()), ("met", pa.binary()), ("n", pa.int64())])
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, node, fp, bands): ``node`` is a hash of the words, equal for copies."""
+    """(block, doc_id, th, node, fp, text) of each document, where ``node`` is a hash of the words, equal for copies;
+    and a row for each block of them: its shingles in order (``high`` and ``low`` bits), how many have each, their number."""
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            nodes, fps, bands = [], [], []
-            for t in b.column(2):
-                hashes, whole = shingle_hashes(t.as_py(), shingle)
-                nodes.append(xxhash.xxh3_64_intdigest(whole))
-                fps.append(majority(hashes))
-                bands.append(samples(hashes))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(bands, pa.list_(pa.int64()))],
-                                             names=["doc_id", "th", "node", "fp", "bands"])
+        def row(values: dict, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else pa.nulls(n, f.type) for f in _DESCRIBED], schema=_DESCRIBED)
+
+        def closed() -> pa.RecordBatch:
+            key, n = counter.counts()
+            parts = {"high": (key >> np.uint64(16)).astype("<u4"), "low": (key & np.uint64(0xFFFF)).astype("<u2"), "met": np.minimum(n, 255).astype("u1")}
+            return row({"block": pa.array([block]), "n": pa.array([len(key)])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()}, 1)
+
+        block, counter = TaskContext.get().partitionId() << 32, Counter()
+        for whole in it:
+            for b in _text_slices(whole, 2):
+                hashes, nodes = word_shingles(b.column(2).to_pylist(), shingle)
+                for node, own in zip(nodes, hashes, strict=True):
+                    counter.add(node, own)
+                fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+                yield row({"block": pa.array(np.full(b.num_rows, block)), "doc_id": b.column(0), "th": b.column(1), "text": b.column(2).cast(pa.string()),
+                           "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(fps)}, b.num_rows)
+                counter.bytes += b.nbytes
+                if counter.bytes >= BLOCK_BYTES:
+                    yield closed()
+                    block, counter = block + 1, Counter()
+        if counter.bytes:
+            yield closed()
 
     return (docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text")
-            .mapInArrow(each, "doc_id long, th long, node long, fp long, bands array<bigint>"))
+            .mapInArrow(each, "block long, doc_id long, th long, node long, fp long, text string, high binary, low binary, met binary, n long"))
+
+
+def levels(blocks: DataFrame) -> DataFrame:
+    """(block, part, levels): for each of a block's shingles in order a byte that grows with the number of documents that
+    have it; 1 for a single one."""
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-total // COUNTED))
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(b.num_rows):
+                high, low, met = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, "<u4"), (2, "<u2"), (3, "u1")))
+                cut = np.searchsorted(high, np.arange(1, ranges, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(ranges))
+                parts = list(zip([0, *cut.tolist()], [*cut.tolist(), len(high)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0)[i].as_py()] * ranges, pa.int64()), pa.array(np.arange(ranges)),
+                     *(pa.array([v[x:y].tobytes() for x, y in parts], pa.binary()) for v in (high, low, met))],
+                    names=["block", "part", "high", "low", "met"])
+
+    def count(t: pa.Table) -> pa.Table:
+        sizes = [len(v) // 4 for v in t["high"].to_pylist()]
+        high, low, met = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("high", "<u4"), ("low", "<u2"), ("met", "u1")))
+        _, at = np.unique(high.astype(np.uint64) << np.uint64(16) | low, return_inverse=True)
+        df = np.bincount(at, met)[at] if len(at) else np.zeros(0)
+        level = np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(df, 1)))).astype("u1")
+        ends = np.cumsum(sizes).tolist()
+        return pa.table([t["block"], t["part"], pa.array([level[i:j].tobytes() for i, j in zip([0, *ends], ends)], pa.binary())],
+                        names=["block", "part", "levels"])
+
+    dealt = blocks.select("block", "high", "low", "met").mapInArrow(deal, "block long, part long, high binary, low binary, met binary")
+    return dealt.groupBy("part").applyInArrow(count, "block long, part long, levels binary")
+
+
+def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, node, n): of each node those of its first shingles, rarest first, that another document may have; n is its set's size."""
+    def rare(docs: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("part")
+        level = np.frombuffer(b"".join(found["levels"].to_pylist()), "u1")
+        sets: dict[int, np.ndarray] = {}
+        for b in docs.to_batches():
+            for part in _text_slices(b, 2):
+                for node, h in zip(part.column(1).to_pylist(), word_shingles(part.column(2).to_pylist(), shingle)[0], strict=True):
+                    if node not in sets:
+                        sets[node] = np.unique(h)
+        short = np.unique(np.concatenate([np.unique(h >> np.uint64(16)) for h in sets.values()])) if sets else np.zeros(0, np.uint64)
+        keys, nodes, sizes = [], [], []
+        for node, h in sets.items():
+            own = level[np.searchsorted(short, h >> np.uint64(16))]
+            first = np.lexsort((h, own))[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+            first = first[own[first] > 1]
+            keys.append(h[first].view(np.int64))
+            nodes.append(np.full(len(first), node))
+            sizes.append(np.full(len(first), len(h)))
+        return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+
+    docs = rows.where("n is null").select("block", "node", "text")
+    found = levels(rows.where("n is not null"))
+    return (docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(rare, "key long, node long, n long"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -323,8 +454,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)[0]).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            for part in _text_slices(b, 1):
+                sets = [np.unique(h).tobytes() for h in word_shingles(part.column(1).to_pylist(), shingle)[0]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return texts.mapInArrow(each, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -353,40 +485,54 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
                    similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, node, ..) of all documents, and (node, root) of the linked nodes.
 
-    Candidates share a bucket: a group of near fingerprints, or an equal sample.
-    Round by round the members of a bucket are dealt to 1, 16, 256 .. classes, whose
-    smallest members meet all others of the bucket and then leave it; a bucket is
-    done when its members are of one group. So a large group costs a link a member,
-    and no pair that met in a bucket is passed over unless it is linked already.
+    First each member of a group of near fingerprints meets the group's smallest. Then
+    come the shingles that texts share among their rarest: round by round the members
+    of such a bucket are dealt to 1, 16, 256 .. classes, whose smallest members
+    meet all others of the bucket, of a fitting size, and then leave it; a bucket is done
+    when its members are of one group. So a large group costs a link a member, and
+    no pair that met in a bucket is passed over unless it is linked already.
     """
     rows = saved(described(docs, shingle))
-    nodes = saved(rows.groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("w"),
-        F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    roots = grouped(rows, radius)
-    places = nodes.select("node", F.posexplode("bands").alias("band", "key")).unionByName(
-        nodes.join(roots, "fp").select("node", F.lit(-1).alias("band"), F.col("root").alias("key")))
-    shared = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = saved(places.join(shared, ["band", "key"]).select("band", "key", "node", F.col("node").alias("root")))
-    links, found, classes = None, None, 1
-    while not members.isEmpty():
-        part = F.pmod(F.xxhash64("node"), F.lit(classes))
-        heads = members.groupBy("band", "key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("head"))
-        heads = heads.select("band", "key", F.col("head.node").alias("a"), F.col("head.root").alias("a_root"))
-        pairs = saved(members.join(heads, ["band", "key"]).where("node <> a and root <> a_root").select(
-            "a", F.col("node").alias("b")).distinct())
+    texts = rows.where("n is null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
+    nodes = saved(texts.groupBy("node").agg(first.alias("w"), F.first("fp").alias("fp")))
+    links = None
+
+    def linked(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """Check pairs (a, b) and add the similar ones to the links."""
+        nonlocal links
+        pairs = saved(pairs)
         wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                        .join(nodes, "node").select("node", "w.doc_id", "w.th"))
         new = saved(similar_pairs(pairs, saved(shingle_sets(docs, wanted, shingle)), similarity))
         links = new if links is None else links.unionByName(new)
-        if found is None or not new.isEmpty():
-            found = saved(components(links))
-        left = members.drop("root").join(heads.select("band", "key", F.col("a").alias("node")), ["band", "key", "node"], "left_anti")
-        left = left.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        members = saved(left.join(ends.select("band", "key"), ["band", "key"]).select("band", "key", "node", "root"))
+        return saved(components(links)), not new.isEmpty()
+
+    roots = saved(grouped(nodes, radius).join(nodes, "fp").select("node", "root"))
+    heads = roots.groupBy("root").agg(F.min("node").alias("a"))
+    found, _ = linked(heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b")))
+
+    places = saved(prefixes(rows, shingle, similarity).groupBy("key", "node").agg(F.max("n").alias("n")))
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    members = places.join(shared, "key")
+    classes = 1
+    while True:
+        members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        members = saved(members.join(ends.select("key"), "key").select("key", "node", "n", "root"))
+        if members.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("node"), F.lit(classes))
+        heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "n")).alias("head"))
+        heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.root").alias("a_root"), F.col("head.n").alias("a_n"))
+        fits = (F.col("n") >= similarity * F.col("a_n") - 1e-9) & (F.col("a_n") >= similarity * F.col("n") - 1e-9)
+        pairs = members.join(heads, "key").where((F.col("root") != F.col("a_root")) & fits)
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        now, more = linked(pairs)
+        found = now if more else found
+        members = members.drop("root").join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
         classes *= 16
-    return rows, found if found is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+    return texts.select("doc_id", "th", "node"), found
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
