@@ -28,12 +28,12 @@ sets that are 0.8 alike can have fingerprints some 10 bits apart, too far for an
 blocks. What the index can't reach comes from an exact rule: with all shingles in one order,
 two sets of that similarity share one of the first |x| - ceil(0.8 |x|) + 1. The order is
 by how many documents have a shingle, rarest first, so what many texts share (a passage, a
-line) is no candidate unless it is most of the text, and a shingle that one text alone has
-is none at all. Frequencies are counted over all documents in blocks: a block's distinct
-shingles travel as sorted numbers, a part of the number range at a time, and come back as
-one byte each. Every candidate is checked on the whole sets, in rounds that compare
-few members of a bucket with the others and leave out what is linked already. No pair
-is lost.
+line) is no candidate unless it is most of the text. Frequencies need not be
+exact, as any order that all texts use gives the same pairs: all documents' shingles are counted
+in ``SKETCH`` counters, a bounded table that every task gets. What first shingles two texts
+have in common is found by ranges of the hashes. Every candidate is checked on the whole sets,
+in rounds that compare few members of a bucket with the others and leave out what is
+linked already. No pair is lost.
 
 Defined results: null and wordless texts have fingerprint zero; with fewer words
 than a shingle has, the whole sequence is the shingle; rows with a null doc_id
@@ -52,7 +52,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +64,10 @@ CHUNK, PAIRS = 200_000, 1 << 16
 FANOUT = 8
 #: Similarity groups: words of a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 5, 0.8
-#: Text of a block and of a slice; shingles whose frequency a task counts, and ways they are dealt at least.
-BLOCK_BYTES, SLICE_BYTES, COUNTED, LEAST_RANGES = 8_000_000, 1_000_000, 2_000_000, 16
+#: Counters of shingles and the slices that they are added up in; text of a slice.
+SKETCH, PARTS, SLICE_BYTES = 1 << 20, 64, 1_000_000
+#: First shingles that a task brings together, ways they are dealt at least, and times the mean count from which one needs no partner to stay.
+MATCHED, LEAST_RANGES, HOT = 2_000_000, 16, 16
 #: Ids that may be broadcast; pairs of one text that a task compares.
 FEW, DEAL = 200_000, 1_000
 
@@ -333,113 +334,106 @@ def _text_slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-class Counter:
-    """The distinct shingles of a block of texts, shortened to 48 bits, and how many of its texts have each; copies count once."""
-
-    def __init__(self) -> None:
-        self.bytes, self.nodes, self.held = 0, set(), []
-
-    def add(self, node: int, hashes: np.ndarray) -> None:
-        if node not in self.nodes:
-            self.nodes.add(node)
-            self.held.append(np.unique(hashes >> np.uint64(16)))
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate(self.held) if self.held else np.zeros(0, np.uint64), return_counts=True)
-
-
-_DESCRIBED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
-                        ("text", pa.string()), ("high", pa.binary()), ("low", pa.binary()), ("met", pa.binary()), ("n", pa.int64())])
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
+                        ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(block, doc_id, th, node, fp, text) of each document, where ``node`` is a hash of the words, equal for copies;
-    and a row for each block of them: its shingles in order (``high`` and ``low`` bits), how many have each, their number."""
+    """(doc_id, th, node, fp) of each document, where ``node`` is a hash of the words, equal for copies; and for each
+    task its counters of shingles, by parts. A task counts copies once."""
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(values: dict, n: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else pa.nulls(n, f.type) for f in _DESCRIBED], schema=_DESCRIBED)
 
-        def closed() -> pa.RecordBatch:
-            key, n = counter.counts()
-            parts = {"high": (key >> np.uint64(16)).astype("<u4"), "low": (key & np.uint64(0xFFFF)).astype("<u2"), "met": np.minimum(n, 255).astype("u1")}
-            return row({"block": pa.array([block]), "n": pa.array([len(key)])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()}, 1)
-
-        block, counter = TaskContext.get().partitionId() << 32, Counter()
+        table, known = np.zeros(SKETCH, np.int64), set()
         for whole in it:
             for b in _text_slices(whole, 2):
                 hashes, nodes = word_shingles(b.column(2).to_pylist(), shingle)
+                new = []
                 for node, own in zip(nodes, hashes, strict=True):
-                    counter.add(node, own)
+                    if node not in known:
+                        known.add(node)
+                        new.append(np.unique(own))
+                table += np.bincount(slots(np.concatenate(new)), minlength=SKETCH) if new else 0
                 fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-                yield row({"block": pa.array(np.full(b.num_rows, block)), "doc_id": b.column(0), "th": b.column(1), "text": b.column(2).cast(pa.string()),
-                           "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(fps)}, b.num_rows)
-                counter.bytes += b.nbytes
-                if counter.bytes >= BLOCK_BYTES:
-                    yield closed()
-                    block, counter = block + 1, Counter()
-        if counter.bytes:
-            yield closed()
+                yield row({"doc_id": b.column(0), "th": b.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                           "fp": pa.array(fps)}, b.num_rows)
+        if known:
+            parts = np.minimum(table, (1 << 32) - 1).astype("<u4").reshape(PARTS, -1)
+            yield row({"part": pa.array(range(PARTS), pa.int32()), "counts": pa.array([v.tobytes() for v in parts], pa.binary())}, PARTS)
 
     return (docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text")
-            .mapInArrow(each, "block long, doc_id long, th long, node long, fp long, text string, high binary, low binary, met binary, n long"))
+            .mapInArrow(each, "doc_id long, th long, node long, fp long, part int, counts binary"))
 
 
-def levels(blocks: DataFrame) -> DataFrame:
-    """(block, part, levels): for each of a block's shingles in order a byte that grows with the number of documents that
-    have it; 1 for a single one."""
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    ranges = max(LEAST_RANGES, -(-total // COUNTED))
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
-    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i in range(b.num_rows):
-                high, low, met = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, "<u4"), (2, "<u2"), (3, "u1")))
-                cut = np.searchsorted(high, np.arange(1, ranges, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(ranges))
-                parts = list(zip([0, *cut.tolist()], [*cut.tolist(), len(high)]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[i].as_py()] * ranges, pa.int64()), pa.array(np.arange(ranges)),
-                     *(pa.array([v[x:y].tobytes() for x, y in parts], pa.binary()) for v in (high, low, met))],
-                    names=["block", "part", "high", "low", "met"])
-
-    def count(t: pa.Table) -> pa.Table:
-        sizes = [len(v) // 4 for v in t["high"].to_pylist()]
-        high, low, met = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("high", "<u4"), ("low", "<u2"), ("met", "u1")))
-        _, at = np.unique(high.astype(np.uint64) << np.uint64(16) | low, return_inverse=True)
-        df = np.bincount(at, met)[at] if len(at) else np.zeros(0)
-        level = np.minimum(255, 1 + np.ceil(8 * np.log2(np.maximum(df, 1)))).astype("u1")
-        ends = np.cumsum(sizes).tolist()
-        return pa.table([t["block"], t["part"], pa.array([level[i:j].tobytes() for i, j in zip([0, *ends], ends)], pa.binary())],
-                        names=["block", "part", "levels"])
-
-    dealt = blocks.select("block", "high", "low", "met").mapInArrow(deal, "block long, part long, high binary, low binary, met binary")
-    return dealt.groupBy("part").applyInArrow(count, "block long, part long, levels binary")
-
-
-def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(key, node, n): of each node those of its first shingles, rarest first, that another document may have; n is its set's size."""
-    def rare(docs: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("part")
-        level = np.frombuffer(b"".join(found["levels"].to_pylist()), "u1")
-        sets: dict[int, np.ndarray] = {}
-        for b in docs.to_batches():
-            for part in _text_slices(b, 2):
-                for node, h in zip(part.column(1).to_pylist(), word_shingles(part.column(2).to_pylist(), shingle)[0], strict=True):
-                    if node not in sets:
-                        sets[node] = np.unique(h)
-        short = np.unique(np.concatenate([np.unique(h >> np.uint64(16)) for h in sets.values()])) if sets else np.zeros(0, np.uint64)
-        keys, nodes, sizes = [], [], []
-        for node, h in sets.items():
-            own = level[np.searchsorted(short, h >> np.uint64(16))]
-            first = np.lexsort((h, own))[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-            first = first[own[first] > 1]
-            keys.append(h[first].view(np.int64))
-            nodes.append(np.full(len(first), node))
-            sizes.append(np.full(len(first), len(h)))
-        return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
-
-    docs = rows.where("n is null").select("block", "node", "text")
-    found = levels(rows.where("n is not null"))
-    return (docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(rare, "key long, node long, n long"))
+
+def sketch(rows: DataFrame) -> np.ndarray:
+    """The sums of all tasks' counters."""
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH // PARTS, np.int64)
+        for v in t["counts"]:
+            total += np.frombuffer(v.as_buffer(), "<u4")
+        return pa.table([pa.array([t["part"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((PARTS, SKETCH // PARTS), np.int64)
+    for r in rows.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(key, node, n): of each node those of its first shingles, rarest first, that another one's may be; n is its set's size.
+
+    A shingle whose counter is far above the mean is taken as shared and dealt by node, so that it is in no single task.
+    """
+    total = int(counts.sum())
+    ranges = max(LEAST_RANGES, -(-int(total * (1 - similarity)) // MATCHED))
+    hot = HOT * max(1.0, total / SKETCH)
+    counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+
+    def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for whole in it:
+            keys, nodes, sizes = [], [], []
+            for b in _text_slices(whole, 0):
+                for h, node in zip(*word_shingles(b.column(0).to_pylist(), shingle), strict=True):
+                    if node in known:
+                        continue
+                    known.add(node)
+                    h = np.unique(h)
+                    first = h[np.lexsort((h, counts[slots(h)]))[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+                    keys.append(first)
+                    nodes.append(np.full(len(first), node, np.uint64))
+                    sizes.append(np.full(len(first), len(h), np.uint32))
+            if not keys:
+                continue
+            key, node, size = (np.concatenate(x) for x in (keys, nodes, sizes))
+            part = np.where(counts[slots(key)] > hot, ranges + (node % np.uint64(ranges)).astype(np.int64),
+                            (key >> np.uint64(32)).astype(np.int64) * ranges >> 32)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(2 * ranges + 1)).tolist()
+            mine = [p for p in range(2 * ranges) if at[p] < at[p + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mine, pa.int64()), *(pa.array([v[at[p]:at[p + 1]].tobytes() for p in mine], pa.binary())
+                                               for v in (key[order], node[order], size[order]))], names=["part", "key", "node", "n"])
+
+    def match(t: pa.Table) -> pa.Table:
+        key, node, n = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("key", "<u8"), ("node", "<u8"), ("n", "<u4")))
+        order = np.lexsort((node, key))
+        key, node, n = key[order], node[order], n[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, n = key[once], node[once], n[once]
+        if t["part"][0].as_py() < ranges:
+            next_same = np.r_[key[1:] == key[:-1], False]
+            shared = next_same | np.r_[False, next_same[:-1]]
+            key, node, n = key[shared], node[shared], n[shared]
+        return pa.table([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "node", "n"])
+
+    return (docs.select("text").mapInArrow(rare, "part long, key binary, node binary, n binary")
+            .groupBy("part").applyInArrow(match, "key long, node long, n long"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -493,7 +487,7 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     no pair that met in a bucket is passed over unless it is linked already.
     """
     rows = saved(described(docs, shingle))
-    texts = rows.where("n is null")
+    texts = rows.where("part is null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
     nodes = saved(texts.groupBy("node").agg(first.alias("w"), F.first("fp").alias("fp")))
     links = None
@@ -512,7 +506,7 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     heads = roots.groupBy("root").agg(F.min("node").alias("a"))
     found, _ = linked(heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b")))
 
-    places = saved(prefixes(rows, shingle, similarity).groupBy("key", "node").agg(F.max("n").alias("n")))
+    places = saved(prefixes(docs, sketch(rows), shingle, similarity))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     members = places.join(shared, "key")
     classes = 1
