@@ -4,12 +4,19 @@ State lives in the checkpoint, so a lost executor or driver resumes where it
 was. Sequential operators keep their state per stream (or channel) and work
 through the rows of each micro-batch in order; a micro-batch is bounded by
 ``maxFilesPerTrigger``.
+
+Given an event time (``ts``), they wait for late rows instead (``stateful``): rows are
+held back until the watermark has passed them and are then worked through in
+order, whichever micro-batch brought them, so results are those of batch for all rows that
+come within ``wait``; later ones Spark drops. A key that is idle for ``expire`` loses
+its state. At the end of an input ``end_marks`` moves the watermark past all that is held.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +31,6 @@ from ..operators.recurrence import gate_rows, track_step
 from ..plans.detection import DetectConfig
 
 DOUBLES = T.ArrayType(T.DoubleType())
-LONGS = T.ArrayType(T.LongType())
 
 
 def stream_blocks(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = 1) -> DataFrame:
@@ -84,99 +90,141 @@ def _keyed(stream: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [stream.schema[k] for k in keys]
 
 
+def end_marks(spark: SparkSession, schema: T.StructType, ts: str, at: Column) -> DataFrame:
+    """One row that says that nothing before ``at`` will follow: only its event time is set.
+
+    Fed behind the last rows of a source, it publishes what windows, runs and held-back
+    rows wait for; sequential operators pass over it, and windows keep it to themselves
+    as it stands in one that isn't over.
+    """
+    return spark.range(1).select(*(at.cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def _millis(time: str) -> Column:
+    return F.expr(f"CAST((unix_micros(timestamp_seconds(0) + INTERVAL {time}) / 1000) AS BIGINT)")
+
+
+def stateful(stream: DataFrame, keys: Sequence[str], order: str, schema: T.StructType,
+             step: Callable[[tuple, pd.DataFrame, object], tuple[pd.DataFrame, object]], ts: str | None = None,
+             wait: str = "5 seconds", expire: str = "1 hour") -> DataFrame:
+    """Work through each key's rows in ``order`` with a state: step(key, rows, state or None) -> (result rows, state).
+
+    Without ``ts`` the rows of a micro-batch are sorted and taken as they are. With it, rows
+    wait in the state until the watermark (``wait`` behind the newest) has passed their event time,
+    and the state goes once the key has been idle for ``expire``. The buffer holds the rows of ``wait``.
+    """
+    kept = T.StructType([T.StructField("state", T.BinaryType())])
+
+    def plain(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
+        carry = pickle.loads(state.get[0]) if state.exists else None
+        out, carry = step(key, _sorted(chunks, order), carry)
+        state.update((pickle.dumps(carry),))
+        yield out
+
+    if ts is None:
+        return stream.groupBy(*keys).applyInPandasWithState(plain, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    idle = stream.sparkSession.range(1).select(_millis(expire)).first()[0]
+    timed = stream.withColumn("_ms", F.unix_millis(ts)).withWatermark(ts, wait)
+
+    def held_back(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
+        carry, held, last = pickle.loads(state.get[0]) if state.exists else (None, None, 0)
+        late = state.hasTimedOut
+        new = [] if late else [c for c in chunks if len(c)]
+        if new:
+            last = max(last, *(int(c["_ms"].max()) for c in new))
+            held = pd.concat([*([] if held is None else [held]), *(c[c[order].notna()] for c in new)], ignore_index=True)
+        now = state.getCurrentWatermarkMs()
+        if held is not None and len(held):
+            due = (held["_ms"] <= now).to_numpy()
+            if due.any():
+                ready = held[due].sort_values(order, kind="stable")
+                out, carry = step(key, ready.astype({order: "int64"}), carry)
+                held = held[~due].reset_index(drop=True)
+                yield out
+        waiting = held is not None and len(held) > 0
+        if not waiting and late and now >= last + idle:
+            state.remove()
+            return
+        state.update((pickle.dumps((carry, held if waiting else None, last)),))
+        state.setTimeoutTimestamp(max(now + 1, int(held["_ms"].min()) if waiting else last + idle))
+
+    return timed.groupBy(*keys).applyInPandasWithState(held_back, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_cooldown(stream: DataFrame, frames: int = 46, keys: Sequence[str] = ("stream_id", "channel"),
-                    frame: str = "frame", restart: str | None = None) -> DataFrame:
-    """Accepted triggers; the state of a key is the frame at which its pause ends."""
+                    frame: str = "frame", restart: str | None = None, **timing: str) -> DataFrame:
+    """Accepted triggers; the state of a key is the frame at which its pause ends. ``timing`` as in ``stateful``."""
     schema = T.StructType([*_keyed(stream, keys), T.StructField(frame, T.LongType())])
 
-    def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
-        (until,) = state.get if state.exists else (-(1 << 62),)
+    def step(key, pdf: pd.DataFrame, until):
+        until = -(1 << 62) if until is None else until
         kept = []
-        pdf = _sorted(chunks, frame)
         again = pdf[restart].tolist() if restart else [False] * len(pdf)
         for at, force in zip(pdf[frame].tolist(), again):
             if force or at >= until:
                 if not force:
                     kept.append(at)
                 until = at + frames
-        state.update((until,))
-        yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key)}, frame: kept})
+        return pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key)}, frame: kept}), until
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        run, schema, T.StructType([T.StructField("until", T.LongType())]), "append", GroupStateTimeout.NoTimeout)
+    return stateful(stream, keys, frame, schema, step, **timing)
 
 
 def stream_impulse_gate(stream: DataFrame, factor: float = 6.0, frac: float = 0.30, size: int = 256,
                         rate: float = 48_000.0, tau: float = 2.0,
-                        keys: Sequence[str] = ("stream_id",), block: int | None = None) -> DataFrame:
+                        keys: Sequence[str] = ("stream_id",), block: int | None = None, **timing: str) -> DataFrame:
     """Blocks (block_idx, i, q) -> (block_idx, n_hot, blanked); the state is the average spectrum.
 
-    Rows may hold ``block`` samples, a multiple of ``size``, as in batch.
+    Rows may hold ``block`` samples, a multiple of ``size``, as in batch. ``timing`` as in ``stateful``.
     """
     per = (block or size) // size
     schema = T.StructType([*_keyed(stream, keys), T.StructField("block_idx", T.LongType()),
                            T.StructField("n_hot", T.LongType()), T.StructField("blanked", T.BooleanType())])
     alpha = 1.0 - math.exp(-size / (tau * rate))
 
-    def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(chunks, "block_idx")
-        count, hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size,
-                                           np.asarray(state.get[0]) if state.exists else None, factor, frac, alpha)
-        if avg is not None:
-            state.update((avg.tolist(),))
+    def step(key, pdf: pd.DataFrame, avg):
+        count, hots, gone, avg = gate_rows(pdf["i"], pdf["q"], size, avg, factor, frac, alpha)
         at = np.concatenate([i * per + np.arange(c) for i, c in zip(pdf["block_idx"], count)])
-        yield pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key)},
-                            "block_idx": at, "n_hot": hots, "blanked": gone})
+        return pd.DataFrame({**{k: [v] * len(at) for k, v in zip(keys, key)},
+                             "block_idx": at, "n_hot": hots, "blanked": gone}), avg
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        run, schema, T.StructType([T.StructField("avg", DOUBLES)]), "append", GroupStateTimeout.NoTimeout)
+    return stateful(stream, keys, "block_idx", schema, step, **timing)
 
 
 def stream_track_median(stream: DataFrame, step_db: float = 0.0625, width: int = 7,
                         keys: Sequence[str] = ("recording",), frame: str = "frame",
-                        power: str = "power_db") -> DataFrame:
-    """Running per-bin median estimate of each frame; the state is the estimate."""
+                        power: str = "power_db", **timing: str) -> DataFrame:
+    """Running per-bin median estimate of each frame; the state is the estimate. ``timing`` as in ``stateful``."""
     schema = T.StructType([*_keyed(stream, keys), T.StructField(frame, T.LongType()),
                            T.StructField("est_db", DOUBLES)])
 
-    def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
-        est = np.asarray(state.get[0]) if state.exists else None
-        pdf = _sorted(chunks, frame)
+    def step(key, pdf: pd.DataFrame, est):
         rows = []
         for at, p in zip(pdf[frame].tolist(), pdf[power]):
             p = np.asarray(p, dtype=np.float64)
             est = track_step(p.copy() if est is None else est, p, step_db, width)
             rows.append((*key, at, est.tolist()))
-        state.update((est.tolist(),))
-        yield pd.DataFrame(rows, columns=schema.names)
+        return pd.DataFrame(rows, columns=schema.names), est
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        run, schema, T.StructType([T.StructField("est", DOUBLES)]), "append", GroupStateTimeout.NoTimeout)
+    return stateful(stream, keys, frame, schema, step, **timing)
 
 
 def stream_detect(stream: DataFrame, cfg: DetectConfig = DetectConfig(),
-                  keys: Sequence[str] = ("stream_id",)) -> DataFrame:
+                  keys: Sequence[str] = ("stream_id",), **timing: str) -> DataFrame:
     """Detections from frames (frame, lin ARRAY of one metric per channel), as in batch.
 
     A frame needs all its channels for the coincidence gate, so the key is the
     stream. The state is the metric history of ``depth`` frames, the current
-    baseline and the end of each channel's pause.
+    baseline and the end of each channel's pause. ``timing`` as in ``stateful``.
     """
     schema = T.StructType([*_keyed(stream, keys), *[T.StructField(n, t) for n, t in (
         ("frame", T.LongType()), ("channel", T.IntegerType()), ("lin", T.DoubleType()),
         ("metric_db", T.DoubleType()))]])
     slots = -(-cfg.depth // cfg.stride)
 
-    def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            flat, at, base, until = state.get
-            history = np.asarray(flat).reshape(-1, N_CHANNELS)
-            seen = np.asarray(at, dtype=np.int64)
-            base, until = np.asarray(base), np.asarray(until, dtype=np.int64)
-        else:
-            history, seen = np.empty((0, N_CHANNELS)), np.empty(0, dtype=np.int64)
-            base, until = None, np.full(N_CHANNELS, -(1 << 62), dtype=np.int64)
-        pdf = _sorted(chunks, "frame")
+    def step(key, pdf: pd.DataFrame, state):
+        start = np.empty((0, N_CHANNELS)), np.empty(0, dtype=np.int64), None, np.full(N_CHANNELS, -(1 << 62), dtype=np.int64)
+        history, seen, base, until = start if state is None else state
         rows = []
         for frame, lin in zip(pdf["frame"].tolist(), pdf["lin"]):
             lin = np.asarray(lin, dtype=np.float64)
@@ -201,10 +249,6 @@ def stream_detect(stream: DataFrame, cfg: DetectConfig = DetectConfig(),
                 if abs(k - N_CHANNELS // 2) > cfg.edge_skip and frame >= until[k]:
                     rows.append((*key, frame, int(k), float(lin[k]), float(db[k])))
                     until[k] = frame + cfg.cooldown_frames
-        state.update((history.ravel().tolist(), seen.tolist(), [] if base is None else base.tolist(),
-                      until.tolist()))
-        yield pd.DataFrame(rows, columns=schema.names)
+        return pd.DataFrame(rows, columns=schema.names), (history, seen, base, until)
 
-    kept = T.StructType([T.StructField("history", DOUBLES), T.StructField("at", LONGS),
-                         T.StructField("base", DOUBLES), T.StructField("until", LONGS)])
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return stateful(stream, keys, "frame", schema, step, **timing)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from burstlake.operators import spectra
+from burstlake.operators import framing, spectra
 from burstlake.plans import comparison, jobs
 from burstlake.scale import cut_lineage, fresh_dir
 from burstlake.sinks import tables
 from burstlake.sources import logs
 from burstlake.streaming import jobs as st
+from burstlake.streaming.extract import stream_event_segments
 
 from . import detection as det
 from . import records as rec
@@ -46,6 +47,24 @@ def finished(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def second(order):
+    return F.timestamp_seconds(F.lit(1_700_000_000) + order)
+
+
+def out_of_order(spark, df, name, order, parts=3, spread=8):
+    """The same in micro-batches whose rows overlap by up to ``spread`` of ``order``, one second each, then an end mark."""
+    path = fresh_dir(spark, name)
+    rows = cut_lineage(df.withColumn("ts", second(F.col(order))).withColumn("_at", F.col(order) + F.pmod(F.xxhash64(*df.columns), F.lit(spread))))
+    lo, hi = rows.agg(F.min("_at"), F.max("_at")).first()
+    schema = rows.drop("_at").schema
+    width = ((hi or 0) - (lo or 0)) // parts + 1
+    for k in range(parts if lo is not None else 0):
+        part = rows.where((F.col("_at") >= lo + k * width) & (F.col("_at") < lo + (k + 1) * width)).drop("_at")
+        part.coalesce(1).write.mode("append").parquet(path)
+    st.end_marks(spark, schema, "ts", second(F.lit((hi or 0) + 100_000))).write.mode("append").parquet(path)
+    return st.stream_blocks(spark, path, schema, max_files=1)
+
+
 def events(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("stream_id"), "event_id",
                                              F.timestamp_micros(epoch_us()).alias("ts"), F.col("value").alias("metric"))
@@ -77,6 +96,35 @@ def cooldown(spark, sf):
     return finished(spark, st.stream_cooldown(s, 6), "cooldown").select("frame", "channel")
 
 
+def cooldown_late(spark, sf):
+    """Triggers out of order over micro-batches, held back until the watermark has passed them."""
+    s = out_of_order(spark, heat(spark, sf).where("lin > 60"), "hot", "frame")
+    return finished(spark, st.stream_cooldown(s, 6, ts="ts", wait="10 seconds"), "cooldown").select("frame", "channel")
+
+
+def extract_late(spark, sf):
+    """Blocks and events out of order; an event waits for the blocks of its window, the stream's last ones for the end mark."""
+    series = sig.series(spark, sf)
+    hits = series.where("x > 150").select("stream_id", F.col("n").alias("event_id"), F.col("n").alias("at"), F.floor(F.col("n") / 128).alias("sec"))
+    blocks = out_of_order(spark, framing.to_blocks(series, 128).select("stream_id", "block_idx", "first_sample", "x"), "blocks", "block_idx", spread=3)
+    seg = stream_event_segments(blocks, out_of_order(spark, hits, "hits", "sec", spread=3), 20, 45, 4, 128, wait="5 seconds", keep="20 seconds",
+                                patience="10 seconds")
+    return sig.frame_rows(finished(spark, seg, "segments").withColumnRenamed("event_id", "frame")).select(
+        "stream_id", F.col("frame").alias("event_id"), "pos", r(F.col("x")).alias("x"))
+
+
+def sessions_ended(spark, sf):
+    """Runs of triggers with an end mark behind them: the last run is published too."""
+    rows = events(spark, sf).where("metric > 40")
+    path = fresh_dir(spark, "triggers")
+    rows.write.parquet(path)
+    end = rows.agg(F.max("ts")).select(F.coalesce(F.col("max(ts)"), F.timestamp_seconds(F.lit(0)))).first()[0]
+    st.end_marks(spark, rows.schema, "ts", F.lit(end) + F.expr("INTERVAL 100 DAYS")).write.mode("append").parquet(path)
+    out = st.stream_runs(st.stream_blocks(spark, path, rows.schema, max_files=None), "2 hours", keep="10 minutes")
+    return finished(spark, out, "runs").select("stream_id", F.unix_micros("run_start").alias("start_us"),
+                                               F.unix_micros("last_at").alias("last_us"), "triggers", "peak")
+
+
 def detect(spark, sf):
     h = heat(spark, sf).groupBy("stream_id", "frame").agg(
         F.sort_array(F.collect_list(F.struct("channel", "lin"))).alias("c")).select("stream_id", "frame", F.col("c.lin").alias("lin"))
@@ -159,7 +207,10 @@ def spectrogram_sink(spark, sf):
 QUERIES = {
     "stream_publish_windows": windows,
     "stream_runs": sessions,
+    "stream_runs_to_end": sessions_ended,
     "stream_cooldown": cooldown,
+    "stream_cooldown_out_of_order": cooldown_late,
+    "stream_event_segments": extract_late,
     "stream_detect_bursts": detect,
     "stream_impulse_gate": impulse,
     "stream_median_tracker": tracker,
@@ -177,6 +228,11 @@ FROM events GROUP BY 1, 2 HAVING (epoch_us(any_value(ts)) // 3600000000 + 1) * 3
     "stream_cooldown": "WITH RECURSIVE " + HEAT + """,
   hot AS (SELECT *, false AS restart FROM heat WHERE lin > 60),""" + det.cooldown_sql("hot", 6)
         + "\nSELECT frame, channel FROM fold WHERE kept",
+    "stream_runs_to_end": SESSIONS_SQL[:SESSIONS_SQL.index("\nHAVING")],
+    "stream_cooldown_out_of_order": "WITH RECURSIVE " + HEAT + """,
+  hot AS (SELECT *, false AS restart FROM heat WHERE lin > 60),""" + det.cooldown_sql("hot", 6)
+        + "\nSELECT frame, channel FROM fold WHERE kept",
+    "stream_event_segments": sig.SQL["event_segments"],
     "stream_detect_bursts": "SELECT frame, channel, lin, metric_db FROM (" + det.DETECT + ")",
     "stream_impulse_gate": sig.SQL["impulse_gate"],
     "stream_median_tracker": sig.SQL["median_tracker_series"],
