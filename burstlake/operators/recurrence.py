@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from ..scale import cut_lineage, dense_segments, join_keys, scan_segments
 
 
+#: Time constants after which an average has forgotten its start to 1e-12 though half of the blocks are blanked, and copies of a block at most that
+#: a warm-up may take; with shorter segments, states are handed on round by round.
+WARM_TAU, MOST_WARM = 60, 64
+
+
 def gate_blocks(blocks: np.ndarray, avg: np.ndarray | None, factor: float, frac: float, alpha: float):
     """The impulse gate over a matrix of blocks: (hot bins, blanked, last average). Shared with streaming."""
     hots, blanked = np.zeros(len(blocks), dtype=np.int64), np.zeros(len(blocks), dtype=bool)
@@ -64,8 +69,9 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
     the first block. A partial last block passes. A gap in the blocks keeps the
     average. Segments of a stream run in parallel and hand their averages on until
     they agree to 1e-12, not to the last bit: a bin that close to its limit may
-    count either way. The average forgets within a few ``tau``, so the default
-    minute per segment settles fast.
+    count either way. Segments are entered with the average that ``WARM_TAU`` ``tau`` of
+    blocks before them leave, by when it has forgotten its start to that precision; only those
+    where it hasn't (long blankings) are entered again.
     """
     keys, per = list(keys), (block or size) // size
     in_seg = max(1, segment // per)
@@ -87,7 +93,8 @@ def impulse_gate(blocks: DataFrame, factor: float = 6.0, frac: float = 0.30, siz
         out = pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "block_idx": at, "n_hot": hots, "blanked": gone})
         return out, ([] if avg is None else avg.tolist())
 
-    return scan_segments(rows, keys, "_at", step, schema, tol=1e-12)
+    warm = -(-int(WARM_TAU * tau * rate / size) // (in_seg * per))
+    return scan_segments(rows, keys, "_at", step, schema, tol=1e-12, warm=warm if warm <= MOST_WARM else 0, order="block_idx")
 
 
 def gate_mask(blocks: DataFrame, gate: DataFrame, block: int = 8192, size: int = 256,

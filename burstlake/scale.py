@@ -275,7 +275,7 @@ Step = Callable[[pd.DataFrame, "State | None"], tuple[pd.DataFrame, State]]
 
 def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, schema: T.StructType,
                   tol: float = 0.0, first_state: DataFrame | None = None,
-                  return_states: bool = False):
+                  return_states: bool = False, warm: int = 0, order: str | None = None):
     """Run ``step`` over the segments of each key in order, all segments at once.
 
     Round one enters every segment cold. Each later round re-enters only the
@@ -286,6 +286,12 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
     ``step(rows, state)`` gets one segment in the order of its caller's sort and
     returns (output rows, state as a list of doubles).
 
+    A state that forgets needs no rounds: with ``warm``, every segment but the first
+    first runs over the ``warm`` segments before it (their rows are copied to it), which
+    gives the state it is entered with; ``order`` is what ``step`` sorts by. Round one then
+    has settled all segments whose state has forgotten how their warm-up began, and the
+    comparison with what predecessors left finds the others, which are re-entered as before.
+
     ``df`` is read once per round: pass a table or a checkpointed DataFrame.
     """
     keys = list(keys)
@@ -328,6 +334,9 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
         return df.groupBy(*by).applyInPandas(alone, schema)
     none = present.withColumn("state", F.lit(None).cast("array<double>"))
     entries = none if first_state is None else cut_lineage(first_state.select(*by, "state"))
+    if warm and order and first_state is None:
+        # entry states from the segments before; segments are numbered without gaps
+        entries = _warmed(df, keys, seg, step, state_schema, warm, order, present)
     exits = run(df, entries)
     while True:
         proposed = join_keys(to_next(exits), present, by, "left_semi")
@@ -349,6 +358,26 @@ def scan_segments(df: DataFrame, keys: Sequence[str], seg: str, step: Step, sche
     return (out, exits) if return_states else out
 
 
+def _warmed(df: DataFrame, keys: Sequence[str], seg: str, step: Step, state_schema: T.StructType, warm: int, order: str,
+            present: DataFrame) -> DataFrame:
+    """Entry states (keys, seg, state) by running over up to ``warm`` segments before each; null for the first of a key.
+
+    A segment's rows are copied to the next ``warm`` segments that exist; where the run starts with a key's
+    first segment the state is exact.
+    """
+    by, names = [*keys, seg], [f.name for f in state_schema.fields[:-1]]
+    ahead = df.withColumn("_of", F.explode(F.sequence(F.col(seg) + 1, F.col(seg) + F.lit(warm))))
+    wanted = present.withColumnRenamed(seg, "_of")
+    ahead = join_keys(ahead.drop(seg), wanted, [*keys, "_of"], "left_semi")
+
+    def run(key, rows):
+        _, state = step(rows.sort_values(order), None)
+        return pd.DataFrame({**{k: [v] for k, v in zip(names, key)}, "state": [list(state)]})
+
+    states = ahead.groupBy(*keys, "_of").applyInPandas(run, state_schema)
+    return cut_lineage(join_keys(present, states, by, "left").select(*by, "state"))
+
+
 # --------------------------------------------------------------------------
 # neighbours in order, islands
 

@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from burstlake import scale
 from burstlake.operators import baseline, gates, matching, recurrence, runs
 from burstlake.scale import islands, lagged, number_rows, quantiles, running_total, top_k
 
@@ -283,3 +286,26 @@ def test_intervals_keep_every_truth_and_name_frames_that_exist(spark, fan, level
         fan=fan, levels=levels, segment=segment)
     rows = [(r.stream_id, r.channel, r.start, r.width, r.frame, r.inside) for r in got.collect()]
     assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("warm", [1, 4])
+def test_warmed_scan_is_the_sequential_one(spark, warm):
+    """A decaying sum over segments of 10 rows: warm-up over one segment doesn't forget enough and is put right by rounds."""
+    rng = np.random.default_rng(5)
+    data = [(k, i, float(v)) for k, n in (("a", 95), ("b", 7), (None, 33)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(data, "key string, i long, v double").withColumn("seg", F.floor(F.col("i") / 10).cast("long"))
+
+    def step(rows, state):
+        at, out = (state or [0.0])[0], []
+        rows = rows.sort_values("i")
+        for v in rows["v"]:
+            at = 0.4 * at + v
+            out.append(at)
+        return pd.DataFrame({"key": rows["key"], "i": rows["i"], "sum": out}), [at]
+
+    got = scale.scan_segments(df, ["key"], "seg", step, T.StructType([df.schema["key"], df.schema["i"], T.StructField("sum", T.DoubleType())]),
+                              tol=1e-12, warm=warm, order="i").collect()
+    want, at = {}, {}
+    for k, i, v in data:
+        at[k] = want[k, i] = 0.4 * at.get(k, 0.0) + v
+    assert len(got) == len(want) and all(abs(r["sum"] - want[r["key"], r["i"]]) < 1e-10 for r in got)
