@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from burstlake.llm import align, mtree, whitening
+from burstlake.llm import align, ann, mtree, whitening
 from burstlake.llm.queries import aligned_tokenizers
 
 VECTORS = "vec_id long, embedding array<float>, x int, n string"
@@ -166,3 +166,20 @@ def test_ranks_are_the_same_vocabulary():
     tok = align.Tokenizers(aligned_tokenizers())
     texts = [f" a{c}b {c} {c}{c}\n{c}1 {c}'s x{c}. {c}" for c in map(chr, range(0x250))]
     assert tok.encode_a(texts) == [e.ids for e in tok.a.encode_batch(texts, add_special_tokens=False)]
+
+
+# -- nearest neighbours of very large and very small vectors --------------------
+
+def test_nearest_of_mixed_scales(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 4)).astype(np.float32)
+    x[5, 0], x[6], x[100, 2], x[200] = 1e25, x[6] * np.float32(1e-30), 3e18, x[200] * np.float32(1e6)
+    pairs = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = ann.search(frame(spark, pairs), every=20, k=10).collect()
+    own = x.astype(np.float64)
+    for q in range(0, 300, 20):
+        d = np.sqrt(((own - own[q]) ** 2).sum(axis=1))
+        want = [int(i) for i in np.lexsort((np.arange(300), d)) if i != q][:10]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len(mine) == 10 and len({v for _, v, _ in mine} & set(want)) >= 9
+        assert all(s == d[v] for _, v, s in mine)
