@@ -94,8 +94,8 @@ def held_out():
     return F.crc32(key.cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """A unit prototype for each language of (text, lang), and under "" what they have in common."""
+def learn(docs: DataFrame) -> dict[str | None, np.ndarray]:
+    """A unit prototype for each language of (text, lang), and under None what they have in common."""
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in it:
@@ -118,14 +118,14 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     for lang, i, x in rows:
         found.setdefault(lang, np.zeros(DIM))[i] = x
     unit = {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
-    return unit | {"": np.mean(list(unit.values()), axis=0) if len(unit) > 1 else np.zeros(DIM)}
+    return unit | {None: np.mean(list(unit.values()), axis=0) if len(unit) > 1 else np.zeros(DIM)}
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str | None, np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of (doc_id, text); the score is the cosine, at least 0."""
-    langs = [k for k in model if k]
-    common = model[""].astype(np.float32)
-    own = np.array([model[k] - model[""] for k in langs]).reshape(-1, DIM)
+    langs = [k for k in model if k is not None]
+    common = model[None].astype(np.float32)
+    own = np.array([model[k] - model[None] for k in langs]).reshape(-1, DIM)
     own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,8 +159,16 @@ def segments(value: str, i: int, runs: list[list[int]], words: Ranks = FIXED) ->
     return [(e, c) for e, c in out if e <= len(value)]
 
 
-@lru_cache(maxsize=65_536)
+#: Longest value whose cost is kept for the next time.
+KEPT_LETTERS = 64
+
+
 def guess_cost(value: str, words: Ranks = FIXED) -> float:
+    """The least sum of segment costs, see ``cost_of``; costs of short values are remembered."""
+    return (short_cost if len(value) <= KEPT_LETTERS else cost_of)(value, words)
+
+
+def cost_of(value: str, words: Ranks) -> float:
     """The least sum of segment costs over all ways to cut ``value``, as a power of ten.
 
     Every segment after the first costs ``EXTRA_SEGMENT``. A brute-force span costs
@@ -179,6 +187,9 @@ def guess_cost(value: str, words: Ranks = FIXED) -> float:
     return max(0.0, min(ended[n], brute[n]))
 
 
+short_cost = lru_cache(maxsize=65_536)(cost_of)
+
+
 def mentions(text: str, words: tuple[str, ...]) -> bool:
     """Whether any of the words occurs in any case: without one the patterns need not be tried."""
     low = text.lower()
@@ -204,10 +215,14 @@ def context_values(text: str) -> list[tuple[int, str]]:
 
 def guess_spans(text: str, base: list[tuple[int, int, int, int, int]], words: Ranks = FIXED) -> list[tuple[int, int, int, int, int]]:
     """Values in credential contexts that no base span touches and that are hard to guess."""
-    out = []
+    out, i, reach = [], 0, 0
     for s, value in context_values(text):
         e = s + len(value)
-        if not any(b[0] < e and s < b[2] for b in base) and guess_cost(value, words) >= MIN_COST:
+        # both lists go by start; `reach` is the furthest end of all base spans that start before e
+        while i < len(base) and base[i][0] < e:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= s and guess_cost(value, words) >= MIN_COST:
             out.append((s, 3, e, s, e))
     return out
 

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -488,3 +490,58 @@ def test_pipeline(spark, odd, empty, tmp_path):
             out = corpus_pipeline.saved(stage(spark, out, sf))
             assert out.columns == data.columns
         assert corpus_pipeline.STAGES[-1][1](spark, out, sf).count() >= 0
+
+
+PARTS = ["password is ", "secret: ", "PASSWORD = '", "AKIA", "Q7Z4", "token=Zx9$kQ2!", "xQvBnRtYpLkWzMd", "deadbeef", "0123", " ", ", ", "\n", "İ",
+         "pwd: kG$!vQ@zRw#pLx", "api_key=abcdefgh12", "apiKey:\"", "the passphrase is ", "ſecret=", "=", "a"]
+
+
+def test_secrets_of_random_texts_against_the_plain_patterns():
+    rng = random.Random(3)
+    plain = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+             re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+    for _ in range(2000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 40)))
+        base = secrets.base_spans(text)
+        assert [x[:3] for x in base] == sorted((m.start(), k, m.end()) for k, p in enumerate(plain) for m in p.finditer(text)
+                                               if len(m[2] if k == 0 else m[0]) >= (8, 16, 32)[k])
+        free = [(s, s + len(v), v) for s, v in secrets.context_values(text)]
+        assert [(x[0], x[2]) for x in secrets.guess_spans(text, base)] == [
+            (s, e) for s, e, v in free if not any(b[0] < e and s < b[2] for b in base) and secrets.cost_of(v, secrets.FIXED) >= secrets.MIN_COST]
+
+
+def test_secrets_of_a_long_text_in_linear_time():
+    text = "the password is hunter, token=abcdefgh12 and pwd: kG$!vQ@zRw#pLx. " * 20_000
+    began = time.monotonic()
+    base = secrets.base_spans(text)
+    more = secrets.guess_spans(text, base)
+    assert (len(base), len(more)) == (20_000, 20_000) and time.monotonic() - began < 30
+
+
+def test_planted_values_are_found_and_prose_is_not(spark):
+    rng = random.Random(8)
+    words = "river mountain window garden thunder captain harvest lantern morning traveler whisper blanket".split()
+    hard = ["".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789!#%") for _ in range(14)) for _ in range(40)]
+    data = [(i, f"my passphrase is {hard[i] if i < 40 else rng.choice(words)} and {' '.join(rng.choices(words, k=30))}", "en", "s", 0, "x", 1, 2)
+            for i in range(400)]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(data, DOCS)).where("n_guess > 0").collect()}
+    assert found == set(range(40))
+
+
+def test_langid_of_a_language_without_a_name(spark):
+    parts = {"": "ba do ki ra", "yy": "éth ung sch öl"}
+    rng = random.Random(6)
+    data = [(i, " ".join("".join(rng.choices(parts[k].split(), k=3)) for _ in range(40)), k, "s", 0, "x", 1, 2) for i in range(40) for k in [["", "yy"][i % 2]]]
+    assert all(r.lang_pred == data[r.doc_id][2] for r in langid.identify(spark.createDataFrame(data, DOCS)).collect())
+
+
+def test_langid_prototypes_are_bundles_of_bound_letters(spark):
+    data = [(0, "ab ba", "xx", "s", 0, "x", 1, 2), (1, "bab", "xx", "s", 0, "x", 1, 2), (2, "öl", "yy", "s", 0, "x", 1, 2)]
+    model, v = langid.learn(spark.createDataFrame(data, DOCS)), langid.Vectors()
+    for lang in ("xx", "yy"):
+        total = np.zeros(langid.DIM)
+        for text in (d[1] for d in data if d[2] == lang):
+            which, counts = langid.trigrams(text)
+            total += sum(c * v.bind(np.array([t]))[0].astype(float) for t, c in zip(which, counts / counts.sum()))
+        assert np.allclose(model[lang], total / np.linalg.norm(total), atol=1e-5)
+    assert np.allclose(model[None], (model["xx"] + model["yy"]) / 2)
