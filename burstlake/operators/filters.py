@@ -21,7 +21,7 @@ _DOUBLES = T.ArrayType(T.DoubleType())
 
 #: Samples per window segment of the long-row filters.
 SEGMENT = 65_536
-#: Longest recording the whole-recording spectral filters accept.
+#: Longest row the spectral filters on rows accept; ``transforms.spectral_blocks`` takes recordings of any length.
 MAX_RECORDING = 20_000_000
 
 
@@ -155,27 +155,64 @@ def _cosine(f: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(np.pi * t)
 
 
+def _hz(k: np.ndarray, n: int, rate: float) -> np.ndarray:
+    """Absolute frequency of bins of a transform of ``n`` samples."""
+    return np.minimum(k, n - k) * (rate / n)
+
+
+def lowpass_gain(rate: float, cutoff: float, taper: float = 0.10):
+    """Gain of bin numbers: keep |f| <= cutoff with a cosine edge."""
+    return lambda k, n: 1.0 - _cosine(_hz(k, n, rate), cutoff, cutoff * (1.0 + taper))
+
+
+def bandpass_gain(rate: float, lo: float, hi: float):
+    """Gain of bin numbers: pass lo..hi, cosine edges of max(10 Hz, 10 %)."""
+    edge = max(10.0, 0.10 * (hi - lo))
+
+    def gain(k, n):
+        f = _hz(k, n, rate)
+        return _cosine(f, max(0.0, lo - edge), lo) * (1.0 - _cosine(f, hi, hi + edge))
+    return gain
+
+
+def equalise_gain(rate: float, cutoff: float, correction_db: Sequence[float], nfft: int):
+    """Gain of bin numbers: per-bin correction (a spectrum of nfft / 2 + 1 bins), then roll-off above cutoff."""
+    corr = np.asarray(correction_db, dtype=np.float64)
+    corr_hz = np.fft.rfftfreq(nfft, 1.0 / rate)[: len(corr)]
+
+    def gain(k, n):
+        f = _hz(k, n, rate)
+        level = np.interp(f, corr_hz, corr, left=0.0, right=0.0) - 60.0 * _cosine(f, cutoff, 2.0 * cutoff)
+        return np.where(f > 2.0 * cutoff, 0.0, 10.0 ** (level / 20.0))
+    return gain
+
+
+def analytic_gain(k, n):
+    """Gain of bin numbers: positive frequencies doubled, negative ones gone."""
+    return np.where((k == 0) | (2 * k == n), 1.0, np.where(2 * k < n, 2.0, 0.0))
+
+
+def _on_real(gain):
+    def run(x):
+        n = _bounded(x).shape[1]
+        return np.fft.irfft(np.fft.rfft(x, axis=1) * gain(np.arange(n // 2 + 1), n), n=n, axis=1)
+    return row_function(run, DOUBLES)
+
+
 def fft_lowpass(rate: float, cutoff: float, taper: float = 0.10):
     """Column function (re, im) -> struct(re, im): keep |f| <= cutoff with a cosine edge."""
+    gain = lowpass_gain(rate, cutoff, taper)
+
     def run(re, im):
         n = _bounded(re).shape[1]
-        f = np.abs(np.fft.fftfreq(n, 1.0 / rate))
-        gain = 1.0 - _cosine(f, cutoff, cutoff * (1.0 + taper))
-        y = np.fft.ifft(np.fft.fft(re + 1j * im, axis=1) * gain, axis=1)
+        y = np.fft.ifft(np.fft.fft(re + 1j * im, axis=1) * gain(np.arange(n), n), axis=1)
         return y.real, y.imag
     return row_function(run, [("re", DOUBLES), ("im", DOUBLES)])
 
 
 def fft_bandpass(rate: float, lo: float, hi: float):
     """Column function on real arrays: pass lo..hi, cosine edges of max(10 Hz, 10 %)."""
-    edge = max(10.0, 0.10 * (hi - lo))
-
-    def run(x):
-        n = _bounded(x).shape[1]
-        f = np.fft.rfftfreq(n, 1.0 / rate)
-        gain = _cosine(f, max(0.0, lo - edge), lo) * (1.0 - _cosine(f, hi, hi + edge))
-        return np.fft.irfft(np.fft.rfft(x, axis=1) * gain, n=n, axis=1)
-    return row_function(run, DOUBLES)
+    return _on_real(bandpass_gain(rate, lo, hi))
 
 
 def fft_equalise(rate: float, cutoff: float, correction_db: Sequence[float], nfft: int):
@@ -183,29 +220,14 @@ def fft_equalise(rate: float, cutoff: float, correction_db: Sequence[float], nff
 
     ``correction_db`` is one table for all recordings (a spectrum of nfft / 2 + 1 bins).
     """
-    corr = np.asarray(correction_db, dtype=np.float64)
-    corr_hz = np.fft.rfftfreq(nfft, 1.0 / rate)[: len(corr)]
-
-    def run(x):
-        n = _bounded(x).shape[1]
-        f = np.fft.rfftfreq(n, 1.0 / rate)
-        level = np.interp(f, corr_hz, corr, left=0.0, right=0.0)
-        level = level - 60.0 * _cosine(f, cutoff, 2.0 * cutoff)
-        gain = np.where(f > 2.0 * cutoff, 0.0, 10.0 ** (level / 20.0))
-        return np.fft.irfft(np.fft.rfft(x, axis=1) * gain, n=n, axis=1)
-    return row_function(run, DOUBLES)
+    return _on_real(equalise_gain(rate, cutoff, correction_db, nfft))
 
 
 def analytic():
     """Column function on real arrays: struct(re, im) without negative frequencies."""
     def run(x):
         n = _bounded(x).shape[1]
-        gain = np.zeros(n)
-        gain[0] = 1.0
-        gain[1:(n + 1) // 2] = 2.0
-        if n % 2 == 0:
-            gain[n // 2] = 1.0
-        y = np.fft.ifft(np.fft.fft(x, axis=1) * gain, axis=1)
+        y = np.fft.ifft(np.fft.fft(x, axis=1) * analytic_gain(np.arange(n), n), axis=1)
         return y.real, y.imag
     return row_function(run, [("re", DOUBLES), ("im", DOUBLES)])
 

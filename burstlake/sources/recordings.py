@@ -14,11 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import MAX_RECORDING, analytic
-from ..scale import cut_lineage
+from ..operators.filters import analytic, analytic_gain
+from ..operators.transforms import spectral_blocks
+from ..scale import cut_lineage, join_keys
 
 LAYOUT = ("stream_id string, length bigint, rate int, channels int, width int, "
           "data_at bigint, n_frames bigint")
+#: Longest recording whose analytic signal is made in one row: 8 MB of samples.
+SHORT = 1 << 20
 PIECE = "stream_id string, block_idx bigint, first_sample bigint, rate int, i array<float>, q array<float>"
 
 
@@ -148,23 +151,28 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
         analytic_blocks(ready.where(real).mapInPandas(decode, PIECE), block))
 
 
-def analytic_blocks(blocks: DataFrame, block: int = 8192) -> DataFrame:
+def analytic_blocks(blocks: DataFrame, block: int = 8192, short: int = SHORT) -> DataFrame:
     """Real recordings to analytic ones.
 
-    The transform needs a recording whole, so its length is checked first: longer
-    recordings have to be cut before they are read.
+    Recordings of at most ``short`` samples are transformed in one row each, longer ones, of any length, in
+    strips over many tasks. The real blocks are written once, as both need their lengths first.
     """
-    length = blocks.groupBy("stream_id").agg(F.sum(F.size("i")).alias("_n"))
-    fits = F.assert_true(F.col("_n") <= MAX_RECORDING, F.lit("recording too long for an analytic signal: cut it first"))
-    whole = (blocks.join(length.where(fits.isNull()), "stream_id").groupBy("stream_id", "rate")
+    keys = ["stream_id", "rate"]
+    rows = cut_lineage(blocks)
+    length = cut_lineage(rows.groupBy(*keys).agg(F.max(F.col("first_sample") + F.size("i")).alias("_n")))
+    few, many = length.where(F.col("_n") <= short), length.where(F.col("_n") > short)
+    whole = (join_keys(rows, few, keys, "left_semi").groupBy(*keys)
              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_idx", "i"))),
                                         lambda b: b["i"].cast("array<double>"))).alias("x"))
-             .select("stream_id", "rate", analytic()(F.col("x")).alias("y")))
-    cut = lambda c: F.slice(F.col(f"y.{c}"), F.col("block_idx").cast("int") * block + 1, block).cast("array<float>")
+             .select(*keys, analytic()(F.col("x")).alias("y")))
+    cut = lambda c: F.slice(F.col(f"y.{c}"), F.col("block_idx").cast("int") * block + 1, block)
     count = F.ceil(F.size("y.re") / F.lit(block)).cast("long")
-    return (whole.withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-                 .select("stream_id", "block_idx", (F.col("block_idx") * block).alias("first_sample"),
-                         "rate", cut("re").alias("i"), cut("im").alias("q")))
+    out = (whole.withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+                .select(*keys, "block_idx", cut("re").alias("re"), cut("im").alias("im")))
+    if not many.isEmpty():
+        out = out.unionByName(spectral_blocks(join_keys(rows, many, keys, "left_semi"), analytic_gain, block, keys, "i", None))
+    return out.select("stream_id", "block_idx", (F.col("block_idx") * block).alias("first_sample"), "rate",
+                      F.col("re").cast("array<float>").alias("i"), F.col("im").cast("array<float>").alias("q"))
 
 
 def decode_recordings(df: DataFrame, block: int = 8192, on_multi: str = "first2",

@@ -487,6 +487,16 @@ def report(spark, sf):
     return out.select("run_id", "total", "decoded", "missed", "garbled", "false_alarms", r(F.col("percent")).alias("percent"))
 
 
+def report_launches(spark, sf):
+    """The same with how each run's launches ended."""
+    from burstlake.schemas import LAUNCH_LOG
+
+    started = logs.parse_log(launch_lines(spark, sf), LAUNCH_LOG, since="2024-01-05")
+    out = comparison.report(truth(spark, sf), log(spark, sf), started, freq_tol=FREQ_TOL, time_tol=TIME_TOL)
+    return out.select("run_id", "total", "decoded", "missed", "garbled", "false_alarms", r(F.col("percent")).alias("percent"),
+                      "launched", "launch_decoded", "no_decode", "timeout", "launch_error")
+
+
 EXACT = TRUTH + """,
   words AS (SELECT DISTINCT run_id, line_no, unnest(list_append(string_split(message, ' '), message)) AS w FROM log),
   hits AS (SELECT t.run_id, t.truth_no, w.line_no FROM truth t JOIN words w ON w.run_id = t.run_id AND w.w = t.msg),
@@ -643,6 +653,7 @@ QUERIES = {
     "claim_first_row": statuses_first,
     "false_alarms": alarms,
     "comparison_report": report,
+    "comparison_report_launches": report_launches,
     "match_interval": intervals,
     "match_interval_sparse": sparse_intervals,
     "attach_decodes": attached,
@@ -652,6 +663,15 @@ QUERIES = {
     "snr_fallback": snr_fallback,
 }
 
+
+REPORT_SQL = "WITH " + claims_sql(True) + """,
+  a AS (SELECT run_id, count(*) AS false_alarms FROM alarms GROUP BY 1),
+  s AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'DECODED') AS decoded,
+    count(*) FILTER (WHERE status = 'MISSED') AS missed, count(*) FILTER (WHERE status = 'GARBLED') AS garbled FROM st GROUP BY 1)
+SELECT run_id, coalesce(total, 0) AS total, coalesce(decoded, 0) AS decoded, coalesce(missed, 0) AS missed, coalesce(garbled, 0) AS garbled,
+  coalesce(false_alarms, 0) AS false_alarms, round(CASE WHEN total > 0 THEN 100.0::DOUBLE * decoded / total ELSE 0 END, 6) + 0.0 AS percent
+FROM s FULL JOIN a USING (run_id)"""
+
 SQL = {
     "parse_message": "WITH " + MESSAGES + ", " + parsed_sql(False) + " SELECT id, de, to_call, grid FROM parsed",
     "parse_message_rr73_grid": "WITH " + MESSAGES + ", " + parsed_sql(True) + " SELECT id, de, to_call, grid FROM parsed",
@@ -698,13 +718,10 @@ FROM series GROUP BY 1""",
     "claim_all_rows": "WITH " + claims_sql(True) + STATUS_COLS,
     "claim_first_row": "WITH " + claims_sql(False) + STATUS_COLS,
     "false_alarms": "WITH " + claims_sql(True) + " SELECT line_no, message FROM alarms",
-    "comparison_report": "WITH " + claims_sql(True) + """,
-  a AS (SELECT run_id, count(*) AS false_alarms FROM alarms GROUP BY 1),
-  s AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'DECODED') AS decoded,
-    count(*) FILTER (WHERE status = 'MISSED') AS missed, count(*) FILTER (WHERE status = 'GARBLED') AS garbled FROM st GROUP BY 1)
-SELECT run_id, coalesce(total, 0) AS total, coalesce(decoded, 0) AS decoded, coalesce(missed, 0) AS missed, coalesce(garbled, 0) AS garbled,
-  coalesce(false_alarms, 0) AS false_alarms, round(CASE WHEN total > 0 THEN 100.0::DOUBLE * decoded / total ELSE 0 END, 6) + 0.0 AS percent
-FROM s FULL JOIN a USING (run_id)""",
+    "comparison_report": REPORT_SQL,
+    "comparison_report_launches": f"""SELECT m.*, coalesce(l.launched, 0) AS launched, coalesce(l.decoded, 0) AS launch_decoded,
+  coalesce(l.no_decode, 0) AS no_decode, coalesce(l.timeout, 0) AS timeout, coalesce(l.error, 0) AS launch_error
+FROM ({REPORT_SQL}) m LEFT JOIN ({LAUNCH_SQL}) l USING (run_id)""",
     "match_interval": interval_sql("true", "0.5"),
     "match_interval_sparse": interval_sql("lin > 60 AND channel <> 7", "6"),
     "attach_decodes": ATTACH_SQL,

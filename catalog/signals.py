@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import numeric as num
 from burstlake.operators import baseline as base
-from burstlake.operators import filters, framing, recurrence, spectra
+from burstlake.operators import filters, framing, recurrence, spectra, transforms
 from burstlake.scale import drop_halo, with_halo
 
 from .bindings import FRAME_BINS, FRAMES, IQ32, SERIES, frame_bins, frames, iq32, series, table
@@ -240,6 +240,36 @@ def analytic_signal(spark, sf):
     return complex_rows(frames(spark, sf).select("frame", filters.analytic()("x").alias("y")))
 
 
+def spectral_bandpass_long(spark, sf):
+    """Whole streams in strips of some 500 samples, by factors or by a chirp as their lengths have it."""
+    b = framing.to_blocks(series(spark, sf), 64)
+    y = transforms.spectral_blocks(b, filters.bandpass_gain(160.0, 20.0, 50.0), 64, re="x", im=None, task=500)
+    return long_blocks(y).select("stream_id", "n", r(F.col("_v.re"), 4).alias("y"))
+
+
+def analytic_signal_long(spark, sf):
+    y = transforms.spectral_blocks(framing.to_blocks(series(spark, sf), 64), filters.analytic_gain, 64, re="x", im=None, task=500)
+    return long_blocks(y).select("stream_id", "n", r(F.col("_v.im"), 4).alias("im"))
+
+
+def long_blocks(df):
+    return (df.select("stream_id", "block_idx", F.posexplode(F.arrays_zip("re", "im")).alias("_at", "_v"))
+            .withColumn("n", F.col("block_idx") * 64 + F.col("_at")))
+
+
+def whole_sql(gain: str, wave: str, out: str) -> str:
+    """Circular convolution of each stream with the impulse response of a gain over the bins of its own length."""
+    return "WITH " + SERIES + f""",
+  sizes AS (SELECT stream_id, count(*) AS m FROM series GROUP BY 1),
+  ks AS (SELECT stream_id, m, unnest(range(m)) AS k FROM sizes),
+  gains AS (SELECT *, {gain} AS g FROM (SELECT *, least(k, m - k) * 160.0::DOUBLE / m AS f FROM ks)),
+  response AS MATERIALIZED (SELECT a.stream_id, b.k AS d, sum(a.g * {wave}(2 * pi() * ((a.k * b.k) % a.m) / a.m)) / a.m AS h
+    FROM gains a JOIN ks b ON b.stream_id = a.stream_id GROUP BY a.stream_id, b.k, a.m),
+  pairs AS MATERIALIZED (SELECT s.stream_id, s.n, p.x, (s.n - p.n + p.m) % p.m AS d FROM series s
+    JOIN (SELECT * FROM series JOIN sizes USING (stream_id)) p ON p.stream_id = s.stream_id)
+SELECT stream_id, n, round(sum(x * h), 4) + 0.0 AS {out} FROM pairs JOIN response USING (stream_id, d) GROUP BY 1, 2"""
+
+
 def inverse_sql(gain: str, n: int, source: str, real: bool) -> str:
     cols = ("round(re / {n}, 6) + 0.0 AS y" if real else
             "round(re / {n}, 6) + 0.0 AS re, round(im / {n}, 6) + 0.0 AS im").format(n=n)
@@ -672,6 +702,8 @@ QUERIES = {
     "spectral_bandpass": spectral_bandpass,
     "spectral_equalise": spectral_equalise,
     "analytic_signal": analytic_signal,
+    "spectral_bandpass_long": spectral_bandpass_long,
+    "analytic_signal_long": analytic_signal_long,
     "channelise": channelised,
     "channel_metrics": metrics_of_blocks,
     "waterfall_frames": waterfall,
@@ -743,6 +775,8 @@ SELECT stream_id, n, round(avg(x) OVER (PARTITION BY stream_id ORDER BY n ROWS B
     "spectral_lowpass": "WITH " + IQ32 + ", " + inverse_sql(LOWPASS_GAIN, 32, "iq32", False),
     "spectral_bandpass": "WITH " + REAL64 + ", " + inverse_sql(BANDPASS_GAIN, 64, "x64", True),
     "spectral_equalise": "WITH " + REAL64 + ", " + inverse_sql(EQUALISE_GAIN, 64, "x64", True),
+    "spectral_bandpass_long": whole_sql(f"{ramp('f', 10.0, 20.0)} * (1 - {ramp('f', 50.0, 60.0)})", "cos", "y"),
+    "analytic_signal_long": whole_sql("CASE WHEN k = 0 OR 2 * k = m THEN 1 WHEN 2 * k < m THEN 2 ELSE 0 END", "sin", "im"),
     "analytic_signal": "WITH " + REAL64 + ", " + inverse_sql(ANALYTIC_GAIN, 64, "x64", False),
     "channelise": channel_sql(),
     "channel_metrics": metrics_sql(),

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstlake.functions import numeric as num
-from burstlake.operators import filters, framing, spectra
+from burstlake.operators import filters, framing, spectra, transforms
 from burstlake.operators import recurrence
 from burstlake.plans.detection import DetectConfig, detect, receive
+from burstlake.sources import recordings
 
 
 def stream(spark, x, name="s"):
@@ -186,3 +187,36 @@ def test_impulse_is_blanked_on_the_way(spark):
     assert np.allclose(back(framing.to_samples(clean, ("i", "q"))), want)
     loud = detect(filters.channel_metrics(blocks), DetectConfig(threshold_db=15.0, max_channels=49, max_span=48)).count()
     assert loud > 0 and receive(blocks, DetectConfig(threshold_db=15.0, max_channels=49, max_span=48)).count() == 0
+
+
+def test_whole_recordings_of_any_length_in_strips(spark):
+    """By factors, by a chirp, very short, with a null key, and with a missing block, against the transform of the whole."""
+    rng = np.random.default_rng(1)
+    pair = lambda n: rng.normal(size=n) + 1j * rng.normal(size=n)
+    signals = {"factors": pair(2310), "prime": pair(1009), "one": pair(1), "two": pair(2), "five": pair(5), None: pair(96)}
+    rows = [(k, b // 64, v[b:b + 64].real.tolist(), v[b:b + 64].imag.tolist()) for k, v in signals.items() for b in range(0, len(v), 64)]
+    rows = [r for r in rows if r[:2] != ("factors", 3)] + [("empty", 0, [], [])]
+    signals["factors"][192:256] = 0
+    df = spark.createDataFrame(rows, "stream_id string, block_idx long, i array<double>, q array<double>")
+    gain = lambda k, n: 1.0 / (1.0 + np.minimum(k, n - k)) + 0.5j * (k % 3)
+    found = transforms.spectral_blocks(df, gain, block=64, task=200).collect()
+    assert {r.stream_id for r in found} == set(signals)
+    for k, v in signals.items():
+        mine = sorted((r for r in found if r.stream_id == k), key=lambda r: r.block_idx)
+        assert [len(r.re) for r in mine] == [min(64, len(v) - b) for b in range(0, len(v), 64)]
+        got = np.concatenate([np.array(r.re) + 1j * np.array(r.im) for r in mine])
+        assert np.abs(got - np.fft.ifft(np.fft.fft(v) * gain(np.arange(len(v)), len(v)))).max() < 1e-12
+    assert transforms.spectral_blocks(df.limit(0), gain, block=64).count() == 0
+    assert transforms.shape_of(1 << 26) == (1 << 26, 8192, 8192, 32, 32, False) and transforms.shape_of((1 << 26) - 5).chirp
+
+
+def test_long_recordings_become_analytic_as_short_ones_do(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, b // 64, b, 8000, v[b:b + 64].tolist(), [0.0] * len(v[b:b + 64])) for k, n in (("a", 1000), ("b", 997), ("c", 64))
+            for v in [rng.normal(size=n)] for b in range(0, n, 64)]
+    df = spark.createDataFrame(rows, recordings.PIECE)
+    get = lambda short: {(r.stream_id, r.block_idx): r for r in recordings.analytic_blocks(df, 64, short).collect()}
+    one, other = get(1 << 20), get(100)
+    assert set(one) == set(other) and len(one) == 33
+    for k in one:
+        assert one[k].first_sample == other[k].first_sample and np.allclose(one[k].i, other[k].i, atol=1e-6) and np.allclose(one[k].q, other[k].q, atol=1e-6)
