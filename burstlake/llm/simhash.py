@@ -70,6 +70,8 @@ SKETCH, PARTS, SLICE_BYTES = 1 << 20, 64, 1_000_000
 MATCHED, LEAST_RANGES, HOT = 2_000_000, 16, 16
 #: Ids that may be broadcast; pairs of one text that a task compares.
 FEW, DEAL = 200_000, 1_000
+#: How many times more members of a bucket meet the others in each further round.
+GROWTH = 64
 
 
 # -- fingerprints ------------------------------------------------------------
@@ -481,7 +483,7 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
 
     First each member of a group of near fingerprints meets the group's smallest. Then
     come the shingles that texts share among their rarest: round by round the members
-    of such a bucket are dealt to 1, 16, 256 .. classes, whose smallest members
+    of such a bucket are dealt to 1, 64, 4,096 .. classes, whose smallest members
     meet all others of the bucket, of a fitting size, and then leave it; a bucket is done
     when its members are of one group. So a large group costs a link a member, and
     no pair that met in a bucket is passed over unless it is linked already.
@@ -492,19 +494,21 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     nodes = saved(texts.groupBy("node").agg(first.alias("w"), F.first("fp").alias("fp")))
     links = None
 
-    def linked(pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """Check pairs (a, b) and add the similar ones to the links."""
+    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Check pairs (a, b), add the similar ones to the links and return the groups: ``known``, if none is new."""
         nonlocal links
         pairs = saved(pairs)
         wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                        .join(nodes, "node").select("node", "w.doc_id", "w.th"))
         new = saved(similar_pairs(pairs, saved(shingle_sets(docs, wanted, shingle)), similarity))
+        if known is not None and new.isEmpty():
+            return known
         links = new if links is None else links.unionByName(new)
-        return saved(components(links)), not new.isEmpty()
+        return saved(components(links))
 
     roots = saved(grouped(nodes, radius).join(nodes, "fp").select("node", "root"))
     heads = roots.groupBy("root").agg(F.min("node").alias("a"))
-    found, _ = linked(heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b")))
+    found = linked(heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b")), None)
 
     places = saved(prefixes(docs, sketch(rows), shingle, similarity))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
@@ -522,10 +526,9 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
         fits = (F.col("n") >= similarity * F.col("a_n") - 1e-9) & (F.col("a_n") >= similarity * F.col("n") - 1e-9)
         pairs = members.join(heads, "key").where((F.col("root") != F.col("a_root")) & fits)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        now, more = linked(pairs)
-        found = now if more else found
+        found = linked(pairs, found)
         members = members.drop("root").join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        classes *= 16
+        classes *= GROWTH
     return texts.select("doc_id", "th", "node"), found
 
 
