@@ -387,7 +387,8 @@ def sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(key, node, n): of each node those of its first shingles, rarest first, that another one's may be; n is its set's size.
+    """(key, node, n, at): of each node those of its first shingles, rarest first, that another one's may be; n is its
+    set's size and ``at`` the shingle's place in that order, which is the same for all nodes.
 
     A shingle whose counter is far above the mean is taken as shared and dealt by node, so that it is in no single task.
     """
@@ -399,7 +400,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
     def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for whole in it:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, places = [], [], [], []
             for b in _text_slices(whole, 0):
                 for h, node in zip(*word_shingles(b.column(0).to_pylist(), shingle), strict=True):
                     if node in known:
@@ -410,9 +411,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
                     keys.append(first)
                     nodes.append(np.full(len(first), node, np.uint64))
                     sizes.append(np.full(len(first), len(h), np.uint32))
+                    places.append(np.arange(len(first), dtype=np.uint32))
             if not keys:
                 continue
-            key, node, size = (np.concatenate(x) for x in (keys, nodes, sizes))
+            key, node, size, place = (np.concatenate(x) for x in (keys, nodes, sizes, places))
             part = np.where(counts[slots(key)] > hot, ranges + (node % np.uint64(ranges)).astype(np.int64),
                             (key >> np.uint64(32)).astype(np.int64) * ranges >> 32)
             order = np.argsort(part, kind="stable")
@@ -420,22 +422,24 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
             mine = [p for p in range(2 * ranges) if at[p] < at[p + 1]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mine, pa.int64()), *(pa.array([v[at[p]:at[p + 1]].tobytes() for p in mine], pa.binary())
-                                               for v in (key[order], node[order], size[order]))], names=["part", "key", "node", "n"])
+                                               for v in (key[order], node[order], size[order], place[order]))], names=["part", "key", "node", "n", "at"])
 
     def match(t: pa.Table) -> pa.Table:
-        key, node, n = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("key", "<u8"), ("node", "<u8"), ("n", "<u4")))
+        kinds = (("key", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4"))
+        key, node, n, at = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
         order = np.lexsort((node, key))
-        key, node, n = key[order], node[order], n[order]
+        key, node, n, at = key[order], node[order], n[order], at[order]
         once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node, n = key[once], node[once], n[once]
+        key, node, n, at = key[once], node[once], n[once], at[once]
         if t["part"][0].as_py() < ranges:
             next_same = np.r_[key[1:] == key[:-1], False]
             shared = next_same | np.r_[False, next_same[:-1]]
-            key, node, n = key[shared], node[shared], n[shared]
-        return pa.table([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "node", "n"])
+            key, node, n, at = key[shared], node[shared], n[shared], at[shared]
+        return pa.table([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)),
+                         pa.array(at.astype(np.int64))], names=["key", "node", "n", "at"])
 
-    return (docs.select("text").mapInArrow(rare, "part long, key binary, node binary, n binary")
-            .groupBy("part").applyInArrow(match, "key long, node long, n long"))
+    return (docs.select("text").mapInArrow(rare, "part long, key binary, node binary, n binary, at binary")
+            .groupBy("part").applyInArrow(match, "key long, node long, n long, at long"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -484,9 +488,11 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     First each member of a group of near fingerprints meets the group's smallest. Then
     come the shingles that texts share among their rarest: round by round the members
     of such a bucket are dealt to 1, 64, 4,096 .. classes, whose smallest members
-    meet all others of the bucket, of a fitting size, and then leave it; a bucket is done
-    when its members are of one group. So a large group costs a link a member, and
-    no pair that met in a bucket is passed over unless it is linked already.
+    meet all others of the bucket that fit, and then leave it; a bucket is done
+    when its members are of one group. Two texts fit if the bucket's shingle can be the first
+    of those that both have, by its places in their sets and the sets' sizes; a similar pair does so in
+    the bucket of its first one. So a large group costs a link a member, and no similar pair is
+    passed over unless it is linked already.
     """
     rows = saved(described(docs, shingle))
     texts = rows.where("part is null")
@@ -517,13 +523,16 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
     while True:
         members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        members = saved(members.join(ends.select("key"), "key").select("key", "node", "n", "root"))
+        members = saved(members.join(ends.select("key"), "key").select("key", "node", "n", "at", "root"))
         if members.isEmpty():
             break
         part = F.pmod(F.xxhash64("node"), F.lit(classes))
-        heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "n")).alias("head"))
-        heads = heads.select("key", F.col("head.node").alias("a"), F.col("head.root").alias("a_root"), F.col("head.n").alias("a_n"))
-        fits = (F.col("n") >= similarity * F.col("a_n") - 1e-9) & (F.col("a_n") >= similarity * F.col("n") - 1e-9)
+        heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "n", "at")).alias("head"))
+        heads = heads.select("key", *(F.col(f"head.{c}").alias(name) for c, name in
+                                      (("node", "a"), ("root", "a_root"), ("n", "a_n"), ("at", "a_at"))))
+        # as if the bucket's shingle were the first that both have: then only what comes after it can be shared
+        most = F.least(F.col("n") - F.col("at"), F.col("a_n") - F.col("a_at"))
+        fits = most * (1 + similarity) >= similarity * (F.col("n") + F.col("a_n")) - 1e-6
         pairs = members.join(heads, "key").where((F.col("root") != F.col("a_root")) & fits)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         found = linked(pairs, found)
