@@ -4,7 +4,8 @@ A recording of n samples is looked at as a matrix of ``rows`` by ``cols``, sampl
 (a, b). Its transform takes the columns' transforms, turns them, and takes the rows' transforms; the
 gain is applied to the rows and the way back undoes the same steps, so nothing is put into
 frequency order. Tasks hold strips of columns or rows of about ``task`` samples; tiles, the
-crossing of a strip of columns and one of rows, are what is shuffled.
+crossing of a strip of columns and one of rows, are what is shuffled. Strips of a long recording
+are wider, by the root of its length, so that tiles keep some ``TILE`` samples and are as many as the samples ask for.
 
 Lengths without two factors of about equal size use a chirp: the transform of length n becomes a convolution of
 a power of two of at least 2n - 1 samples, done the same way. Samples that no block holds count as zero.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +28,8 @@ from ..scale import cut_lineage, join_keys
 
 #: Samples of a strip: 4 MB of complex doubles.
 TASK = 1 << 18
+#: Samples that a tile holds on the whole, however long its recording.
+TILE = 256
 
 #: (bin numbers, recording length) -> gain of each bin.
 Gain = Callable[[np.ndarray, int], np.ndarray]
@@ -40,6 +44,11 @@ class Shape(NamedTuple):
     chirp: bool
 
 
+def strip_of(size: int, task: int = TASK) -> int:
+    """Samples of a strip of a matrix of ``size``: at least ``task``, and so many that two strips cross in ``TILE`` samples."""
+    return max(task, isqrt(TILE * size))
+
+
 @lru_cache(maxsize=4096)
 def shape_of(n: int, task: int = TASK) -> Shape:
     """How a recording of ``n`` samples is laid out: by two factors at most 16 apart in ratio, or by a chirp."""
@@ -51,6 +60,7 @@ def shape_of(n: int, task: int = TASK) -> Shape:
         rows, cols = 1 << (bits // 2), 1 << (bits - bits // 2)
     else:
         cols = n // rows
+    task = strip_of(rows * cols, task)
     return Shape(n, rows, cols, min(cols, max(1, task // rows)), min(rows, max(1, task // cols)), chirp)
 
 
@@ -83,10 +93,10 @@ def spectral_blocks(blocks: DataFrame, gain: Gain, block: int = 8192, keys: Sequ
     Empty recordings give no rows.
     """
     keys = list(keys)
-    span = block * max(1, task // block)  # samples of a strip in time order
     zero = F.transform(re, lambda v: F.lit(0.0))
     rows = blocks.where(F.size(re) > 0).select(*keys, "block_idx", F.col(re).cast("array<double>").alias("re"),
                                                (zero if im is None else F.col(im)).cast("array<double>").alias("im"))
+    rows = cut_lineage(rows)
     length = rows.groupBy(*keys).agg(F.max(F.col("block_idx") * block + F.size("re")).alias("_n"))
     kept = [f for f in rows.schema.fields if f.name in keys]
     values = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("re", "im")]
@@ -104,8 +114,13 @@ def spectral_blocks(blocks: DataFrame, gain: Gain, block: int = 8192, keys: Sequ
         for source, a, b in zip(pdf["_from"].tolist(), pdf["re"], pdf["im"]):
             yield source, np.asarray(a) + 1j * np.asarray(b)
 
+    def span(n: int) -> int:
+        """Samples of a strip in time order."""
+        s = shape_of(n, task)
+        return block * max(1, strip_of(s.rows * s.cols, task) // block)
+
     def limits(q: int, n: int) -> tuple[int, int]:
-        return q * span, min(n, (q + 1) * span)
+        return q * span(n), min(n, (q + 1) * span(n))
 
     def first(it):
         """An empty tile for each strip of columns, so that all of them come up whatever blocks are missing."""
@@ -194,7 +209,7 @@ def spectral_blocks(blocks: DataFrame, gain: Gain, block: int = 8192, keys: Sequ
             at = np.where(inside, at, 0)
             x = np.where(inside, (x * chirp(at, s.n)).conj() / s.n, 0)
         parts = []
-        for q in range(-(-s.n // span)):
+        for q in range(-(-s.n // span(s.n))):
             p = places(*limits(q, s.n), a, b, s.cols)
             parts.append((q, x[p // s.cols, p % s.cols - a]))
         return table(head, s.n, int(j), parts)
@@ -215,7 +230,7 @@ def spectral_blocks(blocks: DataFrame, gain: Gain, block: int = 8192, keys: Sequ
         return df.groupBy(*keys, "_n", "_to").applyInPandas(run, schema)
 
     def filtered(size: DataFrame, chirped: bool) -> DataFrame:
-        timed = join_keys(rows, size, keys).withColumn("_to", F.floor(F.col("block_idx") * block / F.lit(span)).cast("long"))
+        timed = join_keys(rows, size, keys).withColumn("_to", F.floor(F.col("block_idx") * block / F.col("_span")).cast("long")).drop("_span")
         begun = step(timed, from_time).unionByName(size.select(*keys, "_n").mapInPandas(first, tile))
         back = step(step(begun, to_rows), in_rows)
         if chirped:
@@ -223,7 +238,8 @@ def spectral_blocks(blocks: DataFrame, gain: Gain, block: int = 8192, keys: Sequ
         return step(step(back, to_time), in_time, out)
 
     has_chirp = F.udf(lambda n: shape_of(int(n), task).chirp, "boolean")
-    length = cut_lineage(length.withColumn("_chirp", has_chirp("_n")))
+    spans = F.udf(lambda n: span(int(n)), "long")
+    length = cut_lineage(length.withColumn("_chirp", has_chirp("_n")).withColumn("_span", spans("_n")))
     kinds = [r[0] for r in length.select("_chirp").distinct().collect()]
     parts = [filtered(length.where(F.col("_chirp") == k).drop("_chirp"), k) for k in sorted(kinds)]
     if not parts:
