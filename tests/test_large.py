@@ -1,7 +1,11 @@
 """What has to hold so that figures grow no faster than the input."""
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from burstlake import scale
 from burstlake.operators import transforms
 
 
@@ -11,3 +15,23 @@ def test_tiles_of_a_long_recording_are_as_many_as_its_samples_ask_for(n):
     tiles = len(transforms.strips(s.cols, s.wide)) * len(transforms.strips(s.rows, s.high))
     assert tiles <= max(64, 2 * s.rows * s.cols // transforms.TILE)
     assert max(s.wide * s.rows, s.high * s.cols) <= max(500, (transforms.TILE * s.rows * s.cols) ** 0.5)
+
+
+def test_a_state_that_never_forgets_settles_in_few_rounds(spark, monkeypatch):
+    """A plain sum over 24 segments: warmed states are all wrong, runs that double put them right."""
+    steps, cut = [], scale.cut_lineage
+    monkeypatch.setattr(scale, "cut_lineage", lambda df: steps.append(1) or cut(df))
+    data = [(k, i, float(i % 5)) for k, n in (("a", 48), (None, 7)) for i in range(n)]
+    df = spark.createDataFrame(data, "key string, i long, v double").withColumn("seg", F.floor(F.col("i") / 2).cast("long"))
+
+    def step(rows, state):
+        out = (state or [0.0])[0] + rows.sort_values("i")["v"].cumsum()
+        return pd.DataFrame({"key": rows["key"], "i": rows["i"], "sum": out}), [out.iloc[-1]]
+
+    got = scale.scan_segments(df, ["key"], "seg", step, T.StructType([df.schema["key"], df.schema["i"], T.StructField("sum", T.DoubleType())]),
+                              warm=1, order="i").collect()
+    want, at = {}, {}
+    for k, i, v in data:
+        at[k] = want[k, i] = at.get(k, 0.0) + v
+    assert {(r.key, r.i): r["sum"] for r in got} == want and len(got) == len(data)
+    assert len(steps) <= 24
