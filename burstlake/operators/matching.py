@@ -183,17 +183,18 @@ def _nearest_frame(asked: DataFrame, frames: DataFrame, by: list[str], segment:
     rows = frames.select(*by, seg("frame"), F.col("frame").alias("_f"))
     where = asked.select(*by, "_seg").distinct()
     ends = rows.groupBy(*by, "_seg").agg(F.min("_f").alias("_lo"), F.max("_f").alias("_hi"))
-    ordered = Window.partitionBy(*by).orderBy("_seg")
+    # what follows is what precedes in falling order: a frame to the end is summed up anew for every row
+    ordered, falling = Window.partitionBy(*by).orderBy("_seg"), Window.partitionBy(*by).orderBy(F.desc("_seg"))
     around = (ends.unionByName(where, allowMissingColumns=True).groupBy(*by, "_seg")
               .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
               .select(*by, "_seg",
                       F.last("_hi", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-                      F.first("_lo", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("_next")))
+                      F.last("_lo", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("_next")))
     marks = rows.join(where, [*by, "_seg"], "left_semi").withColumn("_pos", F.col("_f").cast("double"))
-    w = Window.partitionBy(*by, "_seg").orderBy("_pos")
+    w, back = (Window.partitionBy(*by, "_seg").orderBy(o) for o in (F.asc("_pos"), F.desc("_pos")))
     looked = (asked.unionByName(marks, allowMissingColumns=True)
               .withColumn("_before", F.last("_f", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_after", F.first("_f", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+              .withColumn("_after", F.last("_f", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
               .where(F.col("_f").isNull()).join(around, [*by, "_seg"]))
     before, after = F.coalesce("_before", "_prev"), F.coalesce("_after", "_next")
     near = F.when(before.isNull() | (after - F.col("_pos") < F.col("_pos") - before), after).otherwise(before)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstlake import scale
-from burstlake.operators import transforms
+from burstlake.operators import matching, transforms
 
 
 @pytest.mark.parametrize("n", [2310, 1_200_000, 7_200_000, 7_199_999])
@@ -35,3 +35,12 @@ def test_a_state_that_never_forgets_settles_in_few_rounds(spark, monkeypatch):
         at[k] = want[k, i] = at.get(k, 0.0) + v
     assert {(r.key, r.i): r["sum"] for r in got} == want and len(got) == len(data)
     assert len(steps) <= 24
+
+
+def test_the_nearest_frame_needs_no_window_to_the_end(spark):
+    """Such a window is summed up anew for every row: quadratic in the questions of a segment."""
+    asked = spark.createDataFrame([("s", 0, 1.4), ("s", 0, 7.6), ("s", 0, 40.0)], "stream_id string, channel int, _pos double")
+    frames = spark.createDataFrame([("s", 0, f) for f in (2, 7, 12, 33)], "stream_id string, channel int, frame long")
+    near = matching._nearest_frame(asked, frames, ["stream_id", "channel"], 8)
+    assert sorted((r["_pos"], r["_near"]) for r in near.collect()) == [(1.4, 2), (7.6, 7), (40.0, 33)]
+    assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
