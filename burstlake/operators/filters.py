@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.arrow import DOUBLES, row_function
+from ..functions.arrow import CHUNK, DOUBLES, row_function
 from ..functions.numeric import N_CHANNELS, OFFSET_HZ, SPACING_HZ
 from ..scale import drop_halo, with_halo
 from .framing import KEYS, with_edges
@@ -281,23 +281,37 @@ def channelise(blocks: DataFrame, rate: float = 48_000.0, n: int = N_CHANNELS,
     bank = ChannelBank(rate, n, spacing, offset, m, lowpass, highpass)
     edged = with_edges(blocks, [re, im], before=bank.memory, keys=keys)
 
-    @arrow_udf(T.ArrayType(T.StructType([T.StructField("re", _DOUBLES), T.StructField("im", _DOUBLES)])))
-    def split(first: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        out = [bank(x, s) for s, x in _complex_rows(first, a, b)]
-        size = np.repeat([y.shape[1] for y in out], n)
-        part = lambda f: pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
-            pa.array(np.concatenate([f(y).ravel() for y in out]) if out else np.empty(0)))
-        pairs = pa.StructArray.from_arrays([part(np.real), part(np.imag)], ["re", "im"])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * n), pairs)
-
-    whole = lambda c: F.concat(f"{c}_head", F.col(c).cast(DOUBLES))
-    return (edged.select(*keys, "block_idx", "first_sample",
-                         split(F.col("first_sample").cast("bigint"), whole(re), whole(im)).alias("_y"))
-                 .select(*keys, "block_idx", "first_sample", F.posexplode("_y").alias("channel", "_c"))
-                 .select(*keys, "channel", "block_idx",
-                         F.floor(F.col("first_sample") / F.lit(m)).cast("long").alias("first_sample"),
-                         F.col("_c.re").alias(re), F.col("_c.im").alias(im)))
+    whole = lambda c: F.concat(f"{c}_head", F.col(c).cast(DOUBLES)).alias(c)
+    rows = edged.select(*keys, "block_idx", F.col("first_sample").cast("bigint").alias("first_sample"), whole(re), whole(im))
+    own = [f for f in rows.schema.fields if f.name in (*keys, "block_idx")]
+    schema = T.StructType([*own, T.StructField("channel", T.IntegerType()), T.StructField("first_sample", T.LongType()),
+                           T.StructField(re, _DOUBLES), T.StructField(im, _DOUBLES)])
+
+    def channels(batch: pa.RecordBatch, at: list[int], made: list[np.ndarray]) -> pa.RecordBatch:
+        size = np.repeat([y.shape[1] for y in made], n)
+        part = lambda f: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                                  pa.array(np.concatenate([f(y).ravel() for y in made])))
+        rows = pa.array(np.repeat(at, n))
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(f.name).take(rows) for f in own), pa.array(np.tile(np.arange(n, dtype=np.int32), len(made))),
+             pa.array(batch.column("first_sample").take(rows).to_numpy(zero_copy_only=False) // m), part(np.real), part(np.imag)],
+            names=schema.names)
+
+    def split(batches):
+        """What a block gives is n / m times as long, so batches come out ``CHUNK`` values at a time."""
+        for batch in batches:
+            at, made, held = [], [], 0
+            for k, (first, x) in enumerate(_complex_rows(*(batch.column(c) for c in ("first_sample", re, im)))):
+                at.append(k)
+                made.append(bank(x, first))
+                held += made[-1].size
+                if held >= CHUNK:
+                    yield channels(batch, at, made)
+                    at, made, held = [], [], 0
+            if made:
+                yield channels(batch, at, made)
+
+    return rows.mapInArrow(split, schema).select(*keys, "channel", "block_idx", "first_sample", re, im)
 
 
 def channel_metrics(blocks: DataFrame, block: int = 8192, rate: float = 48_000.0, n: int = N_CHANNELS,
@@ -344,7 +358,7 @@ def channel_metrics(blocks: DataFrame, block: int = 8192, rate: float = 48_000.0
 
 def _complex_rows(first: pa.Array, re: pa.Array, im: pa.Array):
     """(first sample, complex samples) of each row of an Arrow batch."""
-    x = re.flatten().to_numpy(zero_copy_only=False) + 1j * im.flatten().to_numpy(zero_copy_only=False)
+    a, b = (c.flatten().to_numpy(zero_copy_only=False) for c in (re, im))
     at = re.offsets.to_numpy() - re.offsets[0].as_py()
     for k, s in enumerate(first.to_numpy(zero_copy_only=False)):
-        yield int(s), x[at[k]:at[k + 1]]
+        yield int(s), a[at[k]:at[k + 1]] + 1j * b[at[k]:at[k + 1]]

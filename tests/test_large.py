@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstlake import scale
-from burstlake.operators import matching, transforms
+from burstlake.operators import filters, matching, transforms
 
 
 @pytest.mark.parametrize("n", [2310, 1_200_000, 7_200_000, 7_199_999])
@@ -44,3 +44,13 @@ def test_the_nearest_frame_needs_no_window_to_the_end(spark):
     near = matching._nearest_frame(asked, frames, ["stream_id", "channel"], 8)
     assert sorted((r["_pos"], r["_near"]) for r in near.collect()) == [(1.4, 2), (7.6, 7), (40.0, 33)]
     assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
+
+
+def test_channels_leave_their_task_in_small_batches(spark):
+    """An Arrow function gives a whole batch at once, twelve times its input: rows come out of a stream of batches instead."""
+    blocks = spark.createDataFrame([(k, 0, 0, [1.0] * 8, [0.0] * 8) for k in ("s", None)],
+                                   "stream_id string, block_idx long, first_sample long, i array<double>, q array<double>")
+    out = filters.channelise(blocks)
+    assert out.groupBy("stream_id").count().where("count = 48").count() == 2
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
