@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import DOUBLES, row_function
 from ..scale import cut_lineage, dense_segments, join_keys, scan_segments
 
 
@@ -154,12 +155,31 @@ def envelope(blocks: DataFrame, size: int = 256, rate: float = 48_000.0, tau: fl
 
 
 def smooth_bins(v: np.ndarray, width: int = 7) -> np.ndarray:
-    """Median over neighbouring bins with replicated ends."""
+    """Median over neighbouring bins (the last axis) with replicated ends; NaN where a neighbour is."""
     width += (width + 1) % 2
     half = width // 2
     if not half:
         return v
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(v, half, mode="edge"), width), axis=1)
+    wide = np.concatenate([v[..., :1].repeat(half, -1), v, v[..., -1:].repeat(half, -1)], axis=-1)
+    near = np.lib.stride_tricks.sliding_window_view(wide, width, axis=-1)
+    middle = np.partition(near, half, axis=-1)[..., half]
+    return np.where(np.isnan(near).any(axis=-1), np.nan, middle) if np.isnan(wide).any() else middle
+
+
+def mover(size: int, step_db: float, width: int):
+    """``track_step`` for one estimate of ``size`` bins after another, on frames smoothed before, without setting up its windows anew."""
+    width += (width + 1) % 2
+    half = width // 2
+    wide = np.empty(size + 2 * half)
+    middle, near = wide[half:half + size], np.lib.stride_tricks.sliding_window_view(wide, width)
+
+    def move(est: np.ndarray, smooth: np.ndarray) -> np.ndarray:
+        np.add(est, np.where(smooth > est, step_db, -step_db), out=middle)
+        wide[:half], wide[half + size:] = middle[0], middle[-1]
+        sets = near.copy()
+        sets.partition(half, axis=1)
+        return sets[:, half]
+    return move
 
 
 def track_step(est: np.ndarray, frame: np.ndarray, step_db: float, width: int) -> np.ndarray:
@@ -175,18 +195,22 @@ def track_median(frames: DataFrame, step_db: float = 0.0625, passes: int = 1, wi
     the recording from where the last one ended and give the final estimate per
     key (keys, est_db). A pass is one job: the frames of a recording stream through
     one task in order, which keeps the estimate alone; recordings run in parallel.
+    Frames are smoothed before, wherever they are, so that the ordered task only moves the estimate.
     Frames without a spectrum are passed over.
     """
     keys = list(keys)
-    rows = frames.where(F.col(power).isNotNull()).select(
+    raw = frames.where(F.col(power).isNotNull()).select(
         *keys, F.col(frame).cast("long").alias(frame), F.col(power).cast("array<double>").alias("est_db"))
-    if passes > 1:
-        rows = cut_lineage(rows)
+    smoothed = row_function(lambda m: smooth_bins(m, width), DOUBLES)
+    rows = cut_lineage(raw.withColumn("est_db", smoothed("est_db")))
     start = -(1 << 63)
+    # the estimate starts with the first frame as it is
+    ends = cut_lineage(raw.groupBy(*keys).agg(F.min(F.struct(frame, "est_db"))["est_db"].alias("est_db"))
+                       .select(*keys, F.lit(start).cast("long").alias(frame), "est_db"))
 
     def walk(series: bool):
         def run(batches):
-            key, est = None, None
+            key, est, move = None, None, None
             for pdf in batches:
                 out = []
                 for *k, at, p in zip(*[pdf[c].tolist() for c in [*keys, frame]], pdf["est_db"]):
@@ -194,12 +218,17 @@ def track_median(frames: DataFrame, step_db: float = 0.0625, passes: int = 1, wi
                     if k != key:
                         if key is not None and not series:
                             out.append((*key, start, est.tolist()))
-                        key, est = k, None
+                        key = k
                     # a row before all frames holds the estimate the last pass ended with
                     if at == start:
                         est = p
+                        # an estimate without NaN never gets one
+                        if np.isnan(p).any():
+                            move = lambda e, s: smooth_bins(e + np.where(s > e, step_db, -step_db), width)
+                        else:
+                            move = mover(len(p), step_db, width)
                         continue
-                    est = track_step(p.copy() if est is None else est, p, step_db, width)
+                    est = move(est, p)
                     if series:
                         out.append((*k, at, est.tolist()))
                 yield pd.DataFrame(out, columns=[*keys, frame, "est_db"])
@@ -207,14 +236,12 @@ def track_median(frames: DataFrame, step_db: float = 0.0625, passes: int = 1, wi
                 yield pd.DataFrame([(*key, start, est.tolist())], columns=[*keys, frame, "est_db"])
         return run
 
-    def one_pass(ends: DataFrame | None, series: bool) -> DataFrame:
-        both = rows if ends is None else rows.unionByName(ends)
-        return (both.repartition(*keys).sortWithinPartitions(*keys, frame)
+    def one_pass(ends: DataFrame, series: bool) -> DataFrame:
+        return (rows.unionByName(ends).repartition(*keys).sortWithinPartitions(*keys, frame)
                     .mapInPandas(walk(series), rows.schema))
 
     if passes == 1:
-        return one_pass(None, True)
-    ends = None
+        return one_pass(ends, True)
     for _ in range(passes):
         ends = cut_lineage(one_pass(ends, False))
     return ends.select(*keys, "est_db")

@@ -1,12 +1,13 @@
 """What has to hold so that figures grow no faster than the input."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstlake import scale
-from burstlake.operators import filters, matching, transforms
+from burstlake.operators import filters, matching, recurrence, transforms
 
 
 @pytest.mark.parametrize("n", [2310, 1_200_000, 7_200_000, 7_199_999])
@@ -54,3 +55,21 @@ def test_channels_leave_their_task_in_small_batches(spark):
     assert out.groupBy("stream_id").count().where("count = 48").count() == 2
     plan = out._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("first", [0.25, float("nan")])
+def test_frames_smoothed_before_move_the_estimate_as_in_order(spark, first):
+    rng = np.random.default_rng(3)
+    spec = rng.normal(scale=0.5, size=(40, 9))
+    spec[0, 4] = first
+    df = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(spec)], "frame long, power_db array<double>").withColumn("recording", F.lit("r"))
+    est, move, same = spec[0], recurrence.mover(9, 0.0625, 7), spec[1]
+    for s in spec:
+        est = recurrence.track_step(est, s, 0.0625, 7)
+    for s in spec[1:]:
+        want = np.array([np.median(np.take(same + np.where(recurrence.smooth_bins(s) > same, 0.0625, -0.0625), range(i - 3, i + 4), mode="clip"))
+                         for i in range(9)])
+        same = move(same, recurrence.smooth_bins(s))
+        assert np.array_equal(same, want)
+    got = recurrence.track_median(df).orderBy("frame").collect()
+    assert np.array_equal(np.array(got[-1].est_db, dtype=float), est, equal_nan=True) and np.isnan(est).any() == np.isnan(first)
