@@ -22,6 +22,8 @@ LAYOUT = ("stream_id string, length bigint, rate int, channels int, width int, "
           "data_at bigint, n_frames bigint")
 #: Longest recording whose analytic signal is made in one row: 8 MB of samples.
 SHORT = 1 << 20
+#: Bytes read for a file's header, samples of a table that a task gives out, what a row counts besides its samples.
+HEAD, BATCH, ROW = 4096, 1 << 20, 256
 PIECE = "stream_id string, block_idx bigint, first_sample bigint, rate int, i array<float>, q array<float>"
 
 
@@ -96,6 +98,26 @@ def _open(path: str):
     return system.open_input_file(where)
 
 
+def _head(src, length: int) -> Callable[[int, int], bytes]:
+    """``read(at, n)`` for the chunk walk: the file's beginning is read once."""
+    begin = src.read_at(min(length, HEAD), 0)
+    return lambda at, n: begin[at:at + n] if at + n <= len(begin) else src.read_at(n, at)
+
+
+def piece_rows(parts, block: int) -> Iterator[pd.DataFrame]:
+    """Blocks of (stream_id, rate, first sample, i, q) in tables of some ``BATCH`` samples, however short the recordings."""
+    rows, held = [], 0
+    for name, rate, first, i, q in parts:
+        for a in range(0, len(i), block):
+            rows.append((name, (first + a) // block, first + a, rate, i[a:a + block], q[a:a + block]))
+            held += min(block, len(i) - a) + ROW
+            if held >= BATCH:
+                yield pd.DataFrame(rows, columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
+
+
 def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi: str = "first2",
                     blocks_per_task: int = 64, mono_to_analytic: bool = True) -> DataFrame:
     """Blocks (stream_id = file, block_idx, first_sample, rate, i, q) of all WAV files under ``path``."""
@@ -108,9 +130,11 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
             rows = []
             for f, n in zip(pdf["stream_id"], pdf["length"]):
                 with _open(f) as src:
-                    rows.append((f, n, *wav_layout(lambda at, size: src.read_at(size, at), n)))
+                    rows.append((f, n, *wav_layout(_head(src, n), n)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
 
+    # a split holds a few dozen short files at most; only their heads are read here, so a task takes many splits
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // 32))
     # one row per file
     layout = cut_lineage(files.mapInPandas(layouts, LAYOUT))
     span = block * blocks_per_task
@@ -135,14 +159,13 @@ def read_recordings(spark: SparkSession, path: str, block: int = 8192, on_multi:
     ready = pieces.join(four, "stream_id", "left")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p in pdf.itertuples():
-                as_float = bool(p.finite) and p.peak <= 10 if p.width == 4 else False
-                i, q = to_iq(raw_levels(read(p), p.width, as_float, p.peak), p.channels, on_multi)
-                first = int(p.piece * span)
-                yield pd.DataFrame([(p.stream_id, (first + a) // block, first + a, p.rate,
-                                     i[a:a + block], q[a:a + block]) for a in range(0, len(i), block)],
-                                   columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
+        def parts():
+            for pdf in batches:
+                for p in pdf.itertuples():
+                    as_float = bool(p.finite) and p.peak <= 10 if p.width == 4 else False
+                    yield p.stream_id, p.rate, int(p.piece * span), *to_iq(
+                        raw_levels(read(p), p.width, as_float, p.peak), p.channels, on_multi)
+        yield from piece_rows(parts(), block)
 
     if not mono_to_analytic:
         return ready.mapInPandas(decode, PIECE)
@@ -180,7 +203,7 @@ def decode_recordings(df: DataFrame, block: int = 8192, on_multi: str = "first2"
                       mono_to_analytic: bool = True) -> DataFrame:
     """The same for recordings held in a binary column (short clips in a table)."""
     def decoder(kinds: tuple[bool, ...]):
-        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts(batches: Iterator[pd.DataFrame]):
             for pdf in batches:
                 for p, raw in zip(pdf[name], pdf[content]):
                     raw = bytes(raw)
@@ -189,10 +212,10 @@ def decode_recordings(df: DataFrame, block: int = 8192, on_multi: str = "first2"
                         continue
                     data = raw[at:at + n * channels * width]
                     finite, peak = float_evidence(data) if width == 4 else (False, 0.0)
-                    i, q = to_iq(raw_levels(data, width, finite and peak <= 10, peak), channels, on_multi)
-                    yield pd.DataFrame([(str(p), a // block, a, rate, i[a:a + block], q[a:a + block])
-                                        for a in range(0, len(i), block)],
-                                       columns=["stream_id", "block_idx", "first_sample", "rate", "i", "q"])
+                    yield str(p), rate, 0, *to_iq(raw_levels(data, width, finite and peak <= 10, peak), channels, on_multi)
+
+        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from piece_rows(parts(batches), block)
         return decode
 
     clips = df.select(name, content)

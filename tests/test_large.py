@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from burstlake import scale
 from burstlake.operators import filters, matching, recurrence, transforms
+from burstlake.sources import recordings
 
 
 @pytest.mark.parametrize("n", [2310, 1_200_000, 7_200_000, 7_199_999])
@@ -73,3 +74,12 @@ def test_frames_smoothed_before_move_the_estimate_as_in_order(spark, first):
         assert np.array_equal(same, want)
     got = recurrence.track_median(df).orderBy("frame").collect()
     assert np.array_equal(np.array(got[-1].est_db, dtype=float), est, equal_nan=True) and np.isnan(est).any() == np.isnan(first)
+
+
+def test_short_recordings_share_tables():
+    clips = [(str(k), 8000, 0, np.arange(5.0), np.zeros(5)) for k in range(3000)]
+    tables = list(recordings.piece_rows(clips, 2))
+    assert len(tables) <= 4 and sum(map(len, tables)) == 9000
+    assert list(pd.concat(tables)["first_sample"][:4]) == [0, 2, 4, 0] and list(tables[0]["i"][2]) == [4.0]
+    long = list(recordings.piece_rows([("a", 8000, 0, np.zeros(1 << 22), np.zeros(1 << 22))], 8192))
+    assert len(long) >= 4 and max(map(len, long)) <= 130
