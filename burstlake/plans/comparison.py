@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import (RUN, claim, false_alarms, first_claims, match_exact, match_nearest,
                                   match_summary, outcome_counts)
+from ..scale import cut_lineage
 
 
 def compare(truth: DataFrame, log: DataFrame, freq_tol: float = 2.0, time_tol: float = 1.5,
@@ -18,8 +19,9 @@ def compare(truth: DataFrame, log: DataFrame, freq_tol: float = 2.0, time_tol: f
     ``truth`` has the keys, truth_no, msg, freq, t_sec; ``log`` the keys, line_no,
     message, freq, t_sec, both frequencies in kHz. truth_no gives the claim order.
     """
-    matched = match_nearest(match_exact(truth, log, keys), log, freq_tol, time_tol, keys)
-    claims = first_claims(matched, log, claim_all, keys)
+    # both are needed more than once
+    matched = cut_lineage(match_nearest(match_exact(truth, log, keys), log, freq_tol, time_tol, keys))
+    claims = cut_lineage(first_claims(matched, log, claim_all, keys))
     return claim(matched, claims, keys), false_alarms(log, claims, keys)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from burstlake import scale
 from burstlake.operators import filters, matching, recurrence, transforms
+from burstlake.plans import comparison
 from burstlake.sources import recordings
 
 
@@ -83,3 +84,12 @@ def test_short_recordings_share_tables():
     assert list(pd.concat(tables)["first_sample"][:4]) == [0, 2, 4, 0] and list(tables[0]["i"][2]) == [4.0]
     long = list(recordings.piece_rows([("a", 8000, 0, np.zeros(1 << 22), np.zeros(1 << 22))], 8192))
     assert len(long) >= 4 and max(map(len, long)) <= 130
+
+
+def test_a_comparison_matches_once(spark):
+    truth = spark.createDataFrame([(1, 1, "k1", 5.0, 1.0), (1, 2, "k2", 9.0, 4.0)], "run_id long, truth_no long, msg string, freq double, t_sec double")
+    log = spark.createDataFrame([(1, 1, "k1 x", 5.0, 1.0), (1, 2, "k9", 9.5, 4.0), (1, 3, "k7", 90.0, 4.0)],
+                                "run_id long, line_no long, message string, freq double, t_sec double")
+    statuses, alarms = comparison.compare(truth, log)
+    assert {r.truth_no: r.status for r in statuses.collect()} == {1: "DECODED", 2: "GARBLED"} and [r.line_no for r in alarms.collect()] == [3]
+    assert all("_pf" not in df._jdf.queryExecution().toString() for df in (statuses, alarms))
