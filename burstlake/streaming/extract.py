@@ -23,6 +23,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .jobs import DOUBLES, _keyed, _millis
 
 
+#: Segments that leave a key together, however many events a micro-batch has.
+OUT_ROWS = 1000
+
+
 def stream_event_segments(blocks: DataFrame, events: DataFrame, pre: int, post: int, pad: int, block: int,
                           cols: Sequence[str] = ("x",), keys: Sequence[str] = ("stream_id",), event: str = "event_id",
                           at: str = "at", ts: str = "ts", patience: str = "2 seconds", keep: str = "5 seconds",
@@ -44,7 +48,7 @@ def stream_event_segments(blocks: DataFrame, events: DataFrame, pre: int, post:
     both = left.unionByName(right)
     schema = T.StructType([*_keyed(both, keys), T.StructField(event, T.LongType()), *(T.StructField(c, DOUBLES) for c in cols)])
 
-    def cut(own: dict, where: int) -> list[list[float]] | None:
+    def cut(own: dict, where: int) -> list[np.ndarray] | None:
         lo, hi = where - pre, where + post
         parts: list[list[np.ndarray]] = [[] for _ in cols]
         for b in range(lo // block, (hi - 1) // block + 1):
@@ -55,7 +59,7 @@ def stream_event_segments(blocks: DataFrame, events: DataFrame, pre: int, post:
         if not sum(map(len, parts[0])):
             return None
         zeros = np.zeros(pad)
-        return [np.concatenate([zeros, *p, zeros]).tolist() for p in parts]
+        return [np.concatenate([zeros, *p, zeros]) for p in parts]
 
     def run(key, chunks, state: GroupState) -> Iterator[pd.DataFrame]:
         own, waiting, last = pickle.loads(state.get[0]) if state.exists else ({}, [], 0)
@@ -73,6 +77,9 @@ def stream_event_segments(blocks: DataFrame, events: DataFrame, pre: int, post:
                 found = cut(own, where)
                 if found is not None:
                     out.append((*key, e, *found))
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=schema.names)
+                    out = []
             else:
                 still.append((ms, e, where))
         if out:

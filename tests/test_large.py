@@ -1,5 +1,7 @@
 """What has to hold so that figures grow no faster than the input."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +12,7 @@ from burstlake import scale
 from burstlake.operators import filters, matching, recurrence, transforms
 from burstlake.plans import comparison
 from burstlake.sources import recordings
+from burstlake.streaming import extract
 
 
 @pytest.mark.parametrize("n", [2310, 1_200_000, 7_200_000, 7_199_999])
@@ -93,3 +96,9 @@ def test_a_comparison_matches_once(spark):
     statuses, alarms = comparison.compare(truth, log)
     assert {r.truth_no: r.status for r in statuses.collect()} == {1: "DECODED", 2: "GARBLED"} and [r.line_no for r in alarms.collect()] == [3]
     assert all("_pf" not in df._jdf.queryExecution().toString() for df in (statuses, alarms))
+
+
+def test_event_segments_leave_a_few_at_a_time():
+    """The step gives out a table per ``OUT_ROWS`` segments, not all of a micro-batch as lists."""
+    source = inspect.getsource(extract.stream_event_segments)
+    assert 0 < extract.OUT_ROWS <= 10_000 and "len(out) >= OUT_ROWS" in source and "tolist" not in source
