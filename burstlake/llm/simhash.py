@@ -31,9 +31,15 @@ by how many documents have a shingle, rarest first, so what many texts share (a
 line) is no candidate unless it is most of the text. Frequencies need not be
 exact, as any order that all texts use gives the same pairs: all documents' shingles are counted
 in ``SKETCH`` counters, a bounded table that every task gets. What first shingles two texts
-have in common is found by ranges of the hashes. Every candidate is checked on the whole sets,
-in rounds that compare few members of a bucket with the others and leave out what is
-linked already. No pair is lost.
+have in common is found by ranges of the hashes. A bucket of up to ``SMALL`` texts gives its
+pairs there; larger ones go in rounds that compare few members with the others and leave out
+what is linked already.
+
+Whole sets are 8 bytes a word, so few candidates get that far. Each text has a bitmap of 2 to 4
+bits a shingle: a bit is the parity of the shingles that fall on it. Two bitmaps differ in no
+more bits than the sets differ in shingles, so a pair whose bitmaps differ in more than its
+sets may is not similar. What remains is checked on the whole sets, which are moved once:
+from the text to the task that compares them with the pair's other side. No pair is lost.
 
 Defined results: null and wordless texts have fingerprint zero; with fewer words
 than a shingle has, the whole sequence is the shingle; rows with a null doc_id
@@ -68,6 +74,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCH, PARTS, SLICE_BYTES = 1 << 20, 64, 1_000_000
 #: First shingles that a task brings together, ways they are dealt at least, and times the mean count from which one needs no partner to stay.
 MATCHED, LEAST_RANGES, HOT = 2_000_000, 16, 16
+#: Texts of a bucket that give all pairs at once; bits of a bitmap at most; bytes of a key (a longer hash is cut, which only adds candidates).
+SMALL, BITS, KEY_BYTES = 8, 1 << 17, 5
 #: Ids that may be broadcast; pairs of one text that a task compares.
 FEW, DEAL = 200_000, 1_000
 #: How many times more members of a bucket meet the others in each further round.
@@ -336,13 +344,27 @@ def _text_slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
-                        ("part", pa.int32()), ("counts", pa.binary())])
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of the distinct shingles that fall on each of 2 to 4 times as many bits."""
+    bits = min(BITS, max(64, 2 << max(len(shingles) - 1, 0).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles in which two sets differ at least, by the bytes of their bitmaps; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()),
+                        ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, node, fp) of each document, where ``node`` is a hash of the words, equal for copies; and for each
-    task its counters of shingles, by parts. A task counts copies once."""
+    """(doc_id, th, node, fp, n, bits) of each document, where ``node`` is a hash of the words, equal for copies, and n and
+    ``bits`` are its set's size and bitmap; and for each task its counters of shingles, by parts. A task counts copies once."""
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(values: dict, n: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([values[f.name] if f.name in values else pa.nulls(n, f.type) for f in _DESCRIBED], schema=_DESCRIBED)
@@ -352,20 +374,22 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
             for b in _text_slices(whole, 2):
                 hashes, nodes = word_shingles(b.column(2).to_pylist(), shingle)
                 new = []
-                for node, own in zip(nodes, hashes, strict=True):
+                sets = [np.unique(h) for h in hashes]
+                for node, own in zip(nodes, sets, strict=True):
                     if node not in known:
                         known.add(node)
-                        new.append(np.unique(own))
+                        new.append(own)
                 table += np.bincount(slots(np.concatenate(new)), minlength=SKETCH) if new else 0
                 fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
                 yield row({"doc_id": b.column(0), "th": b.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                           "fp": pa.array(fps)}, b.num_rows)
+                           "fp": pa.array(fps), "n": pa.array([len(x) for x in sets], pa.int64()),
+                           "bits": pa.array([bitmap(x) for x in sets], pa.binary())}, b.num_rows)
         if known:
             parts = np.minimum(table, (1 << 32) - 1).astype("<u4").reshape(PARTS, -1)
             yield row({"part": pa.array(range(PARTS), pa.int32()), "counts": pa.array([v.tobytes() for v in parts], pa.binary())}, PARTS)
 
     return (docs.select(F.col("doc_id").cast("long"), text_hash().alias("th"), "text")
-            .mapInArrow(each, "doc_id long, th long, node long, fp long, part int, counts binary"))
+            .mapInArrow(each, "doc_id long, th long, node long, fp long, n long, bits binary, part int, counts binary"))
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -386,9 +410,15 @@ def sketch(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def may_share(n, at, other_n, other_at, similarity: float, least):
+    """Whether two texts may be similar if a shingle at these places is the first that both have: only what comes after it can be shared."""
+    return least(n - at, other_n - other_at) * (1 + similarity) >= similarity * (n + other_n) - 1e-6
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(key, node, n, at): of each node those of its first shingles, rarest first, that another one's may be; n is its
-    set's size and ``at`` the shingle's place in that order, which is the same for all nodes.
+    """Nodes that meet in one of their first shingles, rarest first: the pairs (a, b) of buckets of up to ``SMALL`` nodes that
+    may be similar, and the members (key, node, n, at) of larger ones; n is a set's size and ``at`` the shingle's place
+    in that order, which is the same for all nodes.
 
     A shingle whose counter is far above the mean is taken as shared and dealt by node, so that it is in no single task.
     """
@@ -396,6 +426,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
     ranges = max(LEAST_RANGES, -(-int(total * (1 - similarity)) // MATCHED))
     hot = HOT * max(1.0, total / SKETCH)
     counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+    small, cut = SMALL, np.uint64(64 - 8 * KEY_BYTES)
 
     def rare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -412,132 +443,197 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
                     nodes.append(np.full(len(first), node, np.uint64))
                     sizes.append(np.full(len(first), len(h), np.uint32))
                     places.append(np.arange(len(first), dtype=np.uint32))
-            if not keys:
+            if not keys or not sum(map(len, keys)):
                 continue
             key, node, size, place = (np.concatenate(x) for x in (keys, nodes, sizes, places))
             part = np.where(counts[slots(key)] > hot, ranges + (node % np.uint64(ranges)).astype(np.int64),
                             (key >> np.uint64(32)).astype(np.int64) * ranges >> 32)
             order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(2 * ranges + 1)).tolist()
-            mine = [p for p in range(2 * ranges) if at[p] < at[p + 1]]
+            part, key, node, size, place = part[order], key[order] >> cut, node[order], size[order], place[order]
+            short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            place = place.astype("<u2" if int(place.max()) < 1 << 16 else "<u4")
+            # a node is written once for all its shingles of a part
+            run = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])])
+            length = np.diff(np.append(run, len(part))).astype("<u4")
+            node, size, of = node[run], size[run], part[run]
+            mine = np.unique(of)
+            at, runs = (np.append(np.searchsorted(x, mine), len(x)).tolist() for x in (part, of))
+            rows = range(len(mine))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mine, pa.int64()), *(pa.array([v[at[p]:at[p + 1]].tobytes() for p in mine], pa.binary())
-                                               for v in (key[order], node[order], size[order], place[order]))], names=["part", "key", "node", "n", "at"])
+                [pa.array(mine, pa.int64()), *(pa.array([v[e[p]:e[p + 1]].tobytes() for p in rows], pa.binary()) for v, e in (
+                    (short, at), (place, at), (node, runs), (size, runs), (length, runs)))], names=["part", "key", "at", "node", "n", "length"])
+
+    def unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+        out = []
+        for r in t.select(["key", "at", "node", "n", "length"]).to_pylist():
+            length = np.frombuffer(r["length"], "<u4")
+            short = np.frombuffer(r["key"], np.uint8).reshape(-1, KEY_BYTES)
+            key = np.zeros((len(short), 8), np.uint8)
+            key[:, :KEY_BYTES] = short
+            place = np.frombuffer(r["at"], "<u2" if len(r["at"]) == 2 * len(short) else "<u4")
+            out.append((key.view("<u8").ravel(), np.repeat(np.frombuffer(r["node"], "<u8"), length).view(np.int64),
+                        np.repeat(np.frombuffer(r["n"], "<u4"), length).astype(np.int64), place.astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def match(t: pa.Table) -> pa.Table:
-        kinds = (("key", "<u8"), ("node", "<u8"), ("n", "<u4"), ("at", "<u4"))
-        key, node, n, at = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in kinds)
-        order = np.lexsort((node, key))
-        key, node, n, at = key[order], node[order], n[order], at[order]
+        columns = key, node, n, at = unpacked(t)
+        order = np.lexsort((at, node, key))
+        key, node, n, at = (x[order] for x in columns)
         once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node, n, at = key[once], node[once], n[once], at[once]
+        pairs = np.zeros((0, 2), np.int64)
         if t["part"][0].as_py() < ranges:
-            next_same = np.r_[key[1:] == key[:-1], False]
-            shared = next_same | np.r_[False, next_same[:-1]]
-            key, node, n, at = key[shared], node[shared], n[shared], at[shared]
-        return pa.table([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)),
-                         pa.array(at.astype(np.int64))], names=["key", "node", "n", "at"])
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            members = np.diff(np.append(first, len(key)))
+            many = np.repeat(members > small, members)
+            found = [pairs]
+            for step in range(1, small):
+                i = np.flatnonzero((key[step:] == key[:-step]) & ~many[step:])
+                i = i[may_share(n[i], at[i], n[i + step], at[i + step], similarity, np.minimum)]
+                found.append(np.stack([node[i], node[i + step]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            key, node, n, at = key[many], node[many], n[many], at[many]
+        none = [pa.nulls(len(pairs), pa.int64())]
+        return pa.table([pa.chunked_array([pa.array(x.view(np.int64)), *none]) for x in (key, node, n, at)]
+                        + [pa.chunked_array([pa.nulls(len(key), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, c]))]) for c in (0, 1)],
+                        names=["key", "node", "n", "at", "a", "b"])
+
+    return (docs.select("text").mapInArrow(rare, "part long, key binary, at binary, node binary, n binary, length binary")
+            .groupBy("part").applyInArrow(match, "key long, node long, n long, at long, a long, b long"))
+
+
+def plausible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of (node, n, bits) do not rule out."""
+    most = (1 - similarity) / (1 + similarity)
 
-    return (docs.select("text").mapInArrow(rare, "part long, key binary, node binary, n binary, at binary")
-            .groupBy("part").applyInArrow(match, "key long, node long, n long, at long"))
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            apart = np.array([least_difference(*(np.frombuffer(v.as_buffer(), np.uint8) for v in xy)) for xy in zip(b.column(4), b.column(5))], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(apart <= most * sizes + 1e-6))
+
+    both = (pairs.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("bits").alias("x")), "a")
+            .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("bits").alias("y")), "b"))
+    return both.select("a", "b", "x_n", "y_n", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) for the documents ``wanted`` (node, doc_id, th): sorted distinct hashes, as bytes.
+def similar_pairs(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose shingle sets have that Jaccard similarity; an ``a`` of many pairs is dealt by b.
 
-    Ids are broadcast up to ``FEW`` of them, else joined by a shuffle.
+    A text's set goes from its row to each ``a`` that it meets, sorted so that the set of ``a`` comes first. Ids are
+    broadcast up to ``FEW`` of them, else joined by a shuffle.
     """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(DEAL)).alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"), "b")
+    sides = dealt.select("a", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = saved(sides.join(nodes, "node").select("a", "part", "node", F.col("w.doc_id").alias("doc_id"), F.col("w.th").alias("th")))
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_hash().alias("h"), "text")
-    texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("node", "text")
+    texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("a", "part", "node", "text")
 
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for part in _text_slices(b, 1):
-                sets = [np.unique(h).tobytes() for h in word_shingles(part.column(1).to_pylist(), shingle)[0]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    return texts.mapInArrow(each, "node long, shingles binary").dropDuplicates(["node"])
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have that Jaccard similarity; an ``a`` of many pairs is dealt by b."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(DEAL)).alias("parts")).where("parts > 1")
-    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
-    first = sets.join(many.withColumnRenamed("a", "node"), "node", "left").select(
-        F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    both = dealt.join(first, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int, int]] = set()  # repeated rows
+        last, own = None, b""
+        for whole in it:
+            for b in _text_slices(whole, 3):
+                keep, out = [], []
+                for i, at in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                    if at in sent:
+                        continue
+                    sent.add(at)
+                    if at[2] != last:  # the rows of a text follow each other
+                        last, own = at[2], np.unique(word_shingles([b.column(3)[i].as_py()], shingle)[0][0]).tobytes()
+                    keep.append(i)
+                    out.append(own)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int64())) for c in range(3)), pa.array(out, pa.binary())],
+                                                 names=["a", "part", "node", "shingles"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for b in it:
             near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+            for a, node, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                y = np.frombuffer(v.as_buffer(), np.uint64)
+                if a == node:
+                    x = y.copy()
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if a != node else -1
                 near.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    met = texts.mapInArrow(sets, "a long, part long, node long, shingles binary").repartition("a", "part")
+    return met.sortWithinPartitions("a", "part", F.col("a") != F.col("node")).mapInArrow(compare, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
                    similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, node, ..) of all documents, and (node, root) of the linked nodes.
 
-    First each member of a group of near fingerprints meets the group's smallest. Then
-    come the shingles that texts share among their rarest: round by round the members
-    of such a bucket are dealt to 1, 64, 4,096 .. classes, whose smallest members
-    meet all others of the bucket that fit, and then leave it; a bucket is done
-    when its members are of one group. Two texts fit if the bucket's shingle can be the first
-    of those that both have, by its places in their sets and the sets' sizes; a similar pair does so in
-    the bucket of its first one. So a large group costs a link a member, and no similar pair is
+    Candidates are each member of a group of near fingerprints with the group's smallest, the
+    pairs of small buckets, and round by round those of large ones: their members are dealt
+    to 1, 64, 4,096 .. classes, whose smallest members meet all others of the bucket that fit,
+    and then leave it; a bucket is done when its members are of one group. Two texts fit if the
+    bucket's shingle can be the first of those that both have, by its places in their sets and
+    the sets' sizes; a similar pair does so in the bucket of its first one. Bitmaps rule most
+    candidates out. The first round checks each text with the smallest that it may be like, the
+    second what is left of these and not linked by then. So a large group costs a link a member, and no similar pair is
     passed over unless it is linked already.
     """
     rows = saved(described(docs, shingle))
     texts = rows.where("part is null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
-    nodes = saved(texts.groupBy("node").agg(first.alias("w"), F.first("fp").alias("fp")))
-    links = None
-
-    def linked(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Check pairs (a, b), add the similar ones to the links and return the groups: ``known``, if none is new."""
-        nonlocal links
-        pairs = saved(pairs)
-        wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                       .join(nodes, "node").select("node", "w.doc_id", "w.th"))
-        new = saved(similar_pairs(pairs, saved(shingle_sets(docs, wanted, shingle)), similarity))
-        if known is not None and new.isEmpty():
-            return known
-        links = new if links is None else links.unionByName(new)
-        return saved(components(links))
-
-    roots = saved(grouped(nodes, radius).join(nodes, "fp").select("node", "root"))
-    heads = roots.groupBy("root").agg(F.min("node").alias("a"))
-    found = linked(heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b")), None)
+    nodes = saved(texts.groupBy("node").agg(first.alias("w"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
+    def rooted(df: DataFrame, column: str, root: str) -> DataFrame:
+        if found is None:
+            return df.withColumn(root, F.col(column))
+        known = found.select(F.col("node").alias(column), F.col("root").alias(root))
+        return df.join(known, column, "left").withColumn(root, F.coalesce(root, column))
+
+    roots = saved(grouped(nodes, radius).join(nodes.select("node", "fp"), "fp").select("node", "root"))
+    heads = roots.groupBy("root").agg(F.min("node").alias("a"))
     places = saved(prefixes(docs, sketch(rows), shingle, similarity))
-    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = places.join(shared, "key")
+    fresh = (heads.join(roots, "root").where("node <> a").select("a", F.col("node").alias("b"))
+             .unionByName(places.where("a is not null").select("a", "b")))
+    members = places.where("a is null").select("key", "node", "n", "at")
+    links = found = left = None
     classes = 1
     while True:
-        members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        members = saved(members.join(ends.select("key"), "key").select("key", "node", "n", "at", "root"))
-        if members.isEmpty():
+        if members is not None:
+            members = rooted(members, "node", "root")
+            ends = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+            members = saved(members.join(ends.select("key"), "key").select("key", "node", "n", "at", "root"))
+            members = None if members.isEmpty() else members
+        if members is not None:
+            part = F.pmod(F.xxhash64("node"), F.lit(classes))
+            heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "n", "at")).alias("head"))
+            heads = heads.select("key", *(F.col(f"head.{c}").alias(name) for c, name in
+                                          (("node", "a"), ("root", "a_root"), ("n", "a_n"), ("at", "a_at"))))
+            fits = may_share(F.col("n"), F.col("at"), F.col("a_n"), F.col("a_at"), similarity, F.least)
+            met = members.join(heads, "key").where((F.col("root") != F.col("a_root")) & fits)
+            met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+            fresh = met if fresh is None else fresh.unionByName(met)
+            members = members.drop("root").join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        if left is not None:
+            left = rooted(rooted(left, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+        if fresh is None and left is None:
             break
-        part = F.pmod(F.xxhash64("node"), F.lit(classes))
-        heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "n", "at")).alias("head"))
-        heads = heads.select("key", *(F.col(f"head.{c}").alias(name) for c, name in
-                                      (("node", "a"), ("root", "a_root"), ("n", "a_n"), ("at", "a_at"))))
-        # as if the bucket's shingle were the first that both have: then only what comes after it can be shared
-        most = F.least(F.col("n") - F.col("at"), F.col("a_n") - F.col("a_at"))
-        fits = most * (1 + similarity) >= similarity * (F.col("n") + F.col("a_n")) - 1e-6
-        pairs = members.join(heads, "key").where((F.col("root") != F.col("a_root")) & fits)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = linked(pairs, found)
-        members = members.drop("root").join(heads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        pairs = None if fresh is None else plausible_pairs(fresh.distinct(), nodes, similarity)
+        pairs = saved(pairs if left is None else left if pairs is None else pairs.unionByName(left).distinct())
+        if classes == 1:
+            todo = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            left = pairs.join(todo, ["a", "b"], "left_anti")
+        else:
+            todo, left = pairs, None
+        if not todo.isEmpty():
+            new = saved(similar_pairs(docs, todo, nodes, shingle, similarity))
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                found = saved(components(links))
+        fresh = None
         classes *= GROWTH
+    if found is None:
+        found = nodes.select("node", F.col("node").alias("root")).limit(0)
     return texts.select("doc_id", "th", "node"), found
 
 

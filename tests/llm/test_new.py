@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from burstlake.llm import align, ann, mtree, whitening
+from burstlake.llm import align, ann, mtree, simhash, whitening
 from burstlake.llm.queries import aligned_tokenizers
 
 VECTORS = "vec_id long, embedding array<float>, x int, n string"
@@ -183,3 +183,67 @@ def test_nearest_of_mixed_scales(spark):
         mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
         assert len(mine) == 10 and len({v for _, v, _ in mine} & set(want)) >= 9
         assert all(s == d[v] for _, v, s in mine)
+
+
+# -- near duplicates: what is moved, and buckets of any size ---------------------
+
+def varied(rng, base, share):
+    return [f"x{rng.randrange(10 ** 6)}" if rng.random() < share else w for w in base]
+
+
+def test_whole_sets_are_no_step_table(spark):
+    """Step tables of the near-duplicate stage, counters aside, stay well below the texts."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from burstlake.scale import shared_dir
+
+    rng = random.Random(3)
+    texts = []
+    for f in range(40):
+        base = [f"f{f}w{rng.randrange(10 ** 6)}" for _ in range(500)]
+        texts += [" ".join(varied(rng, base, 0.004)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    top = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(top))
+    assert 40 <= simhash.drop_near_duplicates(docs).count() < 60
+    size = 0
+    for d in set(os.listdir(top)) - before:
+        parts = [f"{top}/{d}/{f}" for f in os.listdir(f"{top}/{d}") if f.endswith(".parquet")]
+        if parts and "counts" not in pq.read_schema(parts[0]).names:
+            size += sum(map(os.path.getsize, parts))
+    assert size < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("small", [1, 8])
+def test_similar_groups_in_buckets_of_any_size(spark, monkeypatch, small):
+    """A large group of near copies, texts around a common passage, short texts and odd ones, against all pairs."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    base, passage = words(120), words(60)
+    texts = [" ".join(varied(rng, base, rng.choice((0.005, 0.01, 0.03)))) for _ in range(60)]
+    texts += [" ".join(passage + words(rng.choice((2, 4, 20)))) for _ in range(50)]
+    texts += ["one two", "one two three four five six", "one two three four five six", "", None]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted(set(root)) and 3 < len(got) < len(texts) - 20
+
+
+def test_bitmaps_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(2)
+    for n, m, shared in ((1, 1, 1), (40, 45, 39), (500, 520, 300), (700, 30, 30), (3000, 2900, 2800), (0, 5, 0)):
+        h = rng.integers(0, 1 << 63, n + m - shared).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = (np.frombuffer(simhash.bitmap(np.unique(v)), np.uint8) for v in (h[:n], h[n - shared:]))
+        assert simhash.least_difference(x, y) == simhash.least_difference(y, x) <= n + m - 2 * shared
+    h = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    x, y = (np.frombuffer(simhash.bitmap(np.unique(v)), np.uint8) for v in (h[:500], h[500:]))
+    assert simhash.least_difference(x, y) > 1000 / 9
